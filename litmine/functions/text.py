@@ -47,8 +47,9 @@ def blind(sentence: Column, ids: Column) -> Column:
 def content_words(text: Column, min_length: int = 4) -> Column:
     """Distinct lower-case words of letters only, of ``min_length`` or more, without stop words."""
     runs = F.regexp_extract_all(strip_tags(text), F.lit("([a-zA-Z]{%d,})" % min_length), 1)
-    stops = F.array(*[F.lit(w) for w in STOP_WORDS if len(w) >= min_length and w.isalpha()])
-    return F.array_except(F.transform(runs, F.lower), stops)
+    words = F.split(F.lower(F.array_join(runs, " ")), " ")
+    left_out = ["", *[w for w in STOP_WORDS if len(w) >= min_length and w.isalpha()]]
+    return F.array_except(words, F.array(*[F.lit(w) for w in left_out]))
 
 
 def shorten(text: Column, limit: int) -> Column:

@@ -66,7 +66,7 @@ def pagerank(
     are cheap. The new state is put on shared storage; one aggregate over it gives the sum, the dangling mass
     and the change.
     """
-    edges = graph.simple().edges
+    edges = cut(graph.simple().edges)
     out, placed = _spread_edges(edges, "weight", per_key)
     has_weight = "node_weight" in graph.vertices.columns
     weight = F.when(F.col("node_weight") > 0, F.col("node_weight")).otherwise(1.0) if has_weight else F.lit(1.0)
@@ -136,7 +136,7 @@ def pagerank_simple(edges: DataFrame, iterations: int, per_key: int = EDGES_PER_
 
     All sources start with 1.0; a node without an incoming share has no rank in the next round.
     """
-    pairs = edges.select("src", "dst", F.lit(1.0).alias("one")).distinct()
+    pairs = cut(edges.select("src", "dst").distinct().withColumn("one", F.lit(1.0)))
     out, placed = _spread_edges(pairs, "one", per_key)
     out = cut(out.select(F.col("src").alias("id"), "out_sum", "keys"))
     ranks = out.select("id", F.lit(1.0).alias("rank"))

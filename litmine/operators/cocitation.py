@@ -32,7 +32,7 @@ def class_pairs(graph: Graph, block: int = BLOCK) -> tuple[DataFrame, DataFrame]
     ``members(dst, class, citers, size)`` and ``pairs(a, b, weight)`` with ``a < b`` two classes. Members of
     one class are co-cited ``citers`` times. Papers with one reference only give no pair.
     """
-    refs = graph.edges.select("src", "dst").distinct()
+    refs = graph.simple().edges.select("src", "dst")
     counts = refs.groupBy("src").agg(F.count("*").alias("n")).filter(F.col("n") >= 2)
     refs = cut(refs.join(counts.select("src"), "src", "left_semi"))
     members = cut(_citer_classes(refs))

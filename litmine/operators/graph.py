@@ -18,11 +18,18 @@ class Graph:
 
     vertices: DataFrame
     edges: DataFrame
+    is_simple: bool = False
 
     def simple(self) -> "Graph":
         """One edge per ordered pair. Of repeated edges the largest weight stays."""
+        if self.is_simple:
+            return self
         edges = self.edges.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-        return Graph(self.vertices, edges)
+        return Graph(self.vertices, edges, is_simple=True)
+
+    def stored(self) -> "Graph":
+        """The same graph on shared storage, for operators that read it many times."""
+        return Graph(cut(self.vertices), cut(self.edges), self.is_simple)
 
 
 def explode_links(link_sets: DataFrame) -> DataFrame:
@@ -223,10 +230,11 @@ def _peel(graph: Graph) -> Graph:
         .filter((F.col("in_weight") >= 1) & (F.col("out_weight") >= 1))
         .select("id")
     )
+    keep = cut(keep)
     edges = graph.edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(
         keep.withColumnRenamed("id", "dst"), "dst", "left_semi"
     )
-    return Graph(graph.vertices.join(keep, "id", "left_semi"), edges.select("src", "dst", "weight"))
+    return Graph(graph.vertices.join(keep, "id", "left_semi"), edges.select("src", "dst", "weight"), graph.is_simple)
 
 
 def clean_graph(graph: Graph, hubs: tuple[str, ...] = HUB_JOURNALS, rounds: int | None = 1) -> Graph:
@@ -242,19 +250,14 @@ def clean_graph(graph: Graph, hubs: tuple[str, ...] = HUB_JOURNALS, rounds: int
         & ~F.col("src").cast("string").isin(*hubs)
         & ~F.col("dst").cast("string").isin(*hubs)
     ).select("src", "dst", "weight")
-    g = Graph(vertices, edges)
-    if rounds is None:
-        g = Graph(cut(g.vertices), cut(g.edges))
-        size, last = g.vertices.count(), -1
-        while size != last:
-            g = _peel(g)
-            g = Graph(cut(g.vertices), cut(g.edges))
+    g = Graph(vertices, edges).simple().stored()
+    size, last, done = -1, -2, 0
+    while size != last and done != rounds:
+        g, done = _peel(g).stored(), done + 1
+        if rounds is None:
             size, last = g.vertices.count(), size
-    else:
-        for _ in range(rounds):
-            g = _peel(g)
     linked = degrees(g).filter((F.col("in_degree") > 0) | (F.col("out_degree") > 0)).select("id")
-    return Graph(g.vertices.join(linked, "id", "left_semi"), g.edges)
+    return Graph(g.vertices.join(linked, "id", "left_semi"), g.edges, g.is_simple)
 
 
 def number_vertices(graph: Graph) -> Graph:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmine.operators.labels import LABEL_COLUMNS, drop_excluded
+from litmine.session import cut
 
 # Settings of the two classifiers.
 MAX_ITER = 50
@@ -87,6 +88,7 @@ def evaluate(model: PipelineModel, training: DataFrame, test: DataFrame) -> Data
     scored = model.transform(training).withColumn("part", F.lit("training")).unionByName(
         model.transform(test).withColumn("part", F.lit("testing"))
     )
+    scored = cut(scored.select("part", "label", "prediction", "probability"))
     evaluator = BinaryClassificationEvaluator(rawPredictionCol="probability")
     areas = {part: evaluator.evaluate(scored.filter(F.col("part") == part)) for part in ("training", "testing")}
     score = F.when(F.col("part") == "training", areas["training"]).otherwise(areas["testing"])

@@ -35,8 +35,9 @@ def ranks_10(t: Tables) -> DataFrame:
 
 def metrics(t: Tables) -> DataFrame:
     """Degrees and ranks. The rank is rounded, so that equal ranks tie in every engine."""
-    ranks = ranks_10(t).withColumn("pagerank", F.round("pagerank", 12))
-    return cut(ranking.metrics_table(papers_graph(t), ranks))
+    g = papers_graph(t).simple().stored()
+    ranks = centrality.pagerank(g, min_iter=10, max_iter=10).withColumn("pagerank", F.round("pagerank", 12))
+    return cut(ranking.metrics_table(g, ranks))
 
 
 def ranked(t: Tables) -> DataFrame:
@@ -140,7 +141,7 @@ QUERIES = {
         "rank",
     ),
     "top_papers": lambda t: report(ranking.top_papers(ranked(t)), t),
-    "rank_outliers": lambda t: report(ranking.rank_outliers(ranked(t), ratio=2), t),
+    "rank_outliers": lambda t: report(ranking.rank_outliers(ranked(t)), t),
     "top_pdb_papers": pdb_papers,
     "year_stats": lambda t: rounded(ranking.year_stats(metrics(t), years(t)), "relative_citations", "pagerank_deviation"),
     "year_isolated": lambda t: ranking.year_isolated(graph.degrees(sparse_graph(t)), years(t)),
@@ -370,7 +371,7 @@ ORACLES = {
     "pagerank_above": """select id, round(rank, 9) as rank, id as pubmed_id from {sr5}
         where round(rank, 9) > 0.8 and id in (select pubmed_id from {v_papers})""",
     "top_papers": "select * from {named} order by pr_rank limit 100",
-    "rank_outliers": "select * from {named} where pr_rank <= 100 and floor(cite_rank / pr_rank) >= 2",
+    "rank_outliers": "select * from {named} where pr_rank <= 100 and floor(cite_rank / pr_rank) >= 5",
     "top_pdb_papers": "select * replace (round(pagerank, 9) as pagerank) from {pdb_ranked} order by cite_rank limit 100",
     "year_stats": """select p.pub_year, count(*) as papers, sum(r.in_degree)::bigint as citations,
           round(avg(r.in_degree) / (select avg(in_degree) from {ranks}), 9) as relative_citations,

@@ -53,7 +53,7 @@ def read_summary_xml(spark: SparkSession, path: str) -> DataFrame:
 
 def _fields(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).filter(~F.col("value").startswith("*") & (F.trim("value") != ""))
-    return lines.select(F.transform(F.split("value", r"\|\|"), F.trim).alias("f"))
+    return lines.select(F.transform(F.split("value", r"\|\|"), lambda x: F.trim(x)).alias("f"))
 
 
 def _at(n: int) -> Column:

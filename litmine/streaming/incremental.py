@@ -11,12 +11,14 @@ from litmine.operators.mentions import mine_mentions
 from litmine.operators.rules import PDB, RulePack
 
 
-def article_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
-    """New Parquet files of articles, with the arrival time of their file as ``arrived``."""
+def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: str = "*.parquet",
+                max_files: int = 1000) -> DataFrame:
+    """New Parquet files of a folder, with the arrival time of their file as ``arrived``."""
     return (
         spark.readStream.schema(schema)
+        .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", max_files)
-        .parquet(path)
+        .parquet(folder)
         .withColumn("arrived", F.col("_metadata.file_modification_time"))
     )
 
