@@ -13,8 +13,11 @@ from litmine.operators.rules import LOOSE_ID, PDB, Rule, RulePack
 
 def may_hold_id(text: Column, pack: RulePack = PDB) -> Column:
     """True if the text holds an id of the pack; used on documents and again on sentences."""
-    tests = [F.contains(text, F.lit(literal)) & text.rlike(pattern) for literal, pattern in pack.extra_ids]
-    return reduce(lambda a, b: a | b, tests, text.rlike(pack.prefilter))
+    tests = [
+        F.contains(text, F.lit(literal)) & text.rlike(pattern) if literal else text.rlike(pattern)
+        for literal, pattern in pack.prefilter
+    ]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def find_ids(sentence: Column, pack: RulePack = PDB) -> Column:
@@ -96,15 +99,14 @@ def mentions_known(docs: DataFrame, known_ids: DataFrame, key: str, text: str =
     return hits.join(known_ids.select("pdb_id"), "pdb_id", "left_semi").select(key).distinct()
 
 
-def first_format(files: DataFrame, key: str = "file_name", order: tuple[str, ...] = ("format_rank", "archive"),
-                 row_key: str = "archive") -> DataFrame:
-    """Keep one copy per article: the smallest by ``order``.
+def first_format(files: DataFrame, key: str = "file_name", order: tuple[str, ...] = ("format_rank", "archive")) -> DataFrame:
+    """Keep one copy per article: the smallest by ``order``, whose columns should tell the copies apart.
 
-    The winner is found by a partial aggregate over the narrow key columns, so a name that holds a large
-    share of all rows is combined before the shuffle; texts meet the winners on the unique row key.
+    The winner is found by a partial aggregate over the narrow columns, so a name that holds a large share of
+    all rows is combined before the shuffle; texts meet the winners on name and order columns together.
     """
-    winner = files.groupBy(key).agg(F.min(F.struct(*order, row_key)).alias("w")).select(key, "w." + row_key)
-    return files.join(winner, [key, row_key], "left_semi")
+    first = files.groupBy(key).agg(F.min(F.struct(*order)).alias("first")).select(key, "first.*")
+    return files.join(first, [key, *order], "left_semi")
 
 
 def since(files: DataFrame, updates: DataFrame, last_updated: str, key: str = "file_name") -> DataFrame:

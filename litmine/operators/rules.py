@@ -18,11 +18,15 @@ class Rule:
 
 @dataclass(frozen=True)
 class RulePack:
-    """Identifier pattern plus ordered context rules; the first rule that fires gives the class."""
+    """Identifier pattern plus ordered context rules; the first rule that fires gives the class.
+
+    ``prefilter`` holds ``(literal, pattern)`` pairs: a text may hold an id if one of the patterns is found,
+    and a pattern is only tried on a text with its literal.
+    """
 
     name: str
     id_pattern: str
-    prefilter: str
+    prefilter: tuple[tuple[str, str], ...]
     rules: tuple[Rule, ...]
     default: str
     extra_ids: tuple[tuple[str, str], ...] = field(default=())
@@ -30,14 +34,16 @@ class RulePack:
 
 
 # Identifier pattern, context patterns and class names, in the order they are tried.
-_ID = "[1-9](?:[A-Z0-9]{3}|[a-z0-9]{3})"
+_REST = "(?:[A-Z0-9]{3}|[a-z0-9]{3})"
+_ID = f"[1-9]{_REST}"
 _DOI = "10.2210/pdb"
 _FOUR_DIGITS = r"\d{4}"
 
 PDB = RulePack(
     name="pdb",
-    id_pattern=rf"(?<![.·])\b(?!\d{{4}}\b){_ID}\b",
-    prefilter=rf"\b(?!\d{{4}}\b){_ID}\b",
+    # The tests on what stands before come after the first digit, so that most places fail on one character.
+    id_pattern=rf"[1-9](?<=\b\d)(?<![.·]\d)(?!\d{{3}}\b){_REST}\b",
+    prefilter=(("", rf"[1-9](?<=\b\d)(?!\d{{3}}\b){_REST}\b"), (_DOI, rf"{_DOI}{_ID}/pdb")),
     extra_ids=((_DOI, rf"{_DOI}({_ID})/pdb"),),
     default="PDB_NONE",
     rules=(
@@ -85,8 +91,12 @@ _LICENCE = "(?i:licen[sc]e)"
 CONTACT = RulePack(
     name="contact",
     id_pattern=f"{_MAIL}|{_IPV4}|{_PHONE}|{_LICENCE}",
-    # Holds a hit exactly if the id pattern does, but starts each try at one character instead of a whole word.
-    prefilter=rf"(?<=[\w.+-])@[\w-]+\.[\w.]|(?=\d){_IPV4}|\d[\d() -]{{7,}}\d|{_LICENCE}",
+    # Finds a hit exactly if the id pattern does, but starts at one character instead of a whole word.
+    prefilter=(
+        ("@", r"[\w.+-]@[\w-]+\.[\w.]"),
+        ("", r"\d(?:(?<=\b\d)\d{0,2}(?:\.\d{1,3}){3}\b|[\d() -]{7,}\d)"),
+        ("", "[Ll](?i:icen[sc]e)"),
+    ),
     default="NONE",
     upper=False,
     rules=(

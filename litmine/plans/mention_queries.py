@@ -52,7 +52,7 @@ def sentence_rows(t: Tables) -> DataFrame:
 
 def format_choice(t: Tables) -> DataFrame:
     files = t.v_article_files.select("doc_id", "file_name", "format", "text", format_rank().alias("format_rank"))
-    kept = mentions.first_format(files, order=("format_rank",), row_key="doc_id")
+    kept = mentions.first_format(files, order=("format_rank", "doc_id"))
     return kept.select("file_name", "doc_id", "format", F.md5("text").alias("md5"))
 
 

@@ -97,7 +97,7 @@ def archive_mentions(t: Tables) -> DataFrame:
     files = _archived(t).withColumns({
         "file_name": F.regexp_replace("file_name", r"_\d+$", ""), "format_rank": archives.format_rank(),
     })
-    kept = first_format(files, order=("format_rank", "archive"), row_key="entry_name")
+    kept = first_format(files, order=("format_rank", "archive", "entry_name"))
     return mine_mentions(kept.select("file_name", "text"), CONTACT, "found").groupBy("match_type").agg(
         F.count("*").alias("mentions")
     )

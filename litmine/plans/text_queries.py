@@ -9,7 +9,7 @@ from litmine.functions.text import STOP_WORDS, content_words
 from litmine.operators import labels, model, similarity
 from litmine.plans.mention_queries import labelled
 from litmine.plans.tables import Tables, with_views
-from litmine.session import cut, scratch_path
+from litmine.session import cut, scratch_path, spread
 
 
 def articles(t: Tables) -> DataFrame:
@@ -30,7 +30,7 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def article_hash(t: Tables) -> DataFrame:
-    return articles(t).select(
+    return spread(articles(t), "doc_id").select(
         "doc_id", F.array_join(similarity.hashed_features(F.col("text")), ",").alias("features")
     )
 

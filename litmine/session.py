@@ -47,6 +47,15 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_dir(spark)}/litmine-{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give costly row work to all slots if the input comes in fewer parts, as a small file does.
+
+    Large inputs have more parts than slots and are left as they are.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise on shared storage and drop the lineage, so that loops stay flat and survive lost executors."""
     checkpoint_dir(df.sparkSession)

@@ -25,10 +25,10 @@ def read_link_xml(spark: SparkSession, path: str) -> DataFrame:
 
     def linked(name: str) -> Column:
         lists = F.filter(F.coalesce("LinkSetDb", F.array()), lambda db: db["LinkName"] == name)
-        return F.flatten(F.transform(lists, lambda db: F.transform(db["Link"], lambda x: x["Id"].cast("bigint"))))
+        return F.flatten(F.transform(lists, lambda db: F.transform(db["Link"], lambda x: x["Id"].try_cast("bigint"))))
 
     return raw.select(
-        F.get("IdList.Id", F.lit(0)).cast("bigint").alias("pubmed_id"),
+        F.get("IdList.Id", F.lit(0)).try_cast("bigint").alias("pubmed_id"),
         linked(CITED_IN).alias("cited_in"),
         linked(REFERENCES).alias("refs"),
     ).select(*schemas.LINK_SETS.names)
@@ -42,7 +42,7 @@ def read_summary_xml(spark: SparkSession, path: str) -> DataFrame:
         return F.get(F.filter("Item", lambda x: x["_Name"] == name), F.lit(0))["_VALUE"]
 
     return raw.select(
-        F.col("Id").cast("bigint").alias("pubmed_id"),
+        F.col("Id").try_cast("bigint").alias("pubmed_id"),
         item("Title").alias("title"),
         F.substring(item("PubDate"), 1, 4).try_cast("int").alias("pub_year"),
         item("FullJournalName").alias("journal"),
@@ -62,18 +62,18 @@ def _at(n: int) -> Column:
 
 def _ids(text: Column) -> Column:
     parts = F.filter(F.split(text, ","), lambda x: F.trim(x) != "")
-    return F.transform(parts, lambda x: F.trim(x).cast("bigint"))
+    return F.transform(parts, lambda x: F.trim(x).try_cast("bigint"))
 
 
 def read_link_text(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path).select(
-        _at(0).cast("bigint").alias("pubmed_id"), _ids(_at(1)).alias("cited_in"), _ids(_at(2)).alias("refs")
+        _at(0).try_cast("bigint").alias("pubmed_id"), _ids(_at(1)).alias("cited_in"), _ids(_at(2)).alias("refs")
     )
 
 
 def read_summary_text(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path).select(
-        _at(0).cast("bigint").alias("pubmed_id"),
+        _at(0).try_cast("bigint").alias("pubmed_id"),
         _at(1).alias("title"),
         _at(2).try_cast("int").alias("pub_year"),
         _at(3).alias("journal"),

@@ -133,7 +133,7 @@ def read_id_papers(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.schema(_text_schema(["pdb_id", "pubmed_id"])).csv(path)
     clean = raw.select(*[unquote(F.col(c)).alias(c) for c in raw.columns])
     return clean.filter(~F.col("pdb_id").startswith("PDB") & F.col("pubmed_id").isNotNull()).select(
-        "pdb_id", F.col("pubmed_id").cast("bigint").alias("pubmed_id")
+        "pdb_id", F.col("pubmed_id").try_cast("bigint").alias("pubmed_id")
     )
 
 

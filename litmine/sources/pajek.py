@@ -28,13 +28,13 @@ def read_network(spark: SparkSession, path: str, check: bool = True) -> Graph:
     if check:
         _check_counts(lines, path)
     vertices = lines.filter(node).select(
-        F.regexp_extract("value", _NODE, 1).cast("bigint").alias("id"),
+        F.regexp_extract("value", _NODE, 1).try_cast("bigint").alias("id"),
         F.regexp_extract("value", _NODE, 2).alias("name"),
         _weight(_NODE).alias("node_weight"),
     )
     edges = lines.filter(link).select(
-        F.regexp_extract("value", _LINK, 1).cast("bigint").alias("src"),
-        F.regexp_extract("value", _LINK, 2).cast("bigint").alias("dst"),
+        F.regexp_extract("value", _LINK, 1).try_cast("bigint").alias("src"),
+        F.regexp_extract("value", _LINK, 2).try_cast("bigint").alias("dst"),
         _weight(_LINK).alias("weight"),
     )
     ids = vertices.select("id")
@@ -98,4 +98,4 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).filter(~F.col("value").startswith("*") & (F.trim("value") != ""))
     f = F.split("value", r"\s*\|\|\s*", 6)
     types = ("bigint", "bigint", "bigint", "double", "double", "string")
-    return lines.select(*[F.get(f, F.lit(i)).cast(t).alias(n) for i, (n, t) in enumerate(zip(_METRICS, types))])
+    return lines.select(*[F.get(f, F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(zip(_METRICS, types))])
