@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmine.operators.graph import Graph
+from litmine.operators.spread import EDGES_PER_KEY, PlacedEdges, place_edges
 from litmine.session import cut
 
 # Settings of the power method.
@@ -20,33 +22,6 @@ ALPHA_STEP = 1e-10
 BASE_RANK = 0.15
 DAMPING = 0.85
 
-# A source with more out-edges than this has them spread over several join keys.
-EDGES_PER_KEY = 50_000
-
-
-def _spread_edges(edges: DataFrame, value: str, per_key: int) -> tuple[DataFrame, DataFrame]:
-    """``(out, edges)``: per source the out-sum and the number of keys, and the edges with their key ``k``.
-
-    The edges are placed once by ``(src, k)`` and kept; a source with a large share of all edges is then
-    in many partitions, and every round of a loop joins to them without moving an edge.
-    """
-    out = edges.groupBy("src").agg(
-        F.sum(value).alias("out_sum"), F.ceil(F.count("*") / per_key).cast("int").alias("keys")
-    )
-    keys = F.coalesce(F.col("keys"), F.lit(1))
-    many = out.filter(F.col("keys") > 1).select("src", "keys")
-    placed = (
-        edges.join(many, "src", "left")
-        .select("src", F.pmod(F.xxhash64("dst"), keys).cast("int").alias("k"), "dst", value)
-        .repartition(_partitions(edges), "src", "k")
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    return out, placed
-
-
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
 
 def pagerank(
     graph: Graph,
@@ -61,61 +36,48 @@ def pagerank(
     Teleport weight is the node weight (column ``node_weight``, else 1) over its total, dangling mass goes the
     same way. Stops after ``max_iter`` rounds, or after ``min_iter`` once the L1 change is at most ``tol``.
 
-    One round: rank per out-weight meets the edges on ``(src, k)``, and the flows are summed by target
-    together with the vertex rows in one shuffle. Flows are combined on the map side, so much-cited nodes
-    are cheap. The new state is put on shared storage; one aggregate over it gives the sum, the dangling mass
-    and the change.
+    One round: rank per out-weight meets the placed edges, and the flows are summed by target together with
+    the vertex rows in one shuffle. Flows are combined on the map side, so much-cited nodes are cheap. The new
+    state is put on shared storage; one aggregate over it gives the sum, the dangling mass and the change.
     """
     edges = cut(graph.simple().edges)
-    out, placed = _spread_edges(edges, "weight", per_key)
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out_sum"))
     has_weight = "node_weight" in graph.vertices.columns
     weight = F.when(F.col("node_weight") > 0, F.col("node_weight")).otherwise(1.0) if has_weight else F.lit(1.0)
-    nodes = graph.vertices.select("id", weight.alias("node_weight"))
-    total = nodes.agg(F.count("*").alias("n"), F.sum("node_weight").alias("w")).first()
+    nodes = cut(graph.vertices.select("id", weight.alias("node_weight")).join(out, "id", "left"))
+    total = nodes.agg(
+        F.count("*").alias("n"),
+        F.sum("node_weight").alias("weight"),
+        F.sum(F.when(F.col("out_sum").isNull(), 1)).alias("dangling"),
+    ).first()
     if not total["n"]:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
-    state = cut(
-        nodes.join(out.withColumnRenamed("src", "id"), "id", "left").select(
-            "id",
-            (F.col("node_weight") / total["w"]).alias("teleport"),
-            "out_sum",
-            F.coalesce("keys", F.lit(1)).alias("keys"),
-            F.lit(1.0 / total["n"]).alias("rank"),
-        )
+    placed = place_edges(edges, "src", "dst", per_key)
+    state = nodes.select(
+        "id",
+        (F.col("node_weight") / total["weight"]).alias("teleport"),
+        "out_sum",
+        F.lit(1.0 / total["n"]).alias("rank"),
     )
-    dangling = state.agg(F.sum(F.when(F.col("out_sum").isNull(), F.col("rank")))).first()[0] or 0.0
-    norm, change = 1.0, 1.0
+    dangling, norm, change = (total["dangling"] or 0) / total["n"], 1.0, 1.0
     for done in range(1, max_iter + 1):
         beta = 1.0 - alpha
         rank = F.col("rank") / norm
         push = state.filter(F.col("out_sum").isNotNull()).select(
-            F.col("id").alias("src"),
-            F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("k"),
-            (rank / F.col("out_sum")).alias("share"),
+            F.col("id").alias("src"), (rank / F.col("out_sum")).alias("share")
         )
-        none = F.lit(None)
-        flows = placed.join(push, ["src", "k"]).select(
+        none = F.lit(None).cast("double")
+        flows = placed.meet(push).select(
             F.col("dst").alias("id"),
             (F.col("share") * F.col("weight")).alias("flow"),
-            none.cast("double").alias("teleport"),
-            none.cast("double").alias("out_sum"),
-            none.cast("int").alias("keys"),
-            none.cast("double").alias("before"),
+            *[none.alias(c) for c in ("teleport", "out_sum", "before")],
         )
-        rows = state.select("id", F.lit(0.0).alias("flow"), "teleport", "out_sum", "keys", rank.alias("before"))
+        rows = state.select("id", F.lit(0.0).alias("flow"), "teleport", "out_sum", rank.alias("before"))
         summed = flows.unionByName(rows).groupBy("id").agg(
-            F.sum("flow").alias("flow"), *[F.max(c).alias(c) for c in ("teleport", "out_sum", "keys", "before")]
-        )
-        state = cut(
-            summed.select(
-                "id",
-                "teleport",
-                "out_sum",
-                "keys",
-                "before",
-                ((alpha + beta * dangling) * F.col("teleport") + beta * F.col("flow")).alias("rank"),
-            )
+            F.sum("flow").alias("flow"), *[F.max(c).alias(c) for c in ("teleport", "out_sum", "before")]
         )
+        new = (alpha + beta * dangling) * F.col("teleport") + beta * F.col("flow")
+        state = cut(summed.select("id", "teleport", "out_sum", "before", new.alias("rank")))
         seen = state.agg(
             F.sum("rank").alias("norm"),
             F.sum(F.when(F.col("out_sum").isNull(), F.col("rank"))).alias("dangling"),
@@ -127,7 +89,7 @@ def pagerank(
             alpha += ALPHA_STEP
         if done >= min_iter and change <= tol:
             break
-    placed.unpersist()
+    placed.release()
     return state.select("id", (F.col("rank") / norm).alias("pagerank"))
 
 
@@ -136,24 +98,17 @@ def pagerank_simple(edges: DataFrame, iterations: int, per_key: int = EDGES_PER_
 
     All sources start with 1.0; a node without an incoming share has no rank in the next round.
     """
-    pairs = cut(edges.select("src", "dst").distinct().withColumn("one", F.lit(1.0)))
-    out, placed = _spread_edges(pairs, "one", per_key)
-    out = cut(out.select(F.col("src").alias("id"), "out_sum", "keys"))
-    ranks = out.select("id", F.lit(1.0).alias("rank"))
+    pairs = cut(edges.select("src", "dst").distinct())
+    out = cut(pairs.groupBy("src").agg(F.count("*").alias("n")))
+    placed = place_edges(pairs, "src", "dst", per_key)
+    ranks = out.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
     for done in range(1, iterations + 1):
-        push = ranks.join(out, "id").select(
-            F.col("id").alias("src"),
-            F.explode(F.sequence(F.lit(0), F.col("keys") - 1)).alias("k"),
-            (F.col("rank") / F.col("out_sum")).alias("share"),
-        )
-        ranks = (
-            placed.join(push, ["src", "k"])
-            .groupBy(F.col("dst").alias("id"))
-            .agg((BASE_RANK + DAMPING * F.sum("share")).alias("rank"))
-        )
+        push = ranks.withColumnRenamed("id", "src").join(out, "src").select("src", (F.col("rank") / F.col("n")).alias("share"))
+        flows = placed.meet(push).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("flow"))
+        ranks = flows.select("id", (BASE_RANK + DAMPING * F.col("flow")).alias("rank"))
         if done % every == 0 or done == iterations:
             ranks = cut(ranks)
-    placed.unpersist()
+    placed.release()
     return ranks
 
 
@@ -170,30 +125,34 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, chunk: int = 256
     count shortest paths, one per level backward to add up dependencies.
     """
     edges = cut(graph.edges.select("src", "dst").distinct())
+    forward = place_edges(edges.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v", "w")
+    backward = place_edges(edges.select(F.col("src").alias("v"), F.col("dst").alias("w")), "w", "v")
     starts = cut((graph.vertices if sources is None else sources).select("id").distinct())
     n_chunks = max(1, -(-starts.count() // chunk))
     part = F.pmod(F.xxhash64("id"), F.lit(n_chunks))
     total = None
     for c in range(n_chunks):
-        found = _dependencies(edges, starts.filter(part == c) if n_chunks > 1 else starts)
+        found = _dependencies(forward, backward, starts.filter(part == c) if n_chunks > 1 else starts)
         if found is not None:
-            total = cut(found if total is None else total.unionByName(found).groupBy("id").agg(F.sum("delta").alias("delta")))
+            total = cut(found if total is None else _sums(total.unionByName(found)))
+    forward.release()
+    backward.release()
     ids = graph.vertices.select("id")
     if total is None:
         return ids.select("id", F.lit(0.0).alias("betweenness"))
     return ids.join(total, "id", "left").select("id", F.coalesce("delta", F.lit(0.0)).alias("betweenness"))
 
 
-def _dependencies(edges: DataFrame, starts: DataFrame) -> DataFrame | None:
+def _sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("id").agg(F.sum("delta").alias("delta"))
+
+
+def _dependencies(forward: PlacedEdges, backward: PlacedEdges, starts: DataFrame) -> DataFrame | None:
     """Sum over the start nodes of the dependency of each other node, as ``(id, delta)``."""
     level = cut(starts.select(F.col("id").alias("source"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
     levels, seen = [level], level.select("source", "v")
     while True:
-        reached = (
-            level.join(edges.withColumnRenamed("src", "v"), "v")
-            .groupBy("source", F.col("dst").alias("v"))
-            .agg(F.sum("paths").alias("paths"))
-        )
+        reached = forward.meet(level).groupBy("source", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
         level = cut(reached.join(seen, ["source", "v"], "left_anti"))
         if level.isEmpty():
             break
@@ -203,21 +162,13 @@ def _dependencies(edges: DataFrame, starts: DataFrame) -> DataFrame | None:
         return None  # no node lies between two others
     parts = []
     credit = levels[-1].select("source", F.col("v").alias("w"), (1.0 / F.col("paths")).alias("credit"))
-    back = edges.select(F.col("src").alias("v"), F.col("dst").alias("w"))
     for level in reversed(levels[1:-1]):
-        gained = (
-            credit.join(back, "w")
-            .groupBy("source", "v")
-            .agg(F.sum("credit").alias("gain"))
-        )
+        gained = backward.meet(credit).groupBy("source", "v").agg(F.sum("credit").alias("gain"))
         here = cut(
             level.join(gained, ["source", "v"], "left").select(
                 "source", "v", "paths", (F.col("paths") * F.coalesce("gain", F.lit(0.0))).alias("delta")
             )
         )
-        parts.append(here.groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("delta")))
+        parts.append(here.select(F.col("v").alias("id"), "delta"))
         credit = here.select("source", F.col("v").alias("w"), ((1.0 + F.col("delta")) / F.col("paths")).alias("credit"))
-    total = parts[0]
-    for more in parts[1:]:
-        total = total.unionByName(more)
-    return total.groupBy("id").agg(F.sum("delta").alias("delta"))
+    return _sums(reduce(DataFrame.unionByName, parts))

@@ -1,12 +1,21 @@
-"""Equi joins whose output per key is far larger than their input."""
+"""Joins on keys that hold a large share of the rows."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litmine.session import cut
+
+# Rows of the left side per join key in ``block_join``.
 BLOCK = 512
 
+# Edges of one node per join key in ``place_edges``.
+EDGES_PER_KEY = 50_000
+
 
 def block_join(left: DataFrame, right: DataFrame, keys: list[str], row: str, block: int = BLOCK) -> DataFrame:
     """Inner join on ``keys`` in which a key with many left rows becomes several join keys.
@@ -26,3 +35,43 @@ def block_join(left: DataFrame, right: DataFrame, keys: list[str], row: str, blo
         right.join(many, keys, "left").withColumn("k", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
     )
     return placed.join(copied, [*keys, "k"]).drop("k")
+
+
+@dataclass(frozen=True)
+class PlacedEdges:
+    """Edges kept in memory or on disk by their key, for loops that join to them in every round.
+
+    Only the other side of the join moves. ``many`` has the nodes whose edges lie under several keys, at
+    most one per ``EDGES_PER_KEY`` edges; it is None if there are none.
+    """
+
+    rows: DataFrame
+    key: str
+    many: DataFrame | None
+
+    def meet(self, frontier: DataFrame) -> DataFrame:
+        """Inner join of ``frontier`` with the edges on the key."""
+        if self.many is None:
+            return frontier.join(self.rows, self.key)
+        keys = F.coalesce("keys", F.lit(1))
+        copied = frontier.join(self.many, self.key, "left")
+        copied = copied.withColumn("k", F.explode(F.sequence(F.lit(0), keys - 1))).drop("keys")
+        return copied.join(self.rows, [self.key, "k"]).drop("k")
+
+    def release(self) -> None:
+        self.rows.unpersist()
+
+
+def place_edges(edges: DataFrame, key: str, other: str, per_key: int = EDGES_PER_KEY) -> PlacedEdges:
+    """Partition edges once by the node in ``key``; a node with very many edges is spread over several keys.
+
+    ``edges`` should be on shared storage, so that lost partitions are cheap to make again.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = edges.groupBy(key).agg(F.ceil(F.count("*") / per_key).cast("int").alias("keys"))
+    many = cut(counts.filter(F.col("keys") > 1))
+    if many.isEmpty():
+        return PlacedEdges(edges.repartition(parts, key).persist(StorageLevel.MEMORY_AND_DISK), key, None)
+    k = F.pmod(F.xxhash64(other), F.coalesce("keys", F.lit(1))).cast("int")
+    rows = edges.join(many, key, "left").withColumn("k", k).drop("keys").repartition(parts, key, "k")
+    return PlacedEdges(rows.persist(StorageLevel.MEMORY_AND_DISK), key, many)

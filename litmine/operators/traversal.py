@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from litmine.operators.spread import place_edges
 from litmine.session import cut
 
 
@@ -21,16 +22,20 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def _levels(starts: DataFrame, steps: DataFrame) -> DataFrame:
-    """``(id, level)``: all nodes that can be reached, with the number of steps. One shuffle join per level."""
+    """``(id, level)``: all nodes that can be reached, with the number of steps.
+
+    One join per level; the steps are placed once, so only the frontier and the reached ids move.
+    """
+    placed = place_edges(steps, "id", "next")
     frontier = cut(starts.select("id").distinct().withColumn("level", F.lit(0)))
     reached, level = frontier, 0
-    while True:
+    while not frontier.isEmpty():
         level += 1
-        step = frontier.select("id").join(steps, "id").select(F.col("next").alias("id")).distinct()
+        step = placed.meet(frontier.select("id")).select(F.col("next").alias("id")).distinct()
         frontier = cut(step.join(reached.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            return reached
         reached = reached.unionByName(frontier)
+    placed.release()
+    return reached
 
 
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ HUBS = ("Brand#11", "Brand#23", "Brand#35", "Brand#52")
 PIVOTS = 4
 # The SQL twins of the loops are unrolled; this is more than the longest shortest path at sf0.01.
 LEVELS = 48
+PEELS = 30
 
 
 def papers_graph(t: Tables) -> Graph:
@@ -276,7 +277,7 @@ ORACLE_VIEWS = {
     **_graph_views("s", "v_links_sparse"),
     **_journal_views("j", "g_edges"),
     **_journal_views("sj", "s_edges"),
-    **_peel_views(3),
+    **_peel_views(PEELS),
     **_pagerank_views(10, centrality.TELEPORT),
     **_simple_rank_views(5),
     **_between_views(LEVELS),
@@ -357,6 +358,7 @@ ORACLES = {
     "journal_labels": "select id, name || ' || ' || id as label from {j_nodes}",
     "clean_journal_graph": f"""select * from {{j_edges}} where src <> dst and src not in {HUBS} and dst not in {HUBS}""",
     "clean_papers_rounds": "select * from {c3}",
+    "clean_papers_fixpoint": f"select * from {{c{PEELS}}}",
     "cocitation": "select * from {cocited}",
     "cocitation_strength": "select src as id, count(*) as partners, sum(weight)::bigint as strength from {cocited} group by 1",
     "degrees": "select * from {g_degrees}",

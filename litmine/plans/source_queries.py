@@ -97,7 +97,7 @@ def archive_mentions(t: Tables) -> DataFrame:
     files = _archived(t).withColumns({
         "file_name": F.regexp_replace("file_name", r"_\d+$", ""), "format_rank": archives.format_rank(),
     })
-    kept = first_format(files, order=("format_rank", "archive", "entry_name"))
+    kept = first_format(files, order=("format_rank", "entry_name"))
     return mine_mentions(kept.select("file_name", "text"), CONTACT, "found").groupBy("match_type").agg(
         F.count("*").alias("mentions")
     )
@@ -358,9 +358,12 @@ ORACLE_VIEWS = {
         select src, dst, 1.0::double as weight from {v_links}
         where src in (select pubmed_id from {v_papers}) and dst in (select pubmed_id from {v_papers})""",
     "e_journals": "select journal_id, min(journal) as journal from {v_papers} group by 1",
+    "e_docs": mention_queries.ORACLE_VIEWS["o_docs"].replace("{documents}", "{e_kept}"),
+    "e_contact": mention_queries.ORACLE_VIEWS["o_contact"].replace("{o_docs}", "{e_docs}"),
     "e_kept": """
         select doc_id, text from (select *, row_number() over (partition by file_name
-          order by case format when 'nxml' then 0 else 1 end, doc_id) as rn from {v_article_files}) f where rn = 1""",
+          order by case format when 'nxml' then 0 else 1 end, file_name || '_' || doc_id || '.' || format) as rn
+          from {v_article_files}) f where rn = 1""",
 }
 
 ORACLES = {
@@ -378,6 +381,7 @@ ORACLES = {
         from {v_entries}""",
     "archive_roundtrip": """select 'Journal/' || file_name || '_' || doc_id || '.' || format as entry_name,
         file_name || '_' || doc_id as file_name, format, md5(text) as md5 from {v_article_files}""",
+    "archive_mentions": "select match_type, count(*) as mentions from {e_contact} group by 1",
     "link_xml": _LISTS,
     "link_text": _LISTS,
     "link_text_edges": """select src, dst, 1.0::double as weight from {v_links_sparse}
