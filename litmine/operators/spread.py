@@ -63,7 +63,7 @@ class PlacedEdges:
 
 
 def place_edges(edges: DataFrame, key: str, other: str, per_key: int = EDGES_PER_KEY) -> PlacedEdges:
-    """Partition edges once by the node in ``key``; a node with very many edges is spread over several keys.
+    """Partition and sort edges once by the node in ``key``; a node with very many edges is spread over several keys.
 
     ``edges`` should be on shared storage, so that lost partitions are cheap to make again.
     """
@@ -71,7 +71,9 @@ def place_edges(edges: DataFrame, key: str, other: str, per_key: int = EDGES_PER
     counts = edges.groupBy(key).agg(F.ceil(F.count("*") / per_key).cast("int").alias("keys"))
     many = cut(counts.filter(F.col("keys") > 1))
     if many.isEmpty():
-        return PlacedEdges(edges.repartition(parts, key).persist(StorageLevel.MEMORY_AND_DISK), key, None)
+        rows = edges.repartition(parts, key).sortWithinPartitions(key)
+        return PlacedEdges(rows.persist(StorageLevel.MEMORY_AND_DISK), key, None)
     k = F.pmod(F.xxhash64(other), F.coalesce("keys", F.lit(1))).cast("int")
     rows = edges.join(many, key, "left").withColumn("k", k).drop("keys").repartition(parts, key, "k")
+    rows = rows.sortWithinPartitions(key, "k")
     return PlacedEdges(rows.persist(StorageLevel.MEMORY_AND_DISK), key, many)
