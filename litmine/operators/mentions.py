@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from litmine.functions.text import blind, split_sentences, squeeze, strip_tags
 from litmine.operators.rules import LOOSE_ID, PDB, Rule, RulePack
 
+_MARK = "\u0001"
+
 
 def may_hold_id(text: Column, pack: RulePack = PDB) -> Column:
     """True if the text holds an id of the pack; used on documents and again on sentences."""
@@ -22,14 +24,16 @@ def may_hold_id(text: Column, pack: RulePack = PDB) -> Column:
 
 def find_ids(sentence: Column, pack: RulePack = PDB) -> Column:
     """Sorted array of the distinct ids of a sentence."""
-    case = F.upper if pack.upper else (lambda c: c)
     found = F.regexp_extract_all(sentence, F.lit(pack.id_pattern), 0)
     for literal, pattern in pack.extra_ids:
         first = F.regexp_extract(sentence, pattern, 1)
         found = F.concat(
             found, F.when(F.contains(sentence, F.lit(literal)) & (first != ""), F.array(first)).otherwise(F.array())
         )
-    return F.array_sort(F.array_distinct(F.transform(found, case)))
+    if pack.upper:
+        # One upper() over the joined ids keeps the expression in generated code; a lambda per id would not.
+        found = F.array_remove(F.split(F.upper(F.array_join(found, _MARK)), _MARK), "")
+    return F.sort_array(F.array_distinct(found))
 
 
 def _fires(sentence: Column, rule: Rule) -> Column:
@@ -93,9 +97,8 @@ def mentions_known(docs: DataFrame, known_ids: DataFrame, key: str, text: str =
 
     ``known_ids`` is broadcast by Catalyst only while its measured size is below the session's limit.
     """
-    hits = docs.select(key, F.explode(F.array_distinct(F.transform(
-        F.regexp_extract_all(F.col(text), F.lit(LOOSE_ID), 1), lambda x: F.upper(F.right(x, F.lit(4)))
-    ))).alias("pdb_id"))
+    found = docs.select(key, F.explode_outer(F.regexp_extract_all(F.col(text), F.lit(LOOSE_ID), 1)).alias("hit"))
+    hits = found.select(key, F.upper(F.right("hit", F.lit(4))).alias("pdb_id"))
     return hits.join(known_ids.select("pdb_id"), "pdb_id", "left_semi").select(key).distinct()
 
 
