@@ -219,45 +219,51 @@ def summary(graph: Graph) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-# Ids of the four large journals without one field that are left out of the clean graph.
-HUB_JOURNALS = ("0410462", "0404511", "7505876", "101285081")
+def _ends(edges: DataFrame) -> DataFrame:
+    """``(id, in_weight, out_weight)`` of the nodes that have an edge."""
+    w, zero = F.col("weight"), F.lit(0.0)
+    rows = edges.select(
+        F.inline(
+            F.array(
+                F.struct(F.col("src").alias("id"), zero.alias("iw"), w.alias("ow")),
+                F.struct(F.col("dst").alias("id"), w.alias("iw"), zero.alias("ow")),
+            )
+        )
+    )
+    return rows.groupBy("id").agg(F.sum("iw").alias("in_weight"), F.sum("ow").alias("out_weight"))
 
 
-def _peel(graph: Graph) -> Graph:
-    """Drop the nodes without in-weight or without out-weight, all judged on the same state."""
-    keep = (
-        degrees(graph)
-        .filter((F.col("in_weight") >= 1) & (F.col("out_weight") >= 1))
-        .select("id")
-    )
-    keep = cut(keep)
-    edges = graph.edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        keep.withColumnRenamed("id", "dst"), "dst", "left_semi"
-    )
-    return Graph(graph.vertices.join(keep, "id", "left_semi"), edges.select("src", "dst", "weight"), graph.is_simple)
+def _peel(edges: DataFrame) -> DataFrame:
+    """Without the nodes that lack in-weight or out-weight, all judged on the same state."""
+    keep = _ends(edges).filter((F.col("in_weight") >= 1) & (F.col("out_weight") >= 1)).select("id")
+    left = edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi")
+    return left.join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "weight")
+
+
+# Ids of the four large journals without one field that are left out of the clean graph.
+HUB_JOURNALS = ("0410462", "0404511", "7505876", "101285081")
 
 
 def clean_graph(graph: Graph, hubs: tuple[str, ...] = HUB_JOURNALS, rounds: int | None = 1) -> Graph:
     """Without hubs, self links, and nodes that do not both give and get links; isolated nodes go last.
 
-    ``rounds=1`` judges the nodes once; ``rounds=None`` repeats until no node goes. Either does not depend
-    on an order of nodes.
+    ``rounds=1`` judges the nodes once; ``rounds=None`` repeats until no edge goes. Either does not depend
+    on an order of nodes. A node without edges never stays, so the rounds need the edges only.
     """
-    ids = F.col("id").cast("string")
-    vertices = graph.vertices.filter(~ids.isin(*hubs))
-    edges = graph.edges.filter(
-        (F.col("src") != F.col("dst"))
-        & ~F.col("src").cast("string").isin(*hubs)
-        & ~F.col("dst").cast("string").isin(*hubs)
-    ).select("src", "dst", "weight")
-    g = Graph(vertices, edges).simple().stored()
-    size, last, done = -1, -2, 0
-    while size != last and done != rounds:
-        g, done = _peel(g).stored(), done + 1
+    def named(column: str) -> Column:
+        return F.col(column).cast("string").isin(*hubs)
+
+    edges = graph.simple().edges.filter((F.col("src") != F.col("dst")) & ~named("src") & ~named("dst"))
+    edges = cut(edges.select("src", "dst", "weight"))
+    size, done = None, 0
+    while done != rounds:
+        edges, done = cut(_peel(edges)), done + 1
         if rounds is None:
-            size, last = g.vertices.count(), size
-    linked = degrees(g).filter((F.col("in_degree") > 0) | (F.col("out_degree") > 0)).select("id")
-    return Graph(g.vertices.join(linked, "id", "left_semi"), g.edges, g.is_simple)
+            before, size = size, edges.count()
+            if size == before:
+                break
+    linked = _ends(edges).select("id")
+    return Graph(graph.vertices.join(linked, "id", "left_semi"), edges, is_simple=True)
 
 
 def number_vertices(graph: Graph) -> Graph:

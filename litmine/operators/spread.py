@@ -16,6 +16,10 @@ BLOCK = 512
 # Edges of one node per join key in ``place_edges``.
 EDGES_PER_KEY = 50_000
 
+# Edges per kept partition.
+MIN_EDGES = 50_000
+MAX_EDGES = 10_000_000
+
 
 def block_join(left: DataFrame, right: DataFrame, keys: list[str], row: str, block: int = BLOCK) -> DataFrame:
     """Inner join on ``keys`` in which a key with many left rows becomes several join keys.
@@ -37,6 +41,13 @@ def block_join(left: DataFrame, right: DataFrame, keys: list[str], row: str, blo
     return placed.join(copied, [*keys, "k"]).drop("k")
 
 
+def _parts(edges: DataFrame) -> int:
+    """Partitions for kept edges: the session's number, fewer for small and more for very large graphs."""
+    n = edges.count()
+    session = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(session, -(-n // MIN_EDGES)), -(-n // MAX_EDGES))
+
+
 @dataclass(frozen=True)
 class PlacedEdges:
     """Edges kept in memory or on disk by their key, for loops that join to them in every round.
@@ -67,7 +78,7 @@ def place_edges(edges: DataFrame, key: str, other: str, per_key: int = EDGES_PER
 
     ``edges`` should be on shared storage, so that lost partitions are cheap to make again.
     """
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = _parts(edges)
     counts = edges.groupBy(key).agg(F.ceil(F.count("*") / per_key).cast("int").alias("keys"))
     many = cut(counts.filter(F.col("keys") > 1))
     if many.isEmpty():

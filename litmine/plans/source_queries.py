@@ -308,12 +308,15 @@ def stream_first(t: Tables) -> DataFrame:
 
 def stream_windows(t: Tables) -> DataFrame:
     stream = incremental.file_stream(t.spark, t.folder, t.events.schema, "events.parquet")
-    timed = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    # The table has wall-clock times; a stream needs instants, and the result should not depend on the session's zone.
+    zone = F.current_timezone()
+    timed = stream.select(F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone).alias("ts"), "event_type")
     counts = incremental.windowed_counts(timed, "ts", ["event_type"], "1 day", "1 hour")
     out, state = _path(t, "windows"), _path(t, "windows-state")
     incremental.run_available(counts, out, state)
     read = t.spark.read.schema(counts.schema).parquet(out)
-    return read.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")
+    start = F.date_format(F.to_utc_timestamp("window_start", zone), "yyyy-MM-dd HH:mm")
+    return read.select(start.alias("window_start"), "event_type", "n")
 
 
 QUERIES = {
@@ -408,7 +411,7 @@ ORACLES = {
     "stored_label_sets": "select * exclude (set_name) from {o_labelled} where set_name = 'negatives_i'",
     "stream_mentions": "select * from {o_contact}",
     "stream_first": "select distinct file_name from {v_article_files}",
-    "stream_windows": """select epoch(date_trunc('day', ts))::bigint as window_start, event_type, count(*) as n from {events}
+    "stream_windows": """select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n from {events}
         where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from {events}) group by 1, 2""",
 }
 ORACLES = {name: with_views(sql, **ORACLE_VIEWS) for name, sql in ORACLES.items()}
