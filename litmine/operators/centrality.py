@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmine.operators.graph import Graph
 from litmine.operators.spread import EDGES_PER_KEY, PlacedEdges, place_edges
-from litmine.session import cut
+from litmine.session import cut, grown, union
 
 # Settings of the power method.
 TELEPORT = 0.5
@@ -150,14 +148,14 @@ def _sums(rows: DataFrame) -> DataFrame:
 def _dependencies(forward: PlacedEdges, backward: PlacedEdges, starts: DataFrame) -> DataFrame | None:
     """Sum over the start nodes of the dependency of each other node, as ``(id, delta)``."""
     level = cut(starts.select(F.col("id").alias("source"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
-    levels, seen = [level], level.select("source", "v")
+    levels, seen = [level], [level.select("source", "v")]
     while True:
         reached = forward.meet(level).groupBy("source", F.col("w").alias("v")).agg(F.sum("paths").alias("paths"))
-        level = cut(reached.join(seen, ["source", "v"], "left_anti"))
+        level = cut(reached.join(union(seen), ["source", "v"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-        seen = seen.unionByName(level.select("source", "v"))
+        seen = grown([*seen, level.select("source", "v")])
     if len(levels) < 3:
         return None  # no node lies between two others
     parts = []
@@ -171,4 +169,4 @@ def _dependencies(forward: PlacedEdges, backward: PlacedEdges, starts: DataFrame
         )
         parts.append(here.select(F.col("v").alias("id"), "delta"))
         credit = here.select("source", F.col("v").alias("w"), ((1.0 + F.col("delta")) / F.col("paths")).alias("credit"))
-    return _sums(reduce(DataFrame.unionByName, parts))
+    return _sums(union(parts))

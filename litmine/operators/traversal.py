@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmine.operators.spread import place_edges
-from litmine.session import cut
+from litmine.session import cut, grown, union
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -28,14 +28,14 @@ def _levels(starts: DataFrame, steps: DataFrame) -> DataFrame:
     """
     placed = place_edges(steps, "id", "next")
     frontier = cut(starts.select("id").distinct().withColumn("level", F.lit(0)))
-    reached, level = frontier, 0
+    reached, level = [frontier], 0
     while not frontier.isEmpty():
         level += 1
         step = placed.meet(frontier.select("id")).select(F.col("next").alias("id")).distinct()
-        frontier = cut(step.join(reached.select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
-        reached = reached.unionByName(frontier)
+        frontier = cut(step.join(union(reached).select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
+        reached = grown([*reached, frontier])
     placed.release()
-    return reached
+    return union(reached)
 
 
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:

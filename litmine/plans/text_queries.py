@@ -13,7 +13,7 @@ from litmine.session import cut, scratch_path, spread
 
 
 def articles(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", "text")
+    return spread(t.documents.select("doc_id", "text"), "doc_id")
 
 
 def similar(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -30,13 +30,15 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def article_hash(t: Tables) -> DataFrame:
-    return spread(articles(t), "doc_id").select(
+    return articles(t).select(
         "doc_id", F.array_join(similarity.hashed_features(F.col("text")), ",").alias("features")
     )
 
 
 def feature_pairs(t: Tables) -> DataFrame:
-    return rounded(similarity.feature_similarity(articles(t), similarity.hashed_features(F.col("text"))), "cosine")
+    """The tables have no features over the usual limit of 0.9, so this takes 0.5."""
+    features = similarity.hashed_features(F.col("text"))
+    return rounded(similarity.feature_similarity(articles(t), features, above=0.5), "cosine")
 
 
 def vector_sizes(t: Tables) -> DataFrame:
@@ -151,6 +153,6 @@ ORACLES = {
     "similar_hashed": "select a, b, common, round(cosine, 9) as cosine from {h_pairs}",
     "feature_similarity": """select p.i::int as i, p.j::int as j, round(p.n / sqrt(a.n * b.n::double), 9) as cosine
         from {h_joint} p join {h_joint} a on a.i = p.i and a.j = p.i join {h_joint} b on b.i = p.j and b.j = p.j
-        where p.i < p.j and p.n / sqrt(a.n * b.n::double) > 0.9""",
+        where p.i < p.j and p.n / sqrt(a.n * b.n::double) > 0.5""",
 }
 ORACLES = {name: with_views(sql, **ORACLE_VIEWS) for name, sql in ORACLES.items()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,7 +51,8 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give costly row work to all slots if the input comes in fewer parts, as a small file does.
 
-    Large inputs have more parts than slots and are left as they are.
+    Large inputs have more parts than slots and are left as they are. For plain scans: with a shuffle in the
+    plan, asking for the parts would run it.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
@@ -60,3 +62,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise on shared storage and drop the lineage, so that loops stay flat and survive lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def grown(pieces: list[DataFrame], limit: int = 8) -> list[DataFrame]:
+    """Union the pieces of a growing set into one stored piece once there are ``limit``, so that scans stay short."""
+    return pieces if len(pieces) < limit else [cut(union(pieces))]
+
+
+def union(pieces: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, pieces)

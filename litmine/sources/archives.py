@@ -53,19 +53,16 @@ def read_archives(spark: SparkSession, path: str, glob: str = "*.tar.gz") -> Dat
         .option("pathGlobFilter", glob)
         .load(path)
         .select("path")
-        .repartition(_slots(spark), "path")
     )
-    entries = listed.mapInPandas(_unpack, "archive string, entry_name string, text string")
+    # One archive per task, as far as there are slots.
+    placed = listed.repartitionByRange(max(1, listed.count()), "path")
+    entries = placed.mapInPandas(_unpack, "archive string, entry_name string, text string")
     return entries.select(
         "archive", "entry_name", base_name(F.col("entry_name")).alias("file_name"),
         extension(F.col("entry_name")).alias("format"), "text",
     ).select(*schemas.ARCHIVE_ENTRIES.names)
 
 
-def _slots(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def format_rank(fmt: str = "format") -> Column:
     """Rank of an article format: XML before plain text."""
     return F.when(F.col(fmt) == "nxml", 0).otherwise(1)
