@@ -14,18 +14,14 @@ WINDOWS = [("early", 1990, 1999), ("late", 2000, 2014), ("middle", 1996, 2005)]
 HUBS = ("Brand#11", "Brand#23", "Brand#35", "Brand#52")
 PIVOTS = 4
 # The SQL twins of the loops are unrolled; this is more than the longest shortest path at sf0.01.
-LEVELS = 48
-PEELS = 30
+LEVELS = 16
+PEELS = 8
 
 
 def papers_graph(t: Tables) -> Graph:
     return graph.build_paper_graph(t.v_papers, t.v_links)
 
 
-def sparse_graph(t: Tables) -> Graph:
-    return graph.build_paper_graph(t.v_papers, t.v_links_sparse)
-
-
 def journal_graph(t: Tables) -> Graph:
     return graph.build_journal_graph(papers_graph(t))
 
@@ -70,12 +66,18 @@ def rounded(df: DataFrame, *names: str, digits: int = 9) -> DataFrame:
 
 
 def pivots(t: Tables) -> DataFrame:
-    g = sparse_graph(t)
-    return graph.degrees(g).orderBy(F.desc("out_degree"), "id").limit(PIVOTS).select("id")
+    return graph.degrees(papers_graph(t)).orderBy(F.desc("out_degree"), "id").limit(PIVOTS).select("id")
 
 
 def betweenness_pivots(t: Tables) -> DataFrame:
-    return rounded(centrality.betweenness(sparse_graph(t), pivots(t)), "betweenness")
+    return rounded(centrality.betweenness(papers_graph(t), pivots(t)), "betweenness")
+
+
+def betweenness_tree(t: Tables) -> DataFrame:
+    """Exact betweenness, all nodes as sources, of the subject tree with arcs from child to parent."""
+    links = mesh.tree_links(descriptors(t))
+    arcs = links.filter(F.col("mn") != "0").select(F.col("mn").alias("src"), F.col("parent_mn").alias("dst"))
+    return centrality.betweenness(Graph(links.select(F.col("mn").alias("id")), arcs), chunk=4096)
 
 
 def seeds(t: Tables) -> DataFrame:
@@ -83,7 +85,7 @@ def seeds(t: Tables) -> DataFrame:
 
 
 def closure(t: Tables, part: int) -> DataFrame:
-    return traversal.citation_closure(seeds(t), t.v_links_sparse)[part]
+    return traversal.citation_closure(seeds(t), t.v_links)[part]
 
 
 def drug_rows(t: Tables) -> DataFrame:
@@ -118,13 +120,13 @@ QUERIES = {
     "graph_slices": lambda t: graph.slice_edges(t.v_papers, t.v_links, WINDOWS),
     "slice_papers": lambda t: graph.slice_papers(t.v_papers, WINDOWS).select("slice", "pubmed_id"),
     "missing_links": lambda t: graph.link_check(t.v_papers, t.v_links),
-    "isolated_papers": lambda t: graph.isolated_count(sparse_graph(t)),
-    "isolated_journals": lambda t: graph.isolated_count(graph.build_journal_graph(sparse_graph(t))),
+    "isolated_papers": lambda t: graph.isolated_count(papers_graph(t)),
+    "isolated_journals": lambda t: graph.isolated_count(journal_graph(t)),
     "journal_graph": lambda t: journal_graph(t).edges,
     "journal_labels": lambda t: journal_graph(t).vertices.select("id", graph.journal_label().alias("label")),
     "clean_journal_graph": lambda t: graph.clean_graph(journal_graph(t), HUBS, rounds=1).edges,
-    "clean_papers_rounds": lambda t: graph.clean_graph(sparse_graph(t), (), rounds=3).edges,
-    "clean_papers_fixpoint": lambda t: graph.clean_graph(sparse_graph(t), (), rounds=None).edges,
+    "clean_papers_rounds": lambda t: graph.clean_graph(papers_graph(t), (), rounds=3).edges,
+    "clean_papers_fixpoint": lambda t: graph.clean_graph(papers_graph(t), (), rounds=None).edges,
     "cocitation": lambda t: cocitation.cocitation_graph(papers_graph(t)).edges,
     "cocitation_strength": lambda t: cocitation.cocitation_strength(papers_graph(t)),
     "degrees": lambda t: graph.degrees(papers_graph(t)),
@@ -145,11 +147,12 @@ QUERIES = {
     "rank_outliers": lambda t: report(ranking.rank_outliers(ranked(t)), t),
     "top_pdb_papers": pdb_papers,
     "year_stats": lambda t: rounded(ranking.year_stats(metrics(t), years(t)), "relative_citations", "pagerank_deviation"),
-    "year_isolated": lambda t: ranking.year_isolated(graph.degrees(sparse_graph(t)), years(t)),
-    "reach_from": lambda t: traversal.reachable(pivots(t).limit(1), t.v_links_sparse).select("id", "level"),
+    "year_isolated": lambda t: ranking.year_isolated(graph.degrees(papers_graph(t)), years(t)),
+    "reach_from": lambda t: traversal.reachable(pivots(t).limit(1), t.v_links).select("id", "level"),
     "closure_papers": lambda t: closure(t, 0),
     "closure_levels": lambda t: closure(t, 1),
     "betweenness_pivots": betweenness_pivots,
+    "betweenness_tree": betweenness_tree,
     "drug_similarities": lambda t: ranking.drug_similarities(t.v_drugs),
     "drug_targets": lambda t: ranking.drug_targets(t.v_drugs),
     "drug_target_counts": lambda t: ranking.drug_target_counts(ranking.drug_targets(t.v_drugs)),
@@ -210,7 +213,7 @@ def _summary_sql(nodes: str, edges: str) -> str:
 
 
 def _peel_views(rounds: int) -> dict[str, str]:
-    views = {"c0": "select src, dst, weight from {s_simple} where src <> dst"}
+    views = {"c0": "select src, dst, weight from {g_simple} where src <> dst"}
     for k in range(1, rounds + 1):
         views[f"c{k}"] = f"""
             select * from {{c{k - 1}}} where src in (select dst from {{c{k - 1}}}) and dst in (select src from {{c{k - 1}}})"""
@@ -250,20 +253,20 @@ def _simple_rank_views(rounds: int) -> dict[str, str]:
 def _between_views(levels: int) -> dict[str, str]:
     """Shortest paths from the pivots level by level, then dependencies back."""
     views = {
-        "b_pivots": f"select id from {{s_degrees}} order by out_degree desc, id limit {PIVOTS}",
+        "b_pivots": f"select id from {{g_degrees}} order by out_degree desc, id limit {PIVOTS}",
         "b0": "select id as source, id as v, 1.0::double as paths from {b_pivots}",
         "seen0": "select source, v from {b0}",
     }
     for k in range(1, levels + 1):
         views[f"b{k}"] = f"""
-            select l.source, e.dst as v, sum(l.paths) as paths from {{b{k - 1}}} l join {{s_simple}} e on e.src = l.v
+            select l.source, e.dst as v, sum(l.paths) as paths from {{b{k - 1}}} l join {{g_simple}} e on e.src = l.v
             where not exists (select 1 from {{seen{k - 1}}} s where s.source = l.source and s.v = e.dst) group by 1, 2"""
         views[f"seen{k}"] = f"select * from {{seen{k - 1}}} union all select source, v from {{b{k}}}"
     views[f"d{levels}"] = f"select source, v, paths, 0.0::double as delta from {{b{levels}}}"
     for k in range(levels - 1, 0, -1):
         views[f"d{k}"] = f"""
             select l.source, l.v, l.paths, l.paths * coalesce(sum((1 + w.delta) / w.paths), 0) as delta
-            from {{b{k}}} l left join {{s_simple}} e on e.src = l.v
+            from {{b{k}}} l left join {{g_simple}} e on e.src = l.v
               left join {{d{k + 1}}} w on w.source = l.source and w.v = e.dst group by 1, 2, 3"""
     return views
 
@@ -274,9 +277,7 @@ def _upto(names: list[str]) -> str:
 
 ORACLE_VIEWS = {
     **_graph_views("g", "v_links"),
-    **_graph_views("s", "v_links_sparse"),
     **_journal_views("j", "g_edges"),
-    **_journal_views("sj", "s_edges"),
     **_peel_views(PEELS),
     **_pagerank_views(10, centrality.TELEPORT),
     **_simple_rank_views(5),
@@ -299,13 +300,13 @@ ORACLE_VIEWS = {
         select r.id, r.in_degree, round(r.pagerank, 9) as pagerank, r.cite_rank, r.pr_rank, p.title, p.journal
         from {ranked} r join {v_papers} p on r.id = p.pubmed_id""",
     "steps": """
-        select src as id, dst as next from {v_links_sparse} union all select dst, src from {v_links_sparse}""",
+        select src as id, dst as next from {v_links} union all select dst, src from {v_links}""",
     "seed_ids": "select pubmed_id as id from {v_id_papers} where pubmed_id is not null",
     "l0": "select distinct id, 0 as level from {seed_ids}",
     **{f"l{k}": f"""
         select distinct s.next as id, {k} as level from {{l{k - 1}}} l join {{steps}} s on s.id = l.id
-        where {' and '.join(f's.next not in (select id from {{l{j}}})' for j in range(k))}""" for k in range(1, 25)},
-    "casc": " union all ".join(f"select * from {{l{k}}}" for k in range(25)),
+        where {' and '.join(f's.next not in (select id from {{l{j}}})' for j in range(k))}""" for k in range(1, LEVELS)},
+    "casc": " union all ".join(f"select * from {{l{k}}}" for k in range(LEVELS)),
     "casc_named": """
         select s.next as id, c.level as at, count(*) as n from {casc} c join {steps} s on s.id = c.id group by 1, 2""",
     "sims": """
@@ -351,9 +352,9 @@ ORACLES = {
         count(*) filter (dst in (select pubmed_id from {v_papers}) and src in (select pubmed_id from {v_papers})) as kept_links
         from {v_links}""",
     "isolated_papers": """select count(*) as nodes, count(*) filter (in_degree = 0 and out_degree = 0) as isolated
-        from {s_degrees}""",
-    "isolated_journals": """select count(*) as nodes, count(*) filter (id not in (select src from {sj_edges})
-        and id not in (select dst from {sj_edges})) as isolated from {sj_nodes}""",
+        from {g_degrees}""",
+    "isolated_journals": """select count(*) as nodes, count(*) filter (id not in (select src from {j_edges})
+        and id not in (select dst from {j_edges})) as isolated from {j_nodes}""",
     "journal_graph": "select * from {j_edges}",
     "journal_labels": "select id, name || ' || ' || id as label from {j_nodes}",
     "clean_journal_graph": f"""select * from {{j_edges}} where src <> dst and src not in {HUBS} and dst not in {HUBS}""",
@@ -381,7 +382,7 @@ ORACLES = {
         from {ranks} r join {v_papers} p on r.id = p.pubmed_id group by 1""",
     "year_isolated": """select p.pub_year, count(*) as papers, sum(d.in_degree)::bigint as citations,
           count(*) filter (d.in_degree = 0 and d.out_degree = 0) as isolated
-        from {s_degrees} d join {v_papers} p on d.id = p.pubmed_id group by 1""",
+        from {g_degrees} d join {v_papers} p on d.id = p.pubmed_id group by 1""",
     "closure_papers": """select c.id, c.level, coalesce(s.n, 0) + coalesce(m.n, 0) as hits from {casc} c
         left join (select id, count(*) as n from {seed_ids} group by 1) s on c.id = s.id
         left join (select id, sum(n)::bigint as n from {casc_named} group by 1) m on c.id = m.id""",
@@ -397,6 +398,10 @@ ORACLES = {
           from {casc_named} n join {casc} c on c.id = n.id group by 1) f on e.level = f.level""",
     "betweenness_pivots": f"""select p.pubmed_id as id, round(coalesce(sum(d.delta), 0), 9) as betweenness
         from {{v_papers}} p left join ({_upto([f'd{k}' for k in range(1, LEVELS + 1)])}) d on d.v = p.pubmed_id group by 1""",
+    # In a tree each pair of a node below and a node above has one path, through the node.
+    "betweenness_tree": """select l.mn as id, coalesce(b.descendants, 0)::double * case length(l.mn) when 1 then
+          case l.mn when '0' then 0 else 1 end when 3 then 2 when 7 then 3 else 4 end as betweenness
+        from {links} l left join {below} b on l.mn = b.mn""",
     "drug_similarities": "select * from {sims}",
     "drug_targets": "select * from {targets}",
     "drug_target_counts": "select count(distinct pdb_id) as ids, count(*) as matches from {targets}",
@@ -418,13 +423,13 @@ ORACLES = {
     "reach_from": """with_recursive""",
 }
 _REACH = """with recursive {views}, walk(id, level) as (
-    select id, 0 from (select id from s_degrees order by out_degree desc, id limit 1) s
+    select id, 0 from (select id from g_degrees order by out_degree desc, id limit 1) s
     union select s.next, w.level + 1 from walk w join (select distinct id, next from steps) s on s.id = w.id where w.level < 40)
     select id, min(level) as level from walk group by 1"""
 
 
 def _reach_sql() -> str:
-    body = with_views("select 1 from {s_degrees}, {steps}", **ORACLE_VIEWS)
+    body = with_views("select 1 from {g_degrees}, {steps}", **ORACLE_VIEWS)
     views = body[len("with ") : body.rindex("\nselect 1 from")]
     return _REACH.format(views=views)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmine import schemas
-from litmine.operators import centrality, graph, mesh
+from litmine.operators import graph, mesh
 from litmine.operators.mentions import first_format, mine_mentions
 from litmine.operators.rules import CONTACT
 from litmine.plans import formats, mention_queries
@@ -115,8 +115,8 @@ def _lists(edges: DataFrame, key: str, other: str, name: str) -> DataFrame:
 
 def _link_sets(t: Tables) -> DataFrame:
     """Records of papers with lists of citing and cited papers; every paper has one at least."""
-    cited_in = _lists(t.v_links_sparse, "dst", "src", "cited_in")
-    refs = _lists(t.v_links_sparse, "src", "dst", "refs")
+    cited_in = _lists(t.v_links, "dst", "src", "cited_in")
+    refs = _lists(t.v_links, "src", "dst", "refs")
     none = F.array().cast("array<bigint>")
     lists = cited_in.join(refs, ["pubmed_id", "part"], "full")
     return t.v_papers.select("pubmed_id").join(lists, "pubmed_id", "left").select(
@@ -351,8 +351,8 @@ QUERIES = {
 }
 
 _LISTS = """select p.pubmed_id, l.list, l.other from {v_papers} p left join (
-      select dst as pubmed_id, 'cited_in' as list, src as other from {v_links_sparse} union all
-      select src, 'refs', dst from {v_links_sparse}) l on p.pubmed_id = l.pubmed_id"""
+      select dst as pubmed_id, 'cited_in' as list, src as other from {v_links} union all
+      select src, 'refs', dst from {v_links}) l on p.pubmed_id = l.pubmed_id"""
 _ROOTS = ", ".join("('{}', '{}', '{}', '{}')".format(ui, mh.replace("'", "''"), mn, "") for mh, mn, ui in mesh.ROOTS)
 
 ORACLE_VIEWS = {
@@ -387,7 +387,7 @@ ORACLES = {
     "archive_mentions": "select match_type, count(*) as mentions from {e_contact} group by 1",
     "link_xml": _LISTS,
     "link_text": _LISTS,
-    "link_text_edges": """select src, dst, 1.0::double as weight from {v_links_sparse}
+    "link_text_edges": """select src, dst, 1.0::double as weight from {v_links}
         where src in (select pubmed_id from {v_papers}) and dst in (select pubmed_id from {v_papers})""",
     "summary_xml": "select * from {v_papers}",
     "summary_text": "select * from {v_papers}",

@@ -59,8 +59,6 @@ VIEWS: dict[str, str] = {
     "v_links": """
         select a.l_partkey as src, b.l_partkey as dst from {lineitem} a join {lineitem} b
           on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1""",
-    "v_links_sparse": """
-        select distinct src, dst from {v_links} where (src * 7 + dst * 13) % 11 = 0""",
     "v_drugs": """
         select p_name as generic_name, id as pdb_id_1, concat(cast(70 + p_partkey % 31 as varchar(3)), '%') as sim_1,
           case when p_partkey % 2 = 0 then id else '' end as pdb_id_2,

@@ -31,26 +31,22 @@ MENTIONS = _struct(
     match=T.BooleanType(),
 )
 
-FILES = _struct(pmc_id=_S, pm_id=_S, file_name=_S, update_date=T.DateType())
-ARTICLES = _struct(journal=_S, publication_year=_I, pmc_id=_S)
-ENTRIES = _struct(
-    pdb_id=_S, pmc_id=_S, pm_id=_S, deposition_year=_I, deposition_date=T.DateType(), entry_type=_I
-)
+ENTRIES = _struct(archive=_S, entry_name=_S, file_name=_S, format=_S, text=_S)
 
-LABELLED = _struct(
+MENTIONS = _struct(
     pdb_id=_S,
-    match_type=_S,
-    deposition_year=_I,
-    pmc_id=_S,
-    pm_id=_S,
-    publication_year=_I,
-    primary_citation=T.BooleanType(),
+    file_name=_S,
     sentence=_S,
     blinded_sentence=_S,
-    label=_D,
+    match_type=_S,
+    match=T.BooleanType(),
+)
+
+FILES = _struct(pmc_id=_S, pm_id=_S, file_name=_S, update_date=T.DateType())
+ARTICLES = _struct(journal=_S, publication_year=_I, pmc_id=_S)
+ENTRIES = _struct(
+    pdb_id=_S, pmc_id=_S, pm_id=_S, deposition_year=_I, deposition_date=T.DateType(), entry_type=_I
 )
 
 LINK_SETS = _struct(pubmed_id=_L, cited_in=T.ArrayType(_L), refs=T.ArrayType(_L))
 PAPERS = _struct(pubmed_id=_L, title=_S, pub_year=_I, journal=_S, journal_id=_S, last_author=_S)
-VERTICES = _struct(id=_L, name=_S, node_weight=_D)
-EDGES = _struct(src=_L, dst=_L, weight=_D)
