@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from litmine.llm import packing, quality_classifier, quality_rules, simhash, token_store, topk, toxicity
+from pyspark.sql import functions as F
+
+from litmine.llm import (
+    license_scan,
+    masked_lm,
+    packing,
+    pieces,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    token_store,
+    topk,
+    toxicity,
+)
 from litmine.llm.common import table
 from litmine.session import scratch_path
 
@@ -35,11 +47,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+
+
+def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return masked_lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.toxicity_scores(docs, labels)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), license_scan.notices(spark))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -55,7 +80,10 @@ QUERIES: dict[str, Query] = {
         op2_token_store,
         op3_topk_maxscore,
         op4_simhash,
+        op5_pieces,
+        op6_masked_lm,
         op7_toxicity,
+        op8_license_scan,
         op9_quality_rules,
         op10_best_fit_packing,
     )
