@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from litmine.llm.common import texts
 
 END_ID = 0
-CACHE = 600_000
+CACHE = 1_000_000
 STRIPE_BYTES = 32 << 20
 ROWS_PER_INDEX = 1_000
 
@@ -38,13 +40,41 @@ ROWS_PER_INDEX = 1_000
 _WIDE = (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 _SPACE = "\t-\r \x85\xa0" + "".join(map(chr, _WIDE))
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_UNSAFE = re.compile(f"[{_SPACE}\0] |\0")
+_UNSAFE = re.compile(f"[{_SPACE}\0][ \n]|\0")
+# Fixed value: how a byte-level tokenizer cuts a text before it merges.
+_TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 ROWS = "part int, doc_id long, place long, ids array<int>"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed, else one of the
+    letters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class _Pieces(dict):
+    """Packed ids of pieces of text, made by the tokenizer's model when first asked for."""
+
+    def __init__(self, tokenizer):
+        self.model, self.letters = tokenizer.model, _byte_letters()
+
+    def word(self, word: str) -> bytes:
+        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return array("I", [x.id for x in found]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        parts = _TOKEN.findall(piece)
+        ids = self.word(piece) if len(parts) < 2 else b"".join(map(self.__getitem__, parts))
+        self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Texts to packed little-endian 32-bit ids; one per Python worker and tokenizer file."""
+    """Texts to packed little-endian 32-bit ids, as the tokenizer's own ``encode`` gives them; one per Python worker and
+    tokenizer file."""
 
     _made: dict[str, Encoder] = {}
 
@@ -53,7 +83,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.seen = _Pieces(self.tokenizer)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -62,22 +93,18 @@ class Encoder:
         return cls._made[path]
 
     def pieces(self, text: str) -> list[str]:
-        """Cut before white space that follows other characters. The short way is right if every space but the first of a
-        row of white space is absent."""
+        """Cut before white space that follows other characters. The short way is right if every space or line feed stands
+        after another kind of character."""
         if _UNSAFE.search(text):
             return _PIECE.findall(text)
-        return text.replace(" ", "\0 ").split("\0")
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
-    def encode(self, batch: list[str]) -> list[bytes]:
-        cut = [self.pieces(x) for x in batch]
+    def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.special):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.seen) > CACHE:
             self.seen.clear()
-        new = list(set().union(*cut) - self.seen.keys())
-        for start in range(0, len(new), 4096):
-            part = new[start : start + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.seen[piece] = np.array(found.ids, dtype="<u4").tobytes()
-        return [b"".join(map(self.seen.__getitem__, x)) for x in cut]
+        return b"".join(map(self.seen.__getitem__, self.pieces(text)))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -90,7 +117,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = batch.slice(start, 256)
-                packed = [x + end for x in encoder.encode(rows.column("text").to_pylist())]
+                packed = [encoder.encode(x) + end for x in rows.column("text").to_pylist()]
                 lengths = np.fromiter((len(x) // 4 for x in packed), dtype="int64", count=len(packed))
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
                 ids = pa.ListArray.from_arrays(
