@@ -38,6 +38,9 @@ _REST = "(?:[A-Z0-9]{3}|[a-z0-9]{3})"
 _ID = f"[1-9]{_REST}"
 _DOI = "10.2210/pdb"
 _FOUR_DIGITS = r"\d{4}"
+# The same strings in the same order of preference as ``\w+\W*\w+``, but a run of word characters is not split in every
+# way, so that a long run takes linear time.
+_TWO_WORDS = r"(?:\w+\W+\w+|\w\w+)"
 
 PDB = RulePack(
     name="pdb",
@@ -67,12 +70,12 @@ PDB = RulePack(
         ),
         Rule("PDB_SKIP_0", rf"\b(?:pdb|PDB)\W*{_ID}\b", ("pdb", "PDB"), unless=_FOUR_DIGITS),
         Rule("PDB_SKIP_1", rf"\b(?:pdb|PDB)\W*\w+\W*{_ID}\b", ("pdb", "PDB"), unless=_FOUR_DIGITS),
-        Rule("PDB_SKIP_2", rf"\b(?:pdb|PDB)\W*\w+\W*\w+\W*{_ID}\b", ("pdb", "PDB"), unless=_FOUR_DIGITS),
+        Rule("PDB_SKIP_2", rf"\b(?:pdb|PDB)\W*{_TWO_WORDS}\W*{_ID}\b", ("pdb", "PDB"), unless=_FOUR_DIGITS),
         Rule("ACCESSION_SKIP_0", rf"\b(?:accession|Accession)\W*{_ID}\b", ("ccession",), unless=_FOUR_DIGITS),
         Rule("ACCESSION_SKIP_1", rf"\b(?:accession|Accession)\W*\w+\W*{_ID}\b", ("ccession",), unless=_FOUR_DIGITS),
         Rule(
             "ACCESSION_SKIP_2",
-            rf"\b(?:accession|Accession)\W*\w+\W*\w+\W*{_ID}\b",
+            rf"\b(?:accession|Accession)\W*{_TWO_WORDS}\W*{_ID}\b",
             ("ccession",),
             unless=_FOUR_DIGITS,
         ),

@@ -301,9 +301,8 @@ def stream_first(t: Tables) -> DataFrame:
     stream = incremental.file_stream(t.spark, t.folder, t.documents.schema, "documents.parquet")
     named = stream.select(F.concat(F.lit("a"), (F.col("doc_id") % 300).cast("string")).alias("file_name"), "arrived")
     out, state = _path(t, "first"), _path(t, "first-state")
-    kept = incremental.first_arrivals(named).select("file_name")
-    incremental.run_available(kept, out, state)
-    return t.spark.read.schema(kept.schema).parquet(out)
+    incremental.run_first_arrivals(named, out, state)
+    return t.spark.read.schema(named.schema).parquet(out).select("file_name")
 
 
 def stream_windows(t: Tables) -> DataFrame:
@@ -313,8 +312,8 @@ def stream_windows(t: Tables) -> DataFrame:
     timed = stream.select(F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone).alias("ts"), "event_type")
     counts = incremental.windowed_counts(timed, "ts", ["event_type"], "1 day", "1 hour")
     out, state = _path(t, "windows"), _path(t, "windows-state")
-    incremental.run_available(counts, out, state)
-    read = t.spark.read.schema(counts.schema).parquet(out)
+    incremental.run_windows(counts, out, state)
+    read = incremental.current_windows(t.spark, out, ["event_type"])
     start = F.date_format(F.to_utc_timestamp("window_start", zone), "yyyy-MM-dd HH:mm")
     return read.select(start.alias("window_start"), "event_type", "n")
 
@@ -412,6 +411,6 @@ ORACLES = {
     "stream_mentions": "select * from {o_contact}",
     "stream_first": "select distinct file_name from {v_article_files}",
     "stream_windows": """select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n from {events}
-        where date_trunc('day', ts) + interval 1 day <= (select max(ts) - interval 1 hour from {events}) group by 1, 2""",
+        group by 1, 2""",
 }
 ORACLES = {name: with_views(sql, **ORACLE_VIEWS) for name, sql in ORACLES.items()}

@@ -31,17 +31,6 @@ MENTIONS = _struct(
     match=T.BooleanType(),
 )
 
-ENTRIES = _struct(archive=_S, entry_name=_S, file_name=_S, format=_S, text=_S)
-
-MENTIONS = _struct(
-    pdb_id=_S,
-    file_name=_S,
-    sentence=_S,
-    blinded_sentence=_S,
-    match_type=_S,
-    match=T.BooleanType(),
-)
-
 FILES = _struct(pmc_id=_S, pm_id=_S, file_name=_S, update_date=T.DateType())
 ARTICLES = _struct(journal=_S, publication_year=_I, pmc_id=_S)
 ENTRIES = _struct(

@@ -18,14 +18,32 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, glob: st
         spark.readStream.schema(schema)
         .option("pathGlobFilter", glob)
         .option("maxFilesPerTrigger", max_files)
+        .option("maxFileAge", "36500d")  # else a file dated a week before the newest one seen is passed over
         .parquet(folder)
         .withColumn("arrived", F.col("_metadata.file_modification_time"))
     )
 
 
-def first_arrivals(stream: DataFrame, key: str = "file_name", within: str = "30 days") -> DataFrame:
-    """Keep the first copy of an article that comes within the time; the state ends with the watermark."""
-    return stream.withWatermark("arrived", within).dropDuplicatesWithinWatermark([key])
+def run_first_arrivals(stream: DataFrame, path: str, checkpoint: str, key: str = "file_name") -> StreamingQuery:
+    """Keep the first copy of every article, however late a copy comes or whatever the time of its file.
+
+    The names already taken are those in the sink; a batch is reduced to one copy per name (the first to arrive, then the
+    smallest) and meets them in an anti join. A batch writes its own folder, so a repeated batch replaces itself.
+    """
+    columns = [c for c in stream.columns if c not in (key, "arrived")]
+    order = [c for c in ("arrived",) if c in stream.columns] + columns
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(f"{path}/batch=-1")
+
+    def write(batch: DataFrame, number: int) -> None:
+        taken = spark.read.schema(f"{key} string, batch long").parquet(path).filter(F.col("batch") < number)
+        first = batch.groupBy(key).agg(F.min(F.struct(*order)).alias("first")) if order else batch.select(key).distinct()
+        first = first.select(key, "first.*") if order else first
+        first.join(taken, key, "left_anti").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
 
 
 def mine_stream(stream: DataFrame, pack: RulePack = PDB, id_column: str = "pdb_id") -> DataFrame:
@@ -48,10 +66,28 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
 
 
 def windowed_counts(stream: DataFrame, time: str, keys: list[str], window: str, late: str) -> DataFrame:
-    """Rows per time window and key; a window is given out once the watermark has passed its end."""
+    """Rows per time window and key; rows that come later than ``late`` after the newest time seen are not counted."""
     return (
         stream.withWatermark(time, late)
         .groupBy(F.window(time, window).alias("w"), *keys)
         .agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n")
     )
+
+
+def run_windows(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process all files not seen yet and write the windows that changed, open ones too; a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = counts.writeStream.outputMode("update").foreachBatch(write)
+    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def current_windows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The latest count of every window that ``run_windows`` has written."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("window_start", "window_end", *keys).agg(F.max_by("n", "batch").alias("n"))

@@ -145,3 +145,34 @@ def test_first_format_and_since(spark):
     updates = spark.sql("select 'a' as file_name, date '2014-01-01' as update_date union all select 'c', date '2016-01-01'")
     kept = mentions.since(files, updates, "2015-01-01").select("file_name").distinct().collect()
     assert [r[0] for r in kept] == ["b"]
+
+
+def test_two_word_rule_finds_the_same_hits_as_its_plain_form():
+    import random
+    import re
+
+    from litmine.operators.rules import _ID, PDB
+
+    rule = next(r for r in PDB.rules if r.name == "PDB_SKIP_2").pattern
+    plain = rf"\b(?:pdb|PDB)\W*\w+\W*\w+\W*{_ID}\b"
+    draw = random.Random(3)
+    bits = ["pdb", "PDB", " ", "-", ". ", "1ABC", "2xyz", "foo", "a", "b1", "1999", "_", "pdbfoo1ABC"]
+    hits = 0
+    for _ in range(20_000):
+        text = "".join(draw.choice(bits) for _ in range(draw.randint(1, 12)))
+        new, old = re.search(rule, text), re.search(plain, text)
+        assert (new and new.span()) == (old and old.span()), text
+        hits += new is not None
+    assert hits > 1_000
+
+
+def test_long_word_run_takes_linear_time(spark):
+    import time
+
+    from litmine.operators.mentions import mine_mentions
+
+    docs = spark.createDataFrame([("a", "pdb " + "x" * 80_000 + ". 1ABC")], "file_name string, text string")
+    mine_mentions(docs).count()
+    start = time.time()
+    assert mine_mentions(docs).count() >= 0
+    assert time.time() - start < 5

@@ -1,3 +1,6 @@
+import os
+import time
+
 from pyspark.sql import functions as F
 
 from litmine import schemas
@@ -29,19 +32,38 @@ def test_first_arrival(spark, tmp_path):
     write(spark, folder, [("a", "1"), ("a", "2"), ("b", "3")])
     for _ in range(2):
         stream = incremental.file_stream(spark, folder, schemas.DOCUMENTS)
-        incremental.run_available(incremental.first_arrivals(stream).select("file_name"), out, state)
+        incremental.run_first_arrivals(stream, out, state)
         write(spark, folder, [("a", "4"), ("c", "5")])
-    names = sorted(r[0] for r in spark.read.parquet(out).collect())
+    names = sorted(r["file_name"] for r in spark.read.parquet(out).collect())
     assert names == ["a", "b", "c"]
 
 
-def test_windows_close_with_watermark(spark, tmp_path):
+def test_late_files_are_kept_and_late_copies_are_not(spark, tmp_path):
+    folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    write(spark, folder, [("a", "1")])
+    stream = incremental.file_stream(spark, folder, schemas.DOCUMENTS)
+    incremental.run_first_arrivals(stream, out, state)
+    before = set(os.listdir(folder))
+    write(spark, folder, [("a", "copy"), ("b", "late")])
+    for name in set(os.listdir(folder)) - before:
+        old = time.time() - 60 * 86_400
+        os.utime(os.path.join(folder, name), (old, old))
+    incremental.run_first_arrivals(stream, out, state)
+    got = {r["file_name"]: r["text"] for r in spark.read.parquet(out).collect()}
+    assert got == {"a": "1", "b": "late"}
+
+
+def test_open_windows_are_given_out(spark, tmp_path):
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
     times = ["2020-01-01 00:10:00", "2020-01-01 00:50:00", "2020-01-01 01:10:00", "2020-01-01 03:00:00"]
     frame = spark.createDataFrame([(t, "k") for t in times], "ts string, key string").withColumn("ts", F.to_timestamp("ts"))
     frame.coalesce(1).write.parquet(folder)
     stream = spark.readStream.schema(frame.schema).parquet(folder)
     counts = incremental.windowed_counts(stream, "ts", ["key"], "1 hour", "30 minutes")
-    incremental.run_available(counts, out, state)
-    got = {r["window_start"].hour: r["n"] for r in spark.read.parquet(out).collect()}
-    assert got == {0: 2, 1: 1}
+    incremental.run_windows(counts, out, state)
+    got = {r["window_start"].hour: r["n"] for r in incremental.current_windows(spark, out, ["key"]).collect()}
+    assert got == {0: 2, 1: 1, 3: 1}
+    frame.filter("hour(ts) = 3").coalesce(1).write.mode("append").parquet(folder)
+    incremental.run_windows(counts, out, state)
+    got = {r["window_start"].hour: r["n"] for r in incremental.current_windows(spark, out, ["key"]).collect()}
+    assert got == {0: 2, 1: 1, 3: 2}
