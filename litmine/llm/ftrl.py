@@ -101,7 +101,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learnable, s
 def train(sample: DataFrame, featurise: Featurise, s: Settings) -> Model:
     """Fit on ``(doc_id, text, label)``. Without rows, or with one class only, the model is the smoothed base rate."""
     shard = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(s.shards)).cast("int")
-    rows = stored(sample.withColumn("shard", shard).repartition(s.shards, "shard"), "training")
+    dealt = sample.withColumn("shard", shard).repartition(s.shards * 4, "shard", "doc_id")
+    columns = "shard int, doc_id long, label double, ids array<int>, values array<float>"
+    rows = stored(dealt.mapInPandas(_featuriser(featurise), columns), "training")
     counts = rows.agg(F.count("*").alias("n"), F.sum("label").alias("ones")).first()
     n, ones = counts["n"], counts["ones"] or 0.0
     base = math.log((ones + 1.0) / (n - ones + 1.0))
@@ -112,7 +114,7 @@ def train(sample: DataFrame, featurise: Featurise, s: Settings) -> Model:
     spark = sample.sparkSession
     for _ in range(s.rounds):
         start = spark.sparkContext.broadcast(weights.astype("float32"))
-        fitted = rows.groupBy("shard").applyInPandas(_fitter(start, featurise, s), "bucket long, weight double, n long")
+        fitted = rows.groupBy("shard").applyInPandas(_fitter(start, s), "bucket long, weight double, n long")
         mixed = fitted.groupBy("bucket").agg(F.sum("weight").alias("weight")).toPandas()  # at most ``buckets`` + 1 rows
         weights = np.zeros(s.buckets + 1)
         weights[mixed["bucket"].to_numpy()] = mixed["weight"].to_numpy() / n
@@ -120,12 +122,23 @@ def train(sample: DataFrame, featurise: Featurise, s: Settings) -> Model:
     return Model(weights[:-1].astype("float32"), float(weights[-1]))
 
 
-def _fitter(start, featurise: Featurise, s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def _featuriser(featurise: Featurise):
+    """Texts to sparse vectors, once for all rounds."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [featurise(x) for x in batch["text"]]
+            yield batch[["shard", "doc_id", "label"]].assign(ids=[x[0] for x in found], values=[x[1] for x in found])
+
+    return run
+
+
+def _fitter(start, s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """One shard: its weights, times its rows."""
 
     def fit(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.iloc[np.argsort(pd.util.hash_array(shard["doc_id"].to_numpy()), kind="stable")]
-        data = [(y, *featurise(x)) for y, x in zip(shard["label"], shard["text"])]
+        data = list(zip(shard["label"], shard["ids"], shard["values"]))
         w = ftrl(data, start.value.astype("float64"), s)
         used = np.flatnonzero(w)
         return pd.DataFrame({"bucket": used, "weight": w[used] * len(data), "n": len(data)})

@@ -16,8 +16,8 @@ table gives 0.5 for all; an empty document table gives no rows.
 
 from __future__ import annotations
 
-import math
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -54,6 +54,7 @@ _CODES = bytes(
 )
 _ENDS = re.compile(r"^[^\w$@€£(|+!*#]+|(?:[!?.,;:)\]}\"'|]+|([^\w])\1+)$")
 _DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(€£*#]|[0-9@$!|+(€£*#].*[^\W\d_]|[^\W\d_][.\-_'`~/,][^\W\d_]|(.)\1\1")
+_TRIPLE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1+")
 
 Lattice = list[list[tuple[str, float]]]
@@ -140,7 +141,10 @@ def decode(places: Lattice, model: np.ndarray) -> str:
 
 def restore(token: str, model: np.ndarray) -> list[str]:
     """Words of one token without white space: itself if nothing about it looks disguised, else its likeliest reading."""
-    token = _ENDS.sub("", _ENDS.sub("", token.lower()))
+    token = token.lower()
+    if (bare := token.rstrip(".,")).isalpha() and not _TRIPLE.search(bare):
+        return [bare]  # as most are
+    token = _ENDS.sub("", _ENDS.sub("", token))
     if _DISGUISED.search(token):
         if not any(c.isalpha() for c in token) or len(token) > 64:
             return re.findall(r"[^\W_]+", token)  # numbers and long codes hold no word to restore
@@ -157,29 +161,32 @@ def spaced_rows(tokens: list[str]) -> list[str]:
     return [" ".join(tokens[a:b]) for a, b in zip(edges[::2], edges[1::2]) if b - a > 2]
 
 
-class Words:
-    """From a text to the features of its restored words; remembers tokens, up to ``CACHE`` of them."""
+class Words(dict):
+    """From a text to the features of its restored words; remembers the features of tokens, up to ``CACHE`` of them."""
 
     def __init__(self, model: np.ndarray, buckets: int):
-        self.model, self.buckets, self.seen = model, buckets, {}
+        self.model, self.buckets = model, buckets
 
     def ids(self, words: list[str]) -> bytes:
         """Bucket ids of the words and of their beginnings, as packed 32-bit integers."""
-        out: list[int] = []
+        out = array("I")
         for word in words:
             word = _RUN.sub(r"\1", word)
             out.append(crc32(word.encode("utf-8", "replace")) % self.buckets)
-            out += [crc32(f"^{word[:k]}".encode("utf-8", "replace")) % self.buckets for k in PREFIXES if len(word) >= k]
-        return np.array(out, dtype="uint32").tobytes()
+            for k in PREFIXES:
+                if len(word) >= k:
+                    out.append(crc32(b"^" + word[:k].encode("utf-8", "replace")) % self.buckets)
+        return out.tobytes()
+
+    def __missing__(self, token: str) -> bytes:
+        found = self[token] = self.ids(restore(token, self.model))
+        return found
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         tokens = text.split()
-        if len(self.seen) > CACHE:
-            self.seen.clear()
-        written = set(tokens)
-        for token in written - self.seen.keys():
-            self.seen[token] = self.ids(restore(token, self.model))
-        found = [self.seen[token] for token in written]
+        if len(self) > CACHE:
+            self.clear()
+        found = list(map(self.__getitem__, set(tokens)))
         for row in spaced_rows(tokens):
             for start in range(0, len(row), 128):  # a long row is read piece by piece
                 found.append(self.ids(decode(lattice(row[start : start + 128].lower()), self.model).split()))
