@@ -3,13 +3,19 @@
 Texts are cut into words that no piece spans (white space begins a word, a line feed is one of its own). The different
 words of the whole corpus are encoded once: every word is exploded into its substrings of at most the longest piece's
 length, these are equi-joined to the piece table, the edges found are grouped by word, and a higher-order ``aggregate``
-folds them into the word's pieces. Documents then meet the table of words in a shuffle join and are put together by place.
+folds them into the word's pieces.
+
+Documents are put together from the table of words in two parts. The most frequent words, of a fixed number, are broadcast
+with their ids; all other words of a document, each once, meet the table in a shuffle join, and a word that is in there
+cannot be a hot key. An Arrow function then writes the ids of every word of a text in its order.
 
 Two folds: for a unigram file Viterbi, which keeps the best score and its last edge for every place; for a BPE file
-merging, as its scores are merge ranks and the best-scored path is not the encoding: the cuts of a word are bits, and each
-step removes the cut inside the best-ranked edge that joins two neighbours. A character that is no piece is an edge with
-the ids of its bytes. Words of over ``LONGEST`` characters, whose lattice is not worth the rows, go to the tokenizer's
-library by a Pandas function, which gives the same ids.
+merging, as its scores are merge ranks and the best-scored path is not the encoding: the cuts of a word are bits, and the
+edges are gone through by rank, then by place; an edge that joins just two neighbours at its turn removes the cut between
+them. One pass is enough if every piece is reached from its own characters in this way, since no merge then makes room for
+one of a better rank. Words with a piece that is not reached so are folded step by step, best edge first. A character that
+is no piece is an edge with the ids of its bytes. Words of over ``LONGEST`` characters, whose lattice is not worth the
+rows, go to the tokenizer's library by a Pandas function, which gives the same ids.
 
 Nulls and edges: a null or empty text has no ids; null ids of documents are kept; repeated rows are encoded each; other
 columns are ignored; an empty table gives no rows. Ids that are not in the file decode to nothing.
@@ -17,17 +23,24 @@ columns are ignored; an empty table gives no rows. Ids that are not in the file
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
-from litmine.llm.common import stored, texts
+from litmine.llm.common import dealt, stored, texts
 
 SPACE = "▁"
 LONGEST = 62
+# Words that are broadcast with their ids.
+FREQUENT = 200_000
 WORD = f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n"
 UNIGRAM, BPE = 1, 2
 
@@ -52,9 +65,10 @@ def words(text: str) -> Column:
 
 
 def lattice(distinct: DataFrame, pieces: DataFrame, longest: int, byte_ids: int) -> DataFrame:
-    """``(word, edges)``: edges from ``begin`` to ``end`` with score, ids and the bits of the places between them."""
+    """``(word, edges)``: edges from ``begin`` to ``end`` with cost and id; one of an unknown character has no id but
+    those of its bytes. The words are placed by a hash first, so that the far more edges do not move."""
     n = F.length("word")
-    begun = distinct.select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("begin"))
+    begun = dealt(distinct, "word").select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("begin"))
     upto = F.least(n, F.col("begin") + longest)
     spans = begun.select("word", "begin", F.explode(F.sequence(F.col("begin") + 1, upto)).alias("end"))
     spans = spans.withColumn("piece", F.expr("substring(word, begin + 1, end - begin)"))
@@ -63,13 +77,15 @@ def lattice(distinct: DataFrame, pieces: DataFrame, longest: int, byte_ids: int)
         F.regexp_extract_all(F.hex(F.encode("piece", "UTF-8")), F.lit(".."), 0),
         lambda b: F.conv(b, 16, 10).cast("int") + byte_ids,
     )
-    inner = F.expr("shiftleft(1L, end) - shiftleft(2L, begin)")
     edge = F.struct(
-        "end", "begin", (-F.coalesce("score", F.lit(1e9))).alias("cost"), inner.alias("inner"),
-        F.when(F.col("id").isNull(), as_bytes).otherwise(F.array("id")).alias("ids"),
-        F.col("id").isNull().alias("unknown"),
+        "end", "begin", (-F.coalesce("score", F.lit(1e9))).alias("cost"), "id",
+        F.when(F.col("id").isNull(), as_bytes).alias("bytes"),
     )
-    return met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+
+
+def _ids(e: Column) -> Column:
+    return F.coalesce(e["bytes"], F.array(e["id"]))
 
 
 def viterbi(edges: str, unknown_cost: float) -> Column:
@@ -77,8 +93,8 @@ def viterbi(edges: str, unknown_cost: float) -> Column:
     start = F.array(F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("begin"), F.array().cast("array<int>").alias("ids")))
 
     def step(best: Column, e: Column) -> Column:
-        total = F.get(best, e["begin"])["total"] + F.when(e["unknown"], F.lit(unknown_cost)).otherwise(e["cost"])
-        new = F.struct(total.alias("total"), e["begin"].alias("begin"), e["ids"].alias("ids"))
+        total = F.get(best, e["begin"])["total"] + F.when(e["id"].isNull(), F.lit(unknown_cost)).otherwise(e["cost"])
+        new = F.struct(total.alias("total"), e["begin"].alias("begin"), _ids(e).alias("ids"))
         last = F.element_at(best, -1)
         fresh = F.size(best) == e["end"]
         return F.when(fresh, F.concat(best, F.array(new))).when(
@@ -99,25 +115,54 @@ def viterbi(edges: str, unknown_cost: float) -> Column:
     return F.aggregate(edges, start, step, follow)
 
 
-def merges(edges: str) -> Column:
-    """Ids after merging neighbours, best rank first and left before right, until no two of them make a piece."""
+def merges(edges: str, stepwise: Column) -> Column:
+    """Ids after merging neighbours, best rank first and left before right, until no two of them make a piece. Where
+    ``stepwise`` is true the best edge is looked for anew after every merge."""
     shifted = lambda value, by: F.call_function("shiftleft", F.lit(value).cast("long"), by)
     cut = lambda m, place: m.bitwiseAND(shifted(1, place)) != 0
     whole = F.array_max(F.transform(edges, lambda e: e["end"]))
     start = shifted(2, whole) - 1
+    between = lambda e: shifted(1, e["end"]) - shifted(2, e["begin"])
+    joins = lambda m, e: cut(m, e["begin"]) & cut(m, e["end"]) & (
+        F.bit_count(m.bitwiseAND(e["inner"])) == 1
+    )
+    several = F.filter(edges, lambda e: e["id"].isNotNull() & (e["end"] > e["begin"] + 1))
+    ranked = F.sort_array(
+        F.transform(several, lambda e: F.struct(e["cost"], e["begin"], e["end"], between(e).alias("inner")))
+    )
+
+    def turn(m: Column, e: Column) -> Column:
+        return F.when(joins(m, e), m.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(m)
 
     def step(m: Column, _: Column) -> Column:
-        joins = lambda e: ~e["unknown"] & cut(m, e["begin"]) & cut(m, e["end"]) & (
-            F.bit_count(m.bitwiseAND(e["inner"])) == 1
-        )
-        ranked = F.transform(F.filter(edges, joins), lambda e: F.struct(e["cost"], e["begin"], e["inner"].alias("inner")))
-        return m.bitwiseAND(F.bitwise_not(F.coalesce(F.array_min(ranked)["inner"], F.lit(0).cast("long"))))
+        first = F.get(F.filter(ranked, lambda e: joins(m, e)), F.lit(0))
+        return m.bitwiseAND(F.bitwise_not(F.coalesce(first["inner"], F.lit(0).cast("long"))))
 
     def pieces(m: Column) -> Column:
-        chosen = F.filter(edges, lambda e: cut(m, e["begin"]) & cut(m, e["end"]) & (m.bitwiseAND(e["inner"]) == 0))
-        return F.flatten(F.transform(chosen, lambda e: e["ids"]))
+        chosen = F.filter(
+            edges, lambda e: cut(m, e["begin"]) & cut(m, e["end"]) & (m.bitwiseAND(between(e)) == 0)
+        )
+        return F.flatten(F.transform(chosen, _ids))
+
+    steps = F.aggregate(F.sequence(F.lit(1), whole), start, step, pieces)
+    return F.when(stepwise, steps).otherwise(F.aggregate(ranked, start, turn, pieces))
+
 
-    return F.aggregate(F.sequence(F.lit(1), whole), start, step, pieces)
+def out_of_order(model) -> list[str]:
+    """Pieces that one pass over their own edges, by rank and then by place, does not reach."""
+    cost = {p.piece: -p.score for p in model.pieces if p.type in (1, 4)}
+
+    def reached(piece: str) -> bool:
+        n = len(piece)
+        spans = ((b, e) for b in range(n) for e in range(b + 2, n + 1) if piece[b:e] in cost)
+        cuts = set(range(n + 1))
+        for b, e in sorted(spans, key=lambda span: (cost[piece[span[0] : span[1]]], span)):
+            inner = [place for place in range(b + 1, e) if place in cuts]
+            if b in cuts and e in cuts and len(inner) == 1:
+                cuts.remove(inner[0])
+        return len(cuts) == 2
+
+    return [piece for piece in cost if len(piece) > 1 and not reached(piece)]
 
 
 def encode_words(distinct: DataFrame, path: str) -> DataFrame:
@@ -128,7 +173,11 @@ def encode_words(distinct: DataFrame, path: str) -> DataFrame:
     byte_ids = next((i for i, p in enumerate(model.pieces) if p.type == 6), 0)
     edges = lattice(distinct.filter(F.length("word") <= LONGEST), pieces, longest, byte_ids)
     least = min((p.score for p in model.pieces if p.type == 1), default=0.0)
-    fold = merges("edges") if model.trainer_spec.model_type == BPE else viterbi("edges", 10.0 - least)
+    if model.trainer_spec.model_type == BPE:
+        held = [F.contains("word", F.lit(piece)) for piece in out_of_order(model)]
+        fold = merges("edges", reduce(Column.__or__, held, F.lit(False)))
+    else:
+        fold = viterbi("edges", 10.0 - least)
     short = edges.select("word", fold.alias("ids"))
 
     def library(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,17 +190,37 @@ def encode_words(distinct: DataFrame, path: str) -> DataFrame:
     return short.unionByName(long)
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``(doc_id, ids)`` of every row; ``path`` is a model file that every machine has."""
+def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
+    """``(doc_id, ids)`` of every row; ``path`` is a model file that every machine has. ``frequent`` bounds the words that
+    are broadcast."""
+    spark = docs.sparkSession
     rows = texts(docs, "doc_id").withColumn("row", F.monotonically_increasing_id())
-    distinct = rows.select(F.explode(words("text")).alias("word")).distinct()
-    table = stored(encode_words(distinct, path), "words")
-    placed = rows.select("row", F.posexplode(words("text")).alias("place", "word"))
-    met = placed.join(table, "word").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-    met = met.select("row", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    return rows.select("row", "doc_id").join(met, "row", "left").select(
-        "doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")
-    )
+    counts = rows.select(F.explode(words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = stored(counts, "word-counts")
+    table = stored(encode_words(counts.select("word"), path), "words")
+    top = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word")
+    known = stored(table.join(F.broadcast(top), "word"), "frequent-words")  # at most ``frequent`` rows
+    common = spark.sparkContext.broadcast({r["word"]: array("i", r["ids"]) for r in known.toLocalIterator()})
+
+    rare = rows.select("row", F.explode(F.array_distinct(words("text"))).alias("word"))
+    rare = rare.join(F.broadcast(known.select("word")), "word", "left_anti").join(table, "word")
+    rare = rare.groupBy("row").agg(F.collect_list("word").alias("words"), F.collect_list("ids").alias("word_ids"))
+    met = rows.join(rare, "row", "left").select("doc_id", "text", "words", "word_ids")
+    split = re.compile(WORD)
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = array("i"), [0]
+            for text, own, own_ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                others = dict(zip(own or (), own_ids or ()))
+                for word in split.findall(SPACE + text.replace(" ", SPACE)) if text else ():
+                    flat.extend(common.value.get(word) or others[word])
+                ends.append(len(flat))
+            lists = pa.ListArray.from_arrays(np.array(ends, dtype="int32"), np.array(flat, dtype="int32"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "ids"])
+
+    columns = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>"
+    return met.mapInArrow(ids, columns)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
