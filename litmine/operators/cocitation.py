@@ -60,16 +60,15 @@ def _rows(a: Column, b: Column, weight: Column) -> Column:
 def cocitation_graph(graph: Graph, block: int = BLOCK) -> Graph:
     """Both directions of every co-cited pair with the number of citing papers; vertices are the papers in a pair."""
     members, pairs = class_pairs(graph, block)
+    # A class may hold any number of papers, so its expansion is dealt in blocks of members.
     m = members.select("class", F.col("dst").alias("member"))
-    across = (
-        pairs.join(m.select(F.col("class").alias("a"), F.col("member").alias("left")), "a")
-        .join(m.select(F.col("class").alias("b"), F.col("member").alias("right")), "b")
-        .select(_rows(F.col("left"), F.col("right"), F.col("weight").cast("double")))
-    )
+    across = block_join(m.select(F.col("class").alias("a"), F.col("member").alias("left")), pairs, ["a"], "left", block)
+    across = block_join(m.select(F.col("class").alias("b"), F.col("member").alias("right")), across, ["b"], "right", block)
+    across = across.select(_rows(F.col("left"), F.col("right"), F.col("weight").cast("double")))
     twins = members.filter(F.col("size") > 1)
+    left, right = (twins.select("class", F.col("dst").alias(side), "citers") for side in ("left", "right"))
     within = (
-        twins.select("class", F.col("dst").alias("left"), "citers")
-        .join(twins.select("class", F.col("dst").alias("right")), "class")
+        block_join(left, right.drop("citers"), ["class"], "left", block)
         .filter(F.col("left") < F.col("right"))
         .select(_rows(F.col("left"), F.col("right"), F.col("citers").cast("double")))
     )
