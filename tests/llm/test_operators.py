@@ -230,6 +230,18 @@ def test_pieces(spark, docs, empty):
     assert pieces.encode(empty, path).count() == 0
 
 
+def test_pieces_of_runs_and_rare_words(spark):
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    library = SentencePieceProcessor(model_file=path)
+    draw = random.Random(5)
+    found = ["a" + " " * n + "b" for n in range(41)] + [" " * n for n in (1, 15, 16, 17, 33)] + ["\n\n \n", "aaaa aaaaa", "ÿ\U0001f600 x"]
+    found += [" ".join("".join(draw.choice("aetnos") for _ in range(draw.randint(1, 14))) for _ in range(30)) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    for frequent in (3, 10_000):
+        got = {r["doc_id"]: r["ids"] for r in pieces.encode(rows, path, frequent).collect()}
+        assert got == {i: library.encode(text) for i, text in enumerate(found)}
+
+
 def test_viterbi_fold(spark):
     scores = {"▁": -2.0, "a": -3.0, "b": -3.1, "ab": -3.5, "ba": -3.4, "aba": -6.0, "▁a": -2.5, "abab": -6.7}
     table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(scores.items())], "piece string, id int, score double")
