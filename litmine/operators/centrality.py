@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from litmine.operators.graph import Graph
 from litmine.operators.spread import EDGES_PER_KEY, PlacedEdges, place_edges
-from litmine.session import cut, grown, union
+from litmine.session import cut, discard, grown, union
 
 # Settings of the power method.
 TELEPORT = 0.5
@@ -36,7 +36,8 @@ def pagerank(
 
     One round: rank per out-weight meets the placed edges, and the flows are summed by target together with
     the vertex rows in one shuffle. Flows are combined on the map side, so much-cited nodes are cheap. The new
-    state is put on shared storage; one aggregate over it gives the sum, the dangling mass and the change.
+    state is put on shared storage in place of the one before; the write also observes its sum, the dangling mass
+    and the change, so a round is one job.
     """
     edges = cut(graph.simple().edges)
     out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out_sum"))
@@ -75,12 +76,15 @@ def pagerank(
             F.sum("flow").alias("flow"), *[F.max(c).alias(c) for c in ("teleport", "out_sum", "before")]
         )
         new = (alpha + beta * dangling) * F.col("teleport") + beta * F.col("flow")
-        state = cut(summed.select("id", "teleport", "out_sum", "before", new.alias("rank")))
-        seen = state.agg(
+        figures = Observation()
+        rows = summed.select("id", "teleport", "out_sum", "before", new.alias("rank")).observe(
+            figures,
             F.sum("rank").alias("norm"),
             F.sum(F.when(F.col("out_sum").isNull(), F.col("rank"))).alias("dangling"),
             F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change"),
-        ).first()
+        )
+        state = cut(rows, replaces=state)
+        seen = figures.get
         norm, last = seen["norm"], change
         dangling, change = (seen["dangling"] or 0.0) / norm, seen["change"]
         if change == last:
@@ -88,6 +92,7 @@ def pagerank(
         if done >= min_iter and change <= tol:
             break
     placed.release()
+    discard(nodes)
     return state.select("id", (F.col("rank") / norm).alias("pagerank"))
 
 
@@ -99,13 +104,13 @@ def pagerank_simple(edges: DataFrame, iterations: int, per_key: int = EDGES_PER_
     pairs = cut(edges.select("src", "dst").distinct())
     out = cut(pairs.groupBy("src").agg(F.count("*").alias("n")))
     placed = place_edges(pairs, "src", "dst", per_key)
-    ranks = out.select(F.col("src").alias("id"), F.lit(1.0).alias("rank"))
+    ranks, before = out.select(F.col("src").alias("id"), F.lit(1.0).alias("rank")), None
     for done in range(1, iterations + 1):
         push = ranks.withColumnRenamed("id", "src").join(out, "src").select("src", (F.col("rank") / F.col("n")).alias("share"))
         flows = placed.meet(push).groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("flow"))
         ranks = flows.select("id", (BASE_RANK + DAMPING * F.col("flow")).alias("rank"))
         if done % every == 0 or done == iterations:
-            ranks = cut(ranks)
+            before = ranks = cut(ranks, replaces=before)
     placed.release()
     return ranks
 
@@ -132,7 +137,7 @@ def betweenness(graph: Graph, sources: DataFrame | None = None, chunk: int = 256
     for c in range(n_chunks):
         found = _dependencies(forward, backward, starts.filter(part == c) if n_chunks > 1 else starts)
         if found is not None:
-            total = cut(found if total is None else _sums(total.unionByName(found)))
+            total = cut(found if total is None else _sums(total.unionByName(found)), replaces=total)
     forward.release()
     backward.release()
     ids = graph.vertices.select("id")

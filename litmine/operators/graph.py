@@ -257,7 +257,7 @@ def clean_graph(graph: Graph, hubs: tuple[str, ...] = HUB_JOURNALS, rounds: int
     edges = cut(edges.select("src", "dst", "weight"))
     size, done = None, 0
     while done != rounds:
-        edges, done = cut(_peel(edges)), done + 1
+        edges, done = cut(_peel(edges), replaces=edges), done + 1
         if rounds is None:
             before, size = size, edges.count()
             if size == before:

@@ -86,6 +86,18 @@ def mentions_of_sentences(sents: DataFrame, pack: RulePack = PDB, id_column: str
     )
 
 
+def candidate_sentences(files: DataFrame, pack: RulePack = PDB, text: str = "text") -> DataFrame:
+    """The sentences with an id in ``raw``, and at least one row per file; ``raw`` is null in a row that only names its file.
+
+    Map-only. With it a choice between files is made after the mining, on these few rows, and no text is shuffled.
+    """
+    keep = [c for c in files.columns if c != text]
+    split = F.when(may_hold_id(F.col(text), pack), split_sentences(F.col(text)))
+    rows = files.select(*keep, F.posexplode_outer(split).alias("sentence_no", "raw"))
+    rows = rows.withColumn("raw", F.when(may_hold_id(F.col("raw"), pack), F.col("raw")))
+    return rows.filter(F.col("raw").isNotNull() | (F.coalesce("sentence_no", F.lit(0)) == 0))
+
+
 def mine_mentions(docs: DataFrame, pack: RulePack = PDB, id_column: str = "pdb_id") -> DataFrame:
     """Documents ``(file_name, text)`` -> mention records. Map-only: no shuffle, no Python on the row path."""
     kept = docs.filter(may_hold_id(F.col("text"), pack))
@@ -106,7 +118,8 @@ def first_format(files: DataFrame, key: str = "file_name", order: tuple[str, ...
     """Keep one copy per article: the smallest by ``order``, whose columns should tell the copies apart.
 
     The winner is found by a partial aggregate over the narrow columns, so a name that holds a large share of
-    all rows is combined before the shuffle; texts meet the winners on name and order columns together.
+    all rows is combined before the shuffle. All columns of ``files`` then meet the winners in a join; to mine whole texts,
+    pass ``candidate_sentences`` of them instead of the texts.
     """
     first = files.groupBy(key).agg(F.min(F.struct(*order)).alias("first")).select(key, "first.*")
     return files.join(first, [key, *order], "left_semi")

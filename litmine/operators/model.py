@@ -20,8 +20,10 @@ TRAIN_TENTHS = 8
 
 
 def split(df: DataFrame, *keys: str, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """80/20 split by a hash of the row's keys, so that it does not depend on the partitioning."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), *(keys or df.columns)), F.lit(10))
+    """80/20 split by the MD5 of the seed and the row's keys (leading 32 bits, modulo 10; nulls are left out), so that it
+    depends on no partitioning and any engine can repeat it."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in keys or df.columns])
+    bucket = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") % 10
     return df.filter(bucket < TRAIN_TENTHS), df.filter(bucket >= TRAIN_TENTHS)
 
 

@@ -16,6 +16,8 @@ PIVOTS = 4
 # The SQL twins of the loops are unrolled; this is more than the longest shortest path at sf0.01.
 LEVELS = 16
 PEELS = 8
+# The change of the ranks halves in every round at least; after this many it is below the operator's limit.
+RANK_ROUNDS = 50
 
 
 def papers_graph(t: Tables) -> Graph:
@@ -33,7 +35,7 @@ def ranks_10(t: Tables) -> DataFrame:
 def metrics(t: Tables) -> DataFrame:
     """Degrees and ranks. The rank is rounded, so that equal ranks tie in every engine."""
     g = papers_graph(t).simple().stored()
-    ranks = centrality.pagerank(g, min_iter=10, max_iter=10).withColumn("pagerank", F.round("pagerank", 12))
+    ranks = centrality.pagerank(g).withColumn("pagerank", F.round("pagerank", 12))
     return cut(ranking.metrics_table(g, ranks))
 
 
@@ -49,12 +51,14 @@ def report(rows: DataFrame, t: Tables) -> DataFrame:
     )
 
 
-def pdb_papers(t: Tables) -> DataFrame:
-    """Ranks among the primary citations only, with the ids they describe."""
+def pdb_metrics(t: Tables) -> DataFrame:
+    """Figures of the primary citations only, with the ids they describe."""
     ids = ranking.ids_per_paper(t.v_id_papers.filter(F.col("pubmed_id").isNotNull())).withColumnRenamed("pubmed_id", "id")
-    rows = ranking.ranked(metrics(t).join(ids, "id"))
-    top = ranking.top_papers(rows, "cite_rank")
-    return top.select("id", "pdb_ids", "in_degree", F.round("pagerank", 9).alias("pagerank"), "cite_rank", "pr_rank")
+    return metrics(t).join(ids, "id")
+
+
+def pdb_report(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "pdb_ids", "in_degree", F.round("pagerank", 9).alias("pagerank"), "cite_rank", "pr_rank")
 
 
 def years(t: Tables) -> DataFrame:
@@ -70,6 +74,7 @@ def pivots(t: Tables) -> DataFrame:
 
 
 def betweenness_pivots(t: Tables) -> DataFrame:
+    """The part of the betweenness that comes from the given start nodes; the other two queries take all nodes."""
     return rounded(centrality.betweenness(papers_graph(t), pivots(t)), "betweenness")
 
 
@@ -90,8 +95,7 @@ def closure(t: Tables, part: int) -> DataFrame:
 
 def drug_rows(t: Tables) -> DataFrame:
     papers = t.v_id_papers.filter(F.col("pubmed_id").isNotNull())
-    degree = graph.degrees(papers_graph(t)).select("id", "in_degree", "out_degree")
-    return ranking.drug_papers(ranking.drug_targets(t.v_drugs), papers, degree)
+    return rounded(ranking.drug_papers(ranking.drug_targets(t.v_drugs), papers, ranked(t)), "pagerank")
 
 
 def descriptors(t: Tables) -> DataFrame:
@@ -135,6 +139,7 @@ QUERIES = {
     "node_numbers": lambda t: numbering.number_rows(t.v_papers.select("pubmed_id"), "pubmed_id", name="node_no"),
     "numbered_edges": lambda t: graph.number_vertices(journal_graph(t)).edges,
     "pagerank_10": lambda t: rounded(ranks_10(t), "pagerank", digits=10),
+    "pagerank": lambda t: rounded(centrality.pagerank(papers_graph(t)), "pagerank", digits=10),
     "pagerank_simple_5": lambda t: rounded(centrality.pagerank_simple(t.v_links, 5), "rank"),
     "pagerank_above": lambda t: rounded(
         centrality.top_ranked(
@@ -143,15 +148,17 @@ QUERIES = {
         ),
         "rank",
     ),
-    "top_papers": lambda t: report(ranking.top_papers(ranked(t)), t),
-    "rank_outliers": lambda t: report(ranking.rank_outliers(ranked(t)), t),
-    "top_pdb_papers": pdb_papers,
+    "top_papers": lambda t: report(ranking.top_papers(metrics(t)), t),
+    "rank_outliers": lambda t: report(ranking.rank_outliers(metrics(t)), t),
+    "top_pdb_papers": lambda t: pdb_report(ranking.top_papers(pdb_metrics(t), "cite_rank")),
+    "pdb_outliers": lambda t: pdb_report(ranking.rank_outliers(pdb_metrics(t))),
     "year_stats": lambda t: rounded(ranking.year_stats(metrics(t), years(t)), "relative_citations", "pagerank_deviation"),
     "year_isolated": lambda t: ranking.year_isolated(graph.degrees(papers_graph(t)), years(t)),
     "reach_from": lambda t: traversal.reachable(pivots(t).limit(1), t.v_links).select("id", "level"),
     "closure_papers": lambda t: closure(t, 0),
     "closure_levels": lambda t: closure(t, 1),
     "betweenness_pivots": betweenness_pivots,
+    "betweenness_journals": lambda t: rounded(centrality.betweenness(journal_graph(t)), "betweenness"),
     "betweenness_tree": betweenness_tree,
     "drug_similarities": lambda t: ranking.drug_similarities(t.v_drugs),
     "drug_targets": lambda t: ranking.drug_targets(t.v_drugs),
@@ -250,27 +257,34 @@ def _simple_rank_views(rounds: int) -> dict[str, str]:
     return views
 
 
-def _between_views(levels: int) -> dict[str, str]:
-    """Shortest paths from the pivots level by level, then dependencies back."""
+def _between_views(p: str, starts: str, edges: str, levels: int) -> dict[str, str]:
+    """Shortest paths from the start nodes level by level, then dependencies back; an error if a level is left."""
     views = {
-        "b_pivots": f"select id from {{g_degrees}} order by out_degree desc, id limit {PIVOTS}",
-        "b0": "select id as source, id as v, 1.0::double as paths from {b_pivots}",
-        "seen0": "select source, v from {b0}",
+        f"{p}_starts": starts,
+        f"{p}_b0": f"select id as source, id as v, 1.0::double as paths from {{{p}_starts}}",
+        f"{p}_seen0": f"select source, v from {{{p}_b0}}",
     }
     for k in range(1, levels + 1):
-        views[f"b{k}"] = f"""
-            select l.source, e.dst as v, sum(l.paths) as paths from {{b{k - 1}}} l join {{g_simple}} e on e.src = l.v
-            where not exists (select 1 from {{seen{k - 1}}} s where s.source = l.source and s.v = e.dst) group by 1, 2"""
-        views[f"seen{k}"] = f"select * from {{seen{k - 1}}} union all select source, v from {{b{k}}}"
-    views[f"d{levels}"] = f"select source, v, paths, 0.0::double as delta from {{b{levels}}}"
+        views[f"{p}_b{k}"] = f"""
+            select l.source, e.dst as v, sum(l.paths) as paths from {{{p}_b{k - 1}}} l join {{{edges}}} e on e.src = l.v
+            where not exists (select 1 from {{{p}_seen{k - 1}}} s where s.source = l.source and s.v = e.dst) group by 1, 2"""
+        views[f"{p}_seen{k}"] = f"select * from {{{p}_seen{k - 1}}} union all select source, v from {{{p}_b{k}}}"
+    views[f"{p}_d{levels}"] = f"""
+        select source, v, paths, case when paths > 0 then error('a path is longer than {levels}')::double end as delta
+        from {{{p}_b{levels}}}"""
     for k in range(levels - 1, 0, -1):
-        views[f"d{k}"] = f"""
+        views[f"{p}_d{k}"] = f"""
             select l.source, l.v, l.paths, l.paths * coalesce(sum((1 + w.delta) / w.paths), 0) as delta
-            from {{b{k}}} l left join {{g_simple}} e on e.src = l.v
-              left join {{d{k + 1}}} w on w.source = l.source and w.v = e.dst group by 1, 2, 3"""
+            from {{{p}_b{k}}} l left join {{{edges}}} e on e.src = l.v
+              left join {{{p}_d{k + 1}}} w on w.source = l.source and w.v = e.dst group by 1, 2, 3"""
     return views
 
 
+def _between_sql(p: str, nodes: str) -> str:
+    return f"""select p.id, round(coalesce(sum(d.delta), 0), 9) as betweenness
+        from {nodes} p left join ({_upto([f'{p}_d{k}' for k in range(1, LEVELS + 1)])}) d on d.v = p.id group by 1"""
+
+
 def _upto(names: list[str]) -> str:
     return " union all ".join(f"select * from {{{n}}}" for n in names)
 
@@ -279,15 +293,18 @@ ORACLE_VIEWS = {
     **_graph_views("g", "v_links"),
     **_journal_views("j", "g_edges"),
     **_peel_views(PEELS),
-    **_pagerank_views(10, centrality.TELEPORT),
+    **_pagerank_views(RANK_ROUNDS, centrality.TELEPORT),
     **_simple_rank_views(5),
-    **_between_views(LEVELS),
+    **_between_views(
+        "p", f"select id from {{g_degrees}} order by out_degree desc, id limit {PIVOTS}", "g_simple", LEVELS),
+    **_between_views("jb", "select id from {j_nodes}", "j_edges", LEVELS),
     "slices": "select * from (values " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in WINDOWS) + ") w(slice, y0, y1)",
     "cocited": """
         select a.dst as src, b.dst as dst, count(*)::double as weight from {g_simple} a join {g_simple} b
           on a.src = b.src and a.dst <> b.dst group by 1, 2""",
-    "ranks": """
-        select d.id, d.in_degree, round(p.r, 12) as pagerank from {g_degrees} d join {pr10} p on d.id = p.id""",
+    "ranks": f"""
+        select d.id, d.in_degree, d.out_degree, round(p.r, 12) as pagerank
+        from {{g_degrees}} d join {{pr{RANK_ROUNDS}}} p on d.id = p.id""",
     "ranked": """
         select *, row_number() over (order by in_degree desc, id) as cite_rank,
           row_number() over (order by pagerank desc, id) as pr_rank from {ranks}""",
@@ -370,12 +387,15 @@ ORACLES = {
         join (select id, row_number() over (order by id) as n from {j_nodes}) a on e.src = a.id
         join (select id, row_number() over (order by id) as n from {j_nodes}) b on e.dst = b.id""",
     "pagerank_10": "select id, round(r, 10) as pagerank from {pr10}",
+    "pagerank": f"select id, round(r, 10) as pagerank from {{pr{RANK_ROUNDS}}}",
     "pagerank_simple_5": "select id, round(rank, 9) as rank from {sr5}",
     "pagerank_above": """select id, round(rank, 9) as rank, id as pubmed_id from {sr5}
         where round(rank, 9) > 0.8 and id in (select pubmed_id from {v_papers})""",
     "top_papers": "select * from {named} order by pr_rank limit 100",
     "rank_outliers": "select * from {named} where pr_rank <= 100 and floor(cite_rank / pr_rank) >= 5",
     "top_pdb_papers": "select * replace (round(pagerank, 9) as pagerank) from {pdb_ranked} order by cite_rank limit 100",
+    "pdb_outliers": """select * replace (round(pagerank, 9) as pagerank) from {pdb_ranked}
+        where pr_rank <= 100 and floor(cite_rank / pr_rank) >= 5""",
     "year_stats": """select p.pub_year, count(*) as papers, sum(r.in_degree)::bigint as citations,
           round(avg(r.in_degree) / (select avg(in_degree) from {ranks}), 9) as relative_citations,
           round(avg(abs(r.pagerank * (select count(*) from {ranks}) - 1)), 9) as pagerank_deviation
@@ -396,8 +416,8 @@ ORACLES = {
             sum(case when c.level = n.at + 1 then n.n else 0 end)::bigint as not_seen_total,
             count(*) filter (c.level = n.at + 1) as not_seen_unique
           from {casc_named} n join {casc} c on c.id = n.id group by 1) f on e.level = f.level""",
-    "betweenness_pivots": f"""select p.pubmed_id as id, round(coalesce(sum(d.delta), 0), 9) as betweenness
-        from {{v_papers}} p left join ({_upto([f'd{k}' for k in range(1, LEVELS + 1)])}) d on d.v = p.pubmed_id group by 1""",
+    "betweenness_pivots": _between_sql("p", "(select pubmed_id as id from {v_papers})"),
+    "betweenness_journals": _between_sql("jb", "{j_nodes}"),
     # In a tree each pair of a node below and a node above has one path, through the node.
     "betweenness_tree": """select l.mn as id, coalesce(b.descendants, 0)::double * case length(l.mn) when 1 then
           case l.mn when '0' then 0 else 1 end when 3 then 2 when 7 then 3 else 4 end as betweenness
@@ -405,8 +425,9 @@ ORACLES = {
     "drug_similarities": "select * from {sims}",
     "drug_targets": "select * from {targets}",
     "drug_target_counts": "select count(distinct pdb_id) as ids, count(*) as matches from {targets}",
-    "drug_papers": """select t.pdb_id, t.generic_name, t.similarity, i.pubmed_id, d.in_degree, d.out_degree
-        from {targets} t join {v_id_papers} i on t.pdb_id = i.pdb_id join {g_degrees} d on d.id = i.pubmed_id""",
+    "drug_papers": """select t.pdb_id, t.generic_name, t.similarity, i.pubmed_id, r.in_degree, r.out_degree,
+          round(r.pagerank, 9) as pagerank, r.cite_rank, r.pr_rank
+        from {targets} t join {v_id_papers} i on t.pdb_id = i.pdb_id join {ranked} r on r.id = i.pubmed_id""",
     "pdb_by_pubmed": """select pubmed_id, string_agg(distinct pdb_id, '|' order by pdb_id) as pdb_ids from {v_id_papers}
         where pubmed_id is not null group by 1""",
     "seed_counts": """select count(*) as ids, count(pubmed_id) as with_citation, count(distinct pubmed_id) as citations

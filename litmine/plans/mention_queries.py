@@ -51,9 +51,9 @@ def sentence_rows(t: Tables) -> DataFrame:
 
 
 def format_choice(t: Tables) -> DataFrame:
-    files = t.v_article_files.select("doc_id", "file_name", "format", "text", format_rank().alias("format_rank"))
+    files = t.v_article_files.select("doc_id", "file_name", "format", F.md5("text").alias("md5"), format_rank().alias("format_rank"))
     kept = mentions.first_format(files, order=("format_rank", "doc_id"))
-    return kept.select("file_name", "doc_id", "format", F.md5("text").alias("md5"))
+    return kept.select("file_name", "doc_id", "format", "md5")
 
 
 def incremental_files(t: Tables) -> DataFrame:
@@ -178,6 +178,13 @@ ORACLE_VIEWS = {
 _TRAIN = """pdb_id not in ('3DNA', '1AND') and pdb_id not like '%H2O'"""
 _LABELLED = "set_name like 'positives%' or set_name like 'negatives%'"
 
+ORACLE_VIEWS["o_mention_train"] = f"""
+    select pdb_id, pmc_id, blinded_sentence, label from {{o_labelled}} where ({_LABELLED}) and {_TRAIN}"""
+ORACLE_VIEWS["o_primary_train"] = """
+    select * exclude (set_name, primary_citation, label), cast(primary_citation as double) as label
+    from {o_labelled} where set_name = 'positives_i' or (set_name = 'positives_ii'
+      and sentence not like '%deposited%' and sentence not like '%submitted%')"""
+
 ORACLES = {
     "mention_ids": "select file_name, array_to_string(ids, ',') as ids from {o_sent}",
     "mention_types": """select file_name, match_type from {o_sent} where len(ids) > 0 or file_name in (
@@ -203,11 +210,8 @@ ORACLES = {
     "label_sets": "select * from {o_labelled}",
     "label_counts": "select set_name, count(*) as n, sum(label) as positives from {o_labelled} group by 1",
     "exclusion_filter": f"select pdb_id, file_name from {{o_mentions}} where {_TRAIN}",
-    "mention_train_set": f"""select pdb_id, pmc_id, blinded_sentence, label from {{o_labelled}}
-        where ({_LABELLED}) and {_TRAIN}""",
-    "primary_train_set": """select * exclude (set_name, primary_citation, label), cast(primary_citation as double) as label
-        from {o_labelled} where set_name = 'positives_i' or (set_name = 'positives_ii'
-          and sentence not like '%deposited%' and sentence not like '%submitted%')""",
+    "mention_train_set": "select * from {o_mention_train}",
+    "primary_train_set": "select * from {o_primary_train}",
     "confusion_of_rule": f"""select *, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 9) as f1,
           round(1.0 * fp / nullif(fp + tn, 0), 9) as fpr, round(1.0 * fn / nullif(fn + tp, 0), 9) as fnr,
           round(1.0 * tp / nullif(tp + fn, 0), 9) as sensitivity, round(1.0 * tn / nullif(tn + fp, 0), 9) as specificity,

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from litmine import schemas
 from litmine.operators import graph, mesh
-from litmine.operators.mentions import first_format, mine_mentions
+from litmine.operators.mentions import candidate_sentences, first_format, mentions_of_sentences, mine_mentions
 from litmine.operators.rules import CONTACT
 from litmine.plans import formats, mention_queries
 from litmine.plans.graph_queries import journal_graph, papers_graph
 from litmine.plans.tables import Tables, with_views
-from litmine.session import scratch_path
+from litmine.session import cut, scratch_path
 from litmine.sources import archives, links, mesh_files, metadata, pajek
 from litmine.streaming import incremental
 
@@ -97,8 +97,9 @@ def archive_mentions(t: Tables) -> DataFrame:
     files = _archived(t).withColumns({
         "file_name": F.regexp_replace("file_name", r"_\d+$", ""), "format_rank": archives.format_rank(),
     })
-    kept = first_format(files, order=("format_rank", "entry_name"))
-    return mine_mentions(kept.select("file_name", "text"), CONTACT, "found").groupBy("match_type").agg(
+    rows = cut(candidate_sentences(files.select("file_name", "format_rank", "entry_name", "text"), CONTACT))
+    kept = first_format(rows, order=("format_rank", "entry_name")).filter(F.col("raw").isNotNull())
+    return mentions_of_sentences(kept.select("file_name", "raw"), CONTACT, "found").groupBy("match_type").agg(
         F.count("*").alias("mentions")
     )
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from litmine.functions.text import STOP_WORDS, content_words
 from litmine.operators import labels, model, similarity
+from litmine.plans.mention_queries import ORACLE_VIEWS as MENTION_VIEWS
 from litmine.plans.mention_queries import labelled
 from litmine.plans.tables import Tables, with_views
-from litmine.session import cut, scratch_path, spread
+from litmine.session import cut, scratch_path, spread, union
 
 
 def articles(t: Tables) -> DataFrame:
@@ -84,6 +85,28 @@ def primary_predictions(t: Tables) -> DataFrame:
     return model.predict_primary(model.load(path), labels.label_set(sets, labels.POSITIVES_II, labels.UNASSIGNED))
 
 
+def totals(metrics: DataFrame) -> DataFrame:
+    """What the confusion counts add up to, which does not depend on the model."""
+    tp, tn, fp, fn = (F.col(c) for c in ("tp", "tn", "fp", "fn"))
+    return metrics.select("part", (tp + tn + fp + fn).alias("n"), (tp + fn).alias("positives"))
+
+
+def prediction_check(t: Tables) -> DataFrame:
+    """Candidates, predictions that are none of them, and rows on which the saved and loaded model differs."""
+    sets, fitted, _, _ = primary_model(t)
+    path = scratch_path(t.spark, "model")
+    model.save(fitted, path)
+    candidates = labels.label_set(sets, labels.POSITIVES_II, labels.UNASSIGNED)
+    first, again = (cut(model.predict_primary(m, candidates)) for m in (fitted, model.load(path)))
+    outside = first.exceptAll(candidates.select(*first.columns))
+    changed = first.exceptAll(again).unionAll(again.exceptAll(first))
+    marked = [
+        frame.select(F.lit(name).alias("name")) for name, frame in
+        (("candidates", candidates), ("outside", outside), ("changed", changed))
+    ]
+    return union(marked).agg(*[F.count_if(F.col("name") == n).alias(n) for n in ("candidates", "outside", "changed")])
+
+
 def split_sizes(t: Tables) -> DataFrame:
     rows = labels.mention_training_set(labelled(t))
     training, test = model.split(rows, "pdb_id", "pmc_id", "blinded_sentence")
@@ -103,10 +126,21 @@ QUERIES = {
     "mention_split": split_sizes,
     "mention_model_metrics": mention_model_metrics,
     "primary_model_metrics": primary_model_metrics,
+    "mention_model_totals": lambda t: totals(mention_model_metrics(t)),
+    "primary_model_totals": lambda t: totals(primary_model_metrics(t)),
+    "prediction_check": prediction_check,
     "mention_predictions": mention_predictions,
     "primary_predictions": primary_predictions,
 }
 
+_PART = """case when ('0x' || md5(concat_ws('|', '1', pdb_id, pmc_id, blinded_sentence))[1:8])::bigint % 10 < 8
+    then 'training' else 'testing' end"""
+
+
+def _totals_sql(rows: str) -> str:
+    return f"""select {_PART} as part, count(*) as n, count(*) filter (label = 1.0) as positives from {{{rows}}} group by 1"""
+
+
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS if w.isalpha())
 
 
@@ -151,8 +185,15 @@ ORACLES = {
         select sum(x.copies * y.copies) from {w_pairs} p join {w_sets} x on p.a = x.rep
         join {w_sets} y on p.b = y.rep), 0))::bigint as pairs""",
     "similar_hashed": "select a, b, common, round(cosine, 9) as cosine from {h_pairs}",
+    "mention_split": f"""
+        select {_PART} as part, count(*) as n
+        from {{o_mention_train}} group by 1""",
+    "mention_model_totals": _totals_sql("o_mention_train"),
+    "primary_model_totals": _totals_sql("o_primary_train"),
+    "prediction_check": """select count(*) as candidates, 0::bigint as outside, 0::bigint as changed from {o_labelled}
+        where set_name in ('positives_ii', 'unassigned')""",
     "feature_similarity": """select p.i::int as i, p.j::int as j, round(p.n / sqrt(a.n * b.n::double), 9) as cosine
         from {h_joint} p join {h_joint} a on a.i = p.i and a.j = p.i join {h_joint} b on b.i = p.j and b.j = p.j
         where p.i < p.j and p.n / sqrt(a.n * b.n::double) > 0.5""",
 }
-ORACLES = {name: with_views(sql, **ORACLE_VIEWS) for name, sql in ORACLES.items()}
+ORACLES = {name: with_views(sql, **{**MENTION_VIEWS, **ORACLE_VIEWS}) for name, sql in ORACLES.items()}

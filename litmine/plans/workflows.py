@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from litmine import schemas
 from litmine.operators import analysis, centrality, cocitation, graph, labels, mentions, model, ranking
 from litmine.operators.graph import Graph
 from litmine.operators.rules import PDB, RulePack
+from litmine.session import cut, discard
 from litmine.sources import archives, links, metadata, pajek
 
 # Folder names below the working directory.
@@ -23,18 +25,28 @@ def mine_archives(
     spark: SparkSession, archive_folder: str, out: str, files: DataFrame | None = None,
     last_updated: str | None = None, pack: RulePack = PDB,
 ) -> None:
-    """Archives -> mention records. With ``last_updated`` only newer files are mined and the result is appended."""
+    """Archives -> mention records. With ``last_updated`` only newer files are mined, and their rows take the place of
+    those that an earlier run has left for the same files.
+
+    Archives are read once. Every copy of an article is mined in the same pass, and the choices by date and format are
+    made on the sentences found, so no text is shuffled or stored.
+    """
     entries = archives.read_archives(spark, archive_folder).withColumn("format_rank", archives.format_rank())
+    order = ("format_rank", "archive", "entry_name")
+    rows = cut(mentions.candidate_sentences(entries.select("file_name", *order, "text"), pack))
+    kept = mentions.first_format(rows, order=order)
     if files is not None and last_updated is not None:
-        entries = mentions.since(entries, files, last_updated)
-    # Unpacking and the choice between formats both need the entries, and an archive is costly to read.
-    stored = f"{out}-articles"
-    metadata.write_table(entries, stored)
-    kept = mentions.first_format(
-        metadata.read_table(spark, stored), order=("format_rank", "archive", "entry_name")
-    )
-    found = mentions.mine_mentions(kept.select("file_name", "text"), pack).drop("sentence_no")
-    metadata.write_table(found, out, "append" if last_updated else "overwrite")
+        kept = mentions.since(kept, files, last_updated)
+    found = mentions.mentions_of_sentences(kept.filter(F.col("raw").isNotNull()).select("file_name", "raw"), pack)
+    if last_updated is None:
+        metadata.write_table(found, out)
+    else:
+        metadata.write_table(spark.createDataFrame([], found.schema), out, "ignore")
+        others = metadata.read_table(spark, out).join(kept.select("file_name"), "file_name", "left_anti")
+        merged = cut(others.unionByName(found))  # stored first, as it reads what it replaces
+        metadata.write_table(merged, out)
+        discard(merged)
+    discard(rows)
 
 
 def label(spark: SparkSession, work: str, files: DataFrame, articles: DataFrame, *entries: DataFrame) -> None:
@@ -121,8 +133,6 @@ def cocite(spark: SparkSession, network: str, out: str) -> None:
 
 def clean(spark: SparkSession, network: str, out: str, rounds: int | None = 1) -> None:
     """Clean journal network; a node is a hub if its name ends in the id of one."""
-    from pyspark.sql import functions as F
-
     g = pajek.read_network(spark, network)
     hubs = [F.contains("name", F.lit(f"|| {hub}")) for hub in graph.HUB_JOURNALS]
     kept = g.vertices.filter(~(hubs[0] | hubs[1] | hubs[2] | hubs[3]))
@@ -137,8 +147,6 @@ def clean(spark: SparkSession, network: str, out: str, rounds: int | None = 1) -
 def measure(spark: SparkSession, network: str, out: str, alpha: float = centrality.TELEPORT,
             with_betweenness: bool = False) -> None:
     """Degrees, PageRank and, on demand, exact betweenness of a network as a metrics file."""
-    from pyspark.sql import functions as F
-
     g = pajek.read_network(spark, network).simple().stored()
     table = ranking.metrics_table(g, centrality.pagerank(g, alpha)).join(g.vertices.select("id", "name"), "id")
     if with_betweenness:

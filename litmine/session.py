@@ -58,10 +58,28 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise on shared storage and drop the lineage, so that loops stay flat and survive lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+    """Store as Parquet on shared storage and read it again, so that loops stay flat and survive lost executors.
+
+    Later uses read only the columns they need. ``replaces`` is an earlier result of this function that nothing needs
+    once the new one is stored; its files are removed.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    if replaces is not None:
+        discard(replaces)
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a result of ``cut``; any other frame is left as it is."""
+    path = df.__dict__.pop("_stored_at", None)
+    if path is not None:
+        spark = df.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def grown(pieces: list[DataFrame], limit: int = 8) -> list[DataFrame]:

@@ -17,9 +17,20 @@ from litmine.functions.fields import base_name, extension
 BATCH_CHARS = 32 << 20
 
 
+# Hadoop's names of file systems, and those of Arrow.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "dbfs:/": "file:///dbfs/"}
+
+
+def _uri(path: str) -> str:
+    """A path as Spark lists it, as Arrow names it."""
+    for ours, theirs in SCHEMES.items():
+        if path.startswith(ours):
+            return theirs + path[len(ours) :].lstrip("/")
+    return path if "://" in path else path.replace("file:/", "file:///", 1)
+
+
 def _open(path: str):
-    uri = path if "://" in path else path.replace("file:/", "file:///", 1)
-    fs, inner = pyarrow.fs.FileSystem.from_uri(uri)
+    fs, inner = pyarrow.fs.FileSystem.from_uri(_uri(path))
     # The tar reader below does the decompression.
     return fs.open_input_stream(inner, compression=None)
 
