@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmine.operators.graph import Graph
@@ -36,8 +36,9 @@ def pagerank(
 
     One round: rank per out-weight meets the placed edges, and the flows are summed by target together with
     the vertex rows in one shuffle. Flows are combined on the map side, so much-cited nodes are cheap. The new
-    state is put on shared storage in place of the one before; the write also observes its sum, the dangling mass
-    and the change, so a round is one job.
+    state is put on shared storage in place of the one before; one aggregate over it gives the sum, the dangling mass
+    and the change. (An Observation of the write would save that job, but a session that has made one can no longer
+    serialise the models of the ML library.)
     """
     edges = cut(graph.simple().edges)
     out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out_sum"))
@@ -76,15 +77,12 @@ def pagerank(
             F.sum("flow").alias("flow"), *[F.max(c).alias(c) for c in ("teleport", "out_sum", "before")]
         )
         new = (alpha + beta * dangling) * F.col("teleport") + beta * F.col("flow")
-        figures = Observation()
-        rows = summed.select("id", "teleport", "out_sum", "before", new.alias("rank")).observe(
-            figures,
+        state = cut(summed.select("id", "teleport", "out_sum", "before", new.alias("rank")), replaces=state)
+        seen = state.agg(
             F.sum("rank").alias("norm"),
             F.sum(F.when(F.col("out_sum").isNull(), F.col("rank"))).alias("dangling"),
             F.sum(F.abs(F.col("rank") - F.col("before"))).alias("change"),
-        )
-        state = cut(rows, replaces=state)
-        seen = figures.get
+        ).first()
         norm, last = seen["norm"], change
         dangling, change = (seen["dangling"] or 0.0) / norm, seen["change"]
         if change == last:

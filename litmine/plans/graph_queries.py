@@ -32,11 +32,15 @@ def ranks_10(t: Tables) -> DataFrame:
     return centrality.pagerank(papers_graph(t), min_iter=10, max_iter=10)
 
 
-def metrics(t: Tables) -> DataFrame:
-    """Degrees and ranks. The rank is rounded, so that equal ranks tie in every engine."""
+def figures(t: Tables) -> DataFrame:
+    """Degrees and ranks."""
     g = papers_graph(t).simple().stored()
-    ranks = centrality.pagerank(g).withColumn("pagerank", F.round("pagerank", 12))
-    return cut(ranking.metrics_table(g, ranks))
+    return cut(ranking.metrics_table(g, centrality.pagerank(g)))
+
+
+def metrics(t: Tables) -> DataFrame:
+    """The same with the rank rounded, so that equal ranks tie in every engine."""
+    return figures(t).withColumn("pagerank", F.round("pagerank", 12))
 
 
 def ranked(t: Tables) -> DataFrame:
@@ -152,7 +156,7 @@ QUERIES = {
     "rank_outliers": lambda t: report(ranking.rank_outliers(metrics(t)), t),
     "top_pdb_papers": lambda t: pdb_report(ranking.top_papers(pdb_metrics(t), "cite_rank")),
     "pdb_outliers": lambda t: pdb_report(ranking.rank_outliers(pdb_metrics(t))),
-    "year_stats": lambda t: rounded(ranking.year_stats(metrics(t), years(t)), "relative_citations", "pagerank_deviation"),
+    "year_stats": lambda t: rounded(ranking.year_stats(figures(t), years(t)), "relative_citations", "pagerank_deviation"),
     "year_isolated": lambda t: ranking.year_isolated(graph.degrees(papers_graph(t)), years(t)),
     "reach_from": lambda t: traversal.reachable(pivots(t).limit(1), t.v_links).select("id", "level"),
     "closure_papers": lambda t: closure(t, 0),
@@ -302,9 +306,9 @@ ORACLE_VIEWS = {
     "cocited": """
         select a.dst as src, b.dst as dst, count(*)::double as weight from {g_simple} a join {g_simple} b
           on a.src = b.src and a.dst <> b.dst group by 1, 2""",
-    "ranks": f"""
-        select d.id, d.in_degree, d.out_degree, round(p.r, 12) as pagerank
-        from {{g_degrees}} d join {{pr{RANK_ROUNDS}}} p on d.id = p.id""",
+    "figures": f"""
+        select d.id, d.in_degree, d.out_degree, p.r as pagerank from {{g_degrees}} d join {{pr{RANK_ROUNDS}}} p on d.id = p.id""",
+    "ranks": "select * replace (round(pagerank, 12) as pagerank) from {figures}",
     "ranked": """
         select *, row_number() over (order by in_degree desc, id) as cite_rank,
           row_number() over (order by pagerank desc, id) as pr_rank from {ranks}""",
@@ -397,9 +401,9 @@ ORACLES = {
     "pdb_outliers": """select * replace (round(pagerank, 9) as pagerank) from {pdb_ranked}
         where pr_rank <= 100 and floor(cite_rank / pr_rank) >= 5""",
     "year_stats": """select p.pub_year, count(*) as papers, sum(r.in_degree)::bigint as citations,
-          round(avg(r.in_degree) / (select avg(in_degree) from {ranks}), 9) as relative_citations,
-          round(avg(abs(r.pagerank * (select count(*) from {ranks}) - 1)), 9) as pagerank_deviation
-        from {ranks} r join {v_papers} p on r.id = p.pubmed_id group by 1""",
+          round(avg(r.in_degree) / (select avg(in_degree) from {figures}), 9) as relative_citations,
+          round(avg(abs(r.pagerank * (select count(*) from {figures}) - 1)), 9) as pagerank_deviation
+        from {figures} r join {v_papers} p on r.id = p.pubmed_id group by 1""",
     "year_isolated": """select p.pub_year, count(*) as papers, sum(d.in_degree)::bigint as citations,
           count(*) filter (d.in_degree = 0 and d.out_degree = 0) as isolated
         from {g_degrees} d join {v_papers} p on d.id = p.pubmed_id group by 1""",

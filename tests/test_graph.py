@@ -259,3 +259,28 @@ def test_drugs(spark):
     frame = spark.createDataFrame(rows, "generic_name string, pdb_id_1 string, sim_1 string, pdb_id_2 string, sim_2 string, pdb_id_3 string, sim_3 string")
     got = ranking.drug_targets(frame).collect()
     assert [(r["pdb_id"], r["generic_name"], r["similarity"]) for r in got] == [("1AAA", "d1", 97)]
+
+
+def test_top_papers_as_by_full_ranks(spark):
+    rows = [(i, i * 7 % 5, float(i * 3 % 4)) for i in range(60)]  # many ties
+    frame = spark.createDataFrame(rows, "id long, in_degree long, pagerank double")
+    full = ranking.ranked(frame)
+    for by in ("pr_rank", "cite_rank"):
+        for n in (7, 100):
+            want = sorted(tuple(r) for r in full.filter(f"{by} <= {n}").select("id", "cite_rank", "pr_rank").collect())
+            got = ranking.top_papers(frame, by, n).select("id", "cite_rank", "pr_rank").collect()
+            assert sorted(tuple(r) for r in got) == want
+    assert ranking.top_papers(frame.limit(0)).count() == 0
+
+
+def test_loops_leave_few_folders(spark, tmp_path, monkeypatch):
+    made = []
+
+    def path(_, purpose):
+        made.append(f"{tmp_path}/{purpose}-{len(made)}")
+        return made[-1]
+
+    monkeypatch.setattr("litmine.session.scratch_path", path)
+    g = Graph(spark.range(20).select("id"), spark.range(20).selectExpr("id as src", "(id * 3 + 1) % 20 as dst", "1.0D as weight"))
+    assert centrality.pagerank(g, min_iter=10, max_iter=10).count() == 20
+    assert len(made) > 10 and len(list(tmp_path.iterdir())) <= 4

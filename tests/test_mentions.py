@@ -176,3 +176,17 @@ def test_long_word_run_takes_linear_time(spark):
     start = time.time()
     assert mine_mentions(docs).count() >= 0
     assert time.time() - start < 5
+
+
+def test_choice_of_copies_moves_no_text(spark):
+    rows = [("a", 0, "x", "No id here."), ("a", 1, "y", "Structure PDB ID: 1ABC was solved."), ("b", 1, "x", "Load 2DEF.pdb now. And more."),
+            ("c", 0, "x", None), ("d", 0, "x", "")]
+    files = spark.createDataFrame(rows, "file_name string, format_rank int, archive string, text string")
+    found = mentions.candidate_sentences(files.repartition(3))
+    assert found.select("file_name", "archive").distinct().count() == 5  # a file without an id still counts as a copy
+    kept = mentions.first_format(found)
+    assert [r["file_name"] for r in mentions.mentions_of_sentences(kept.filter("raw is not null").select("file_name", "raw")).collect()] == ["b"]
+    plan = mentions.first_format(mentions.candidate_sentences(files))._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    shuffled = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", plan)
+    assert shuffled and not any("text#" in columns for columns in shuffled)

@@ -204,3 +204,11 @@ def test_tree_report(spark):
     g = mesh.tree_graph(mesh.tree_report(mesh.tree_links(d), used))
     assert isinstance(g, Graph) and g.edges.count() == 4
     assert g.vertices.filter("id = 'A01'").first()["name"] == "x [A01] | 2 | 2"
+
+
+def test_names_of_file_systems():
+    from litmine.sources.archives import _uri
+
+    assert _uri("s3a://bucket/a.tar.gz") == "s3://bucket/a.tar.gz"
+    assert _uri("dbfs:/x/a.tar.gz") == "file:///dbfs/x/a.tar.gz"
+    assert _uri("file:/x/a.tar.gz") == "file:///x/a.tar.gz" and _uri("hdfs://n/a") == "hdfs://n/a"

@@ -48,3 +48,31 @@ def test_networks(spark, tmp_path):
     assert len(rows) == 4 and abs(sum(r["pagerank"] for r in rows) - 1) < 1e-9
     workflows.clean(spark, f"{out}/journals.net", f"{out}/clean.net")
     assert pajek.read_network(spark, f"{out}/clean.net").edges.count() == 2
+
+
+def test_a_later_run_replaces_the_rows_of_its_files(spark, tmp_path):
+    out = str(tmp_path / "mentions")
+
+    def archive(name, entries):
+        (tmp_path / name).mkdir()
+        with tarfile.open(tmp_path / name / "a.tar.gz", "w:gz") as tar:
+            for entry, text in entries.items():
+                info = tarfile.TarInfo(entry)
+                info.size = len(text)
+                tar.addfile(info, io.BytesIO(text.encode()))
+        return str(tmp_path / name)
+
+    def found():
+        return sorted((r["file_name"], r["pdb_id"]) for r in metadata.read_table(spark, out).collect())
+
+    first = archive("first", {"d/a.nxml": "See PDB ID: 1ABC here.", "d/a.txt": "See PDB ID: 9XYZ here.", "d/b.nxml": "See PDB ID: 2DEF here."})
+    workflows.mine_archives(spark, first, out)
+    assert found() == [("a", "1ABC"), ("b", "2DEF")]
+    later = archive("later", {"d/a.nxml": "See PDB ID: 3GHI here.", "d/b.nxml": "See PDB ID: 4JKL here.", "d/c.nxml": "None."})
+    files = spark.createDataFrame([("a", "2016-02-01"), ("b", "2015-01-01")], "file_name string, day string").selectExpr("file_name", "to_date(day) as update_date")
+    for _ in range(2):
+        workflows.mine_archives(spark, later, out, files, "2016-01-01")
+        assert found() == [("a", "3GHI"), ("b", "2DEF")]
+    gone = archive("gone", {"d/a.nxml": "No id any more."})
+    workflows.mine_archives(spark, gone, out, files, "2016-01-01")
+    assert found() == [("b", "2DEF")]
