@@ -85,7 +85,7 @@ def pagerank(
         ).first()
         norm, last = seen["norm"], change
         dangling, change = (seen["dangling"] or 0.0) / norm, seen["change"]
-        if change == last:
+        if change == last and change > tol:  # within the limit equal changes are rounding, and no sign of a cycle
             alpha += ALPHA_STEP
         if done >= min_iter and change <= tol:
             break
