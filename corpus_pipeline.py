@@ -22,7 +22,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by removing frequent lines."""
+    """Documents that pass the base rules and are not depleted by removing frequent lines, without these lines."""
     return kept_documents(docs)
 
 

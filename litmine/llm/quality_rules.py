@@ -2,13 +2,14 @@
 
 Base rules look at one text: its length in words and the share of words in repeated 8-word windows. The cross-document
 rule hashes the normalised lines, counts on how many distinct documents of a host each line stands, removes the lines
-above the limit, and rejects a document that is depleted by that: too few of its words remain.
+above the limit, and rejects a document that is depleted by that: too few of its words remain. The text without these
+lines is part of the result; the base measures are those of the whole text.
 
 Exact copies of a text are one document to the count, as a copied text says nothing about boilerplate; copies are the
 matter of deduplication. A line is above the limit if it stands on more than ``Limits.documents`` documents of the host
 and on more than ``Limits.share`` of them.
 
-Nulls and edges: a null text has no words, so its document fails the base rules; a null host is a host of its own; blank
+Nulls and edges: a null text has no words, so its document fails the base rules, and stays null; a null host is a host of its own; blank
 lines are never counted; repeated rows are judged each and count once; other columns are ignored; an empty table gives
 no rows.
 """
@@ -20,8 +21,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmine.llm.common import stored, texts
@@ -104,11 +106,19 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.assign(hashes=[x[0] for x in lines], words=[x[1] for x in lines])
 
 
-def measured(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Per document the base measures, a hash of its text and the hashes and words of its lines, on shared storage."""
-    rows = texts(docs, "doc_id", F.xxhash64(F.col(host)).alias("host"))
+def keyed(docs: DataFrame, host: str = "source") -> DataFrame:
+    """``(doc, key, key2)``: every row as a struct, and hashes of its id, host and text, with which a verdict finds its way
+    back to the text without a second copy of it. Rows with the same keys have the same verdict, also with a null id."""
+    of = [x for name in ("doc_id", host, "text") for x in (F.col(name).isNull(), F.col(name))]
+    return docs.select(F.struct("*").alias("doc"), F.xxhash64(*of).alias("key"), F.xxhash64(*of[::-1]).alias("key2"))
+
+
+def measured(rows: DataFrame, host: str = "source") -> DataFrame:
+    """Per row of ``keyed`` documents the base measures, a hash of its text and the hashes and words of its lines, on
+    shared storage."""
+    rows = texts(rows, "key", "key2", F.xxhash64(F.col(f"doc.{host}")).alias("host"), text="doc.text")
     schema = (
-        "doc_id long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
+        "key long, key2 long, host long, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
         "n_repeat_words long, copy long, hashes array<long>, words array<long>"
     )
     return stored(rows.mapInPandas(_measure, schema).withColumn("row", F.monotonically_increasing_id()), "lines")
@@ -124,27 +134,65 @@ def frequent_lines(rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return many.join(hosts, "host").filter(F.col("n") > limits.share * F.col("documents")).select("host", "hash")
 
 
-def quality_rules(docs: DataFrame, host: str = "source", limits: Limits = LIMITS) -> DataFrame:
-    """The base measures, ``base_failed``, ``removed_words`` (on lines above the limits) and ``kept`` of every row."""
-    rows = measured(docs, host)
-    lines = stored(frequent_lines(rows, limits), "frequent")
-    on_lines = rows.select("row", "host", F.explode(F.arrays_zip("hashes", "words")).alias("line")).select(
+def without_lines(text: str, removed: set[int]) -> str:
+    """The text without its lines whose hash is in ``removed``; lines without a word stay."""
+    return "\n".join(
+        line for line in text.split("\n") if line_hash(line) not in removed or not line.encode("utf-8", "replace").split()
+    )
+
+
+def _cleaned(text: pa.Array, removed: pa.Array) -> pa.Array:
+    done = []
+    for start in range(0, len(text), 256):
+        pairs = zip(text.slice(start, 256).to_pylist(), removed.slice(start, 256).to_pylist())
+        done.append(pa.array([None if x is None else without_lines(x, set(r)) for x, r in pairs], pa.string()))
+    return pa.concat_arrays(done) if done else pa.array([], pa.string())
+
+
+def cleaned() -> Column:
+    """The text of ``doc`` without the lines in ``removed``; only texts that have some go through Python."""
+    text = F.col("doc.text").cast("string")
+    changed = F.when(F.col("removed").isNotNull(), text)
+    return F.coalesce(F.arrow_udf(_cleaned, "string")(changed, "removed"), text)
+
+
+def verdicts(rows: DataFrame, host: str = "source", limits: Limits = LIMITS) -> DataFrame:
+    """By the keys of ``keyed`` documents the base measures, ``base_failed``, ``removed_words``, ``kept`` and ``removed``,
+    the hashes of the lines above the limits (null if there are none)."""
+    base = measured(rows, host)
+    lines = stored(frequent_lines(base, limits), "frequent")
+    on_lines = base.select("row", "host", F.explode(F.arrays_zip("hashes", "words")).alias("line")).select(
         "row", "host", F.col("line.hashes").alias("hash"), F.col("line.words").alias("words")
     )
-    removed = on_lines.join(lines, ["host", "hash"]).groupBy("row").agg(F.sum("words").alias("removed_words"))
+    removed = on_lines.join(lines, ["host", "hash"]).groupBy("row").agg(
+        F.sum("words").alias("removed_words"), F.collect_list("hash").alias("removed")
+    )
     failed = (F.col("n_words") < limits.min_words) | (
         100 * F.col("n_repeat_words") > limits.repeat_percent * F.col("n_words")
     )
     depleted = F.col("n_words") - F.col("removed_words") < limits.remaining * F.col("n_words")
-    base = rows.select(
-        "row", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed")
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "removed"]
+    judged = base.withColumn("base_failed", failed).join(removed, "row", "left").na.fill(0, ["removed_words"])
+    once = judged.groupBy("key", "key2").agg(*[F.first(name).alias(name) for name in names])
+    return once.withColumn("kept", ~F.col("base_failed") & ~depleted)
+
+
+def quality_rules(docs: DataFrame, host: str = "source", limits: Limits = LIMITS) -> DataFrame:
+    """The base measures, ``base_failed``, ``removed_words`` (on lines above the limits), ``kept`` and the ``text`` without
+    these lines of every row."""
+    rows = keyed(docs.select(*dict.fromkeys(["doc_id", "text", host])), host)
+    judged = rows.join(verdicts(rows, host, limits), ["key", "key2"])
+    return judged.select(
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "removed_words", "kept", cleaned().alias("text"),
     )
-    judged = base.join(removed, "row", "left").na.fill(0, ["removed_words"])
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row")
 
 
 def kept_documents(docs: DataFrame, host: str = "source", limits: Limits = LIMITS) -> DataFrame:
-    """The rows of ``docs`` that pass, with all their columns. The verdict is joined by ``doc_id``: copies of a row share
-    it, and rows with a null id are rejected."""
-    verdict = quality_rules(docs, host, limits).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return docs.join(verdict.filter("kept").select("doc_id"), "doc_id", "left_semi")
+    """The rows of ``docs`` that pass, with all their columns; ``text`` is without the lines above the limits. The verdict
+    is joined by id, host and text, so null and shared ids do not matter."""
+    rows = keyed(docs, host)
+    kept = rows.join(verdicts(rows, host, limits).filter("kept").select("key", "key2", "removed"), ["key", "key2"])
+    return kept.select(*[
+        (cleaned() if name == "text" else F.col("doc").getField(name)).alias(name) for name in docs.columns
+    ])

@@ -156,6 +156,21 @@ def test_quality_rules_lines_across_documents(spark):
     assert quality_rules.kept_documents(frame, limits=limits).columns == frame.columns
 
 
+def test_quality_rules_remove_lines(spark):
+    menu = "Home products about us contact"
+    own = lambda i: " ".join(f"word{i}x{k}" for k in range(25))
+    rows = [(i, f"{menu.upper()}\n\n{own(i)}\n  {menu}", "shop", i) for i in range(40)]
+    rows += [(100, f"{menu}\n{own(100)}", "other", 7), (101, None, "shop", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, row int")
+    limits = quality_rules.Limits(documents=20)
+    want = {i: f"\n{own(i)}" for i in range(40)} | {100: rows[40][1]}
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame, limits=limits).collect()}
+    assert {i: r["text"] for i, r in got.items()} == want | {101: None}
+    kept = quality_rules.kept_documents(frame, limits=limits)
+    assert kept.schema == frame.schema and {r["doc_id"]: r["text"] for r in kept.collect()} == want
+    assert {r["doc_id"]: r["row"] for r in kept.collect()} == {r[0]: r[3] for r in rows[:41]}
+
+
 def test_packing(spark, docs, empty):
     draw = np.random.default_rng(1)
     sizes = np.concatenate([draw.integers(0, 300, 500), [256, 256, 0, 255, 1]])
