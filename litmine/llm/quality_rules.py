@@ -6,8 +6,9 @@ above the limit, and rejects a document that is depleted by that: too few of its
 lines is part of the result; the base measures are those of the whole text.
 
 Exact copies of a text are one document to the count, as a copied text says nothing about boilerplate; copies are the
-matter of deduplication. A line is above the limit if it stands on more than ``Limits.documents`` documents of the host
-and on more than ``Limits.share`` of them.
+matter of deduplication. A line is above the limit if it stands on more than ``Limits.documents`` documents of the host, a
+count that is the same however many documents the host has. ``Limits.share`` can only lower it, on a host of which this share
+is fewer documents, and not below ``Limits.least``; with the default share of 1 it never does.
 
 Nulls and edges: a null text has no words, so its document fails the base rules, and stays null; a null host is a host of its own; blank
 lines are never counted; repeated rows are judged each and count once; other columns are ignored; an empty table gives
@@ -39,7 +40,8 @@ class Limits:
     min_words: int = 20
     repeat_percent: int = 30
     documents: int = 20
-    share: float = 0.01
+    share: float = 1.0
+    least: int = 10
     remaining: float = 0.3
 
 
@@ -130,8 +132,11 @@ def frequent_lines(rows: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     distinct = rows.groupBy("host", "copy").agg(F.first("hashes").alias("hashes"))
     hosts = distinct.groupBy("host").agg(F.count("*").alias("documents"))
     lines = distinct.select("host", F.explode("hashes").alias("hash"))
-    many = lines.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") > limits.documents)
-    return many.join(hosts, "host").filter(F.col("n") > limits.share * F.col("documents")).select("host", "hash")
+    least = min(limits.least, limits.documents)
+    many = lines.groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") > least)
+    lowered = F.greatest(F.lit(least), limits.share * F.col("documents"))
+    limit = F.least(F.lit(limits.documents), lowered)
+    return many.join(hosts, "host").filter(F.col("n") > limit).select("host", "hash")
 
 
 def without_lines(text: str, removed: set[int]) -> str:

@@ -171,6 +171,17 @@ def test_quality_rules_remove_lines(spark):
     assert {r["doc_id"]: r["row"] for r in kept.collect()} == {r[0]: r[3] for r in rows[:41]}
 
 
+def test_quality_rules_limit_does_not_grow_with_the_host(spark):
+    note = "Sign up for our letter today"
+    own = lambda i: " ".join(f"word{i}x{k}" for k in range(25))
+    rows = [(i, own(i) + ("\n" + note if i < 25 else ""), "hot") for i in range(3_000)]
+    rows += [(5_000 + i, own(i) + ("\n" + note if i < 20 else ""), "few") for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["removed_words"] for r in quality_rules.quality_rules(frame).collect()}
+    assert all(got[i] == (6 if i < 25 else 0) for i in range(3_000))
+    assert all(got[5_000 + i] == 0 for i in range(30))  # 20 documents are not over the limit
+
+
 def test_packing(spark, docs, empty):
     draw = np.random.default_rng(1)
     sizes = np.concatenate([draw.integers(0, 300, 500), [256, 256, 0, 255, 1]])
