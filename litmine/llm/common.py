@@ -20,6 +20,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``(doc, row)``: every row of ``docs`` as a struct, with a key of its own, on shared storage; a key that is not stored
+    may change when a task runs again."""
+    return stored(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+
+
 def texts(df: DataFrame, *keep: str, text: str = "text") -> DataFrame:
     """The named columns plus ``text`` with null as the empty text; all other columns are dropped, so that theirs
     cannot clash with columns that an operator adds."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from litmine.llm.common import stored, texts
+from litmine.llm.common import numbered, stored, texts
 from litmine.llm.components import components
 
 BITS = 64
@@ -60,15 +60,15 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, print)`` of every row; the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``print`` of every row; the 64 bits as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             prints = np.array([fingerprint(shingle_hashes(x)) for x in batch["text"]], dtype="uint64")
             yield batch.drop(columns="text").assign(print=prints.view("int64"))
 
-    return texts(docs, "doc_id").mapInPandas(run, "doc_id long, print long")
+    return texts(docs, key, text=text).mapInPandas(run, f"{key} long, print long")
 
 
 def masks(low: int, high: int, radius: int) -> list[np.ndarray]:
@@ -156,25 +156,34 @@ def links(nodes: DataFrame, words_per_task: int = WORDS_PER_TASK, min_key_bits:
     return keyed.groupBy("key", "part").applyInPandas(find, "a long, b long")
 
 
+def rooted(nodes: DataFrame) -> DataFrame:
+    """``nodes`` (different fingerprints) with the ``root`` of their components, on shared storage."""
+    roots = components(links(nodes.select("print")))
+    joined = nodes.join(roots, nodes["print"] == roots["node"], "left")
+    return stored(joined.select(*[nodes[c] for c in nodes.columns], F.coalesce("root", "print").alias("root")), "rooted")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs``."""
     prints = stored(fingerprints(docs), "prints")
-    nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(links(nodes.select("print")))
-    rooted = nodes.join(roots, nodes["print"] == roots["node"], "left").select(
-        "print", "first", F.coalesce("root", "print").alias("root")
-    )
-    rooted = stored(rooted, "rooted")
-    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    of_print = stored(rooted.join(least, "root").select("print", "component_id"), "components")
+    found = rooted(stored(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "nodes"))
+    least = stored(found.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    of_print = stored(found.join(least, "root").select("print", "component_id"), "components")
     return prints.join(of_print, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of their component, one row each, with all columns. Rows with
-    a null id are dropped."""
-    found = near_duplicates(docs)
-    stays = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+def one_of_each(docs: DataFrame, without_id: bool = False) -> DataFrame:
+    """One row of each component, with all columns: the one with the smallest ``doc_id``, and of these the first by its row
+    key, so that rows which share an id are told apart. Components in which no row has an id are kept if ``without_id``."""
+    rows = numbered(docs)
+    prints = fingerprints(rows, "row", "doc.text")
+    prints = stored(prints.join(rows.select("row", F.col("doc.doc_id").alias("doc_id")), "row"), "prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    found = rooted(stored(prints.groupBy("print").agg(F.min(order).alias("first")), "nodes"))
+    stays = found.groupBy("root").agg(F.min("first").alias("first"))
+    if not without_id:
+        stays = stays.filter(~F.col("first.none"))
+    kept = rows.join(stays.select(F.col("first.row").alias("row")), "row", "left_semi")
+    return kept.select(*[F.col("doc").getField(name).alias(name) for name in docs.columns])

@@ -40,3 +40,17 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, FOLDER)
     total = packed.groupBy("doc_id").sum("length").collect()
     assert {(r[0], r[1]) for r in total} == {(i, len(texts[i].encode().split()) + 1) for i in set(root.values())}
+
+
+def test_null_and_shared_ids_lose_no_text(spark):
+    text = lambda i: " ".join(f"word{i}x{k}" for k in range(30))
+    ids = [None, None, None, 7, 7, 7, 8, 9]
+    rows = [(doc_id, text(i), "host") for i, doc_id in enumerate(ids)]
+    rows += [(7, "too short", "host"), (7, text(0), "host"), (None, text(6), "host"), (8, text(6), "host")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    second = stored(corpus_pipeline.quality_rules(spark, docs, FOLDER), "test")
+    key = lambda r: (r[1], r[0] or 0)
+    assert sorted(map(tuple, second.collect()), key=key) == sorted([r for r in rows if r[1] != "too short"], key=key)
+    third = corpus_pipeline.near_duplicates(spark, second, FOLDER)
+    want = [(7, text(0), "host"), *rows[1:8]]
+    assert third.columns == docs.columns and sorted(map(tuple, third.collect()), key=key) == sorted(want, key=key)
