@@ -11,7 +11,7 @@
 4. The score of a document is the sum over all its words of the log probability of the class plus that of the id within
    the class: its masked pseudo-log-likelihood.
 
-Counts and training cover all documents and so grow with the input; the count table and the parameters have a fixed size.
+Counts and training cover all words of all documents and so grow with the input; the count table and the parameters have a fixed size.
 
 Nulls and edges: a null or empty text has no words, score 0 and a null mean; rows with a null id are scored like any
 other; repeated rows are counted and scored each; other columns are ignored; an empty table gives no rows.
@@ -42,10 +42,11 @@ CACHE = 500_000
 
 @dataclass(frozen=True)
 class Training:
-    """In a round every ``stride``-th word of every document is a target, each round from another first word."""
+    """In a round every ``stride``-th word of every document is a target, each round from the next first word, so that
+    ``stride`` rounds take every word once."""
 
     rounds: int = 2
-    stride: int = 16
+    stride: int = 2
     batch: int = 1_024
     rate: float = 0.05
     seed: int = 5
@@ -197,6 +198,12 @@ def train(rows: DataFrame, words: Vocabulary, t: Training = Training()) -> np.nd
     return parameters
 
 
+def targets_of(offsets: np.ndarray, t: Training, turn: int) -> np.ndarray:
+    """Places of the words that are targets in a round. Where a batch begins does not matter."""
+    place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
+    return np.flatnonzero((place + turn) % t.stride == 0)
+
+
 def _trainer(words, start, t: Training, turn: int):
     """A task's pass over its documents."""
 
@@ -207,8 +214,7 @@ def _trainer(words, start, t: Training, turn: int):
         for batch in batches:
             ids, offsets = _flat(batch)
             classes = words.value.classes[ids]
-            first = np.repeat(offsets[:-1], np.diff(offsets))
-            targets = np.flatnonzero((np.arange(len(ids)) - first + first * 7 + turn * 5) % t.stride == 0)
+            targets = targets_of(offsets, t, turn)
             for begun in range(0, len(targets), t.batch):
                 some = targets[begun : begun + t.batch]
                 learn(parameters, squares, contexts(classes, offsets, some), classes[some], t.rate)

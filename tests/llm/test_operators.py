@@ -316,6 +316,19 @@ def test_masked_lm(spark, empty):
     assert masked_lm.pseudo_likelihood(empty).count() == 0
 
 
+def test_masked_lm_takes_every_word_once(spark):
+    t = masked_lm.Training()
+    offsets = np.array([0, 0, 1, 3, 18, 50, 51])
+    taken = np.concatenate([masked_lm.targets_of(offsets, t, turn) for turn in range(t.rounds)])
+    assert sorted(taken) == list(range(51))
+    draw = random.Random(5)
+    rows = [(i, " ".join("abcdefgh"[(i + k) % 8] * 3 for k in range(80))) for i in range(3_000)]
+    rows += [(10_000, " ".join(draw.choice("abcdefgh") * 3 for _ in range(80)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2, "doc_id")
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in masked_lm.pseudo_likelihood(frame).collect()}
+    assert np.mean([got[i] for i in range(3_000)]) > got[10_000] + 1
+
+
 def test_masked_lm_gradient():
     draw = np.random.default_rng(0)
     p = masked_lm.begin(1).astype("float64")
