@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 from zlib import crc32
 
 import numpy as np
@@ -52,12 +53,14 @@ _BOUNDARY, _OTHER = 0, 27
 _CODES = bytes(
     _BOUNDARY if c <= 32 else c - 96 if 97 <= c <= 122 else _OTHER if c >= 128 else _BOUNDARY for c in range(256)
 )
-_ENDS = re.compile(r"^[^\w$@€£(|+!*#]+|(?:[!?.,;:)\]}\"'|]+|([^\w])\1+)$")
+_ENDS = re.compile(r"^[^\w$@€£(|+!*#]+|(?:[?.,;:)\]}\"']+|([^\w$@€£(|+!*#])\1+)$")
 _DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(€£*#]|[0-9@$!|+(€£*#].*[^\W\d_]|[^\W\d_][.\-_'`~/,][^\W\d_]|(.)\1\1")
 _TRIPLE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1+")
 
-Lattice = list[list[tuple[str, float]]]
+FLUSH = 512  # places after which what all readings begin with is written out
+
+Lattice = Iterable[list[tuple[str, float]]]
 
 
 def _codes(text: str) -> np.ndarray:
@@ -100,28 +103,48 @@ def count_model(docs: DataFrame) -> np.ndarray:
 
 def lattice(token: str) -> Lattice:
     """Readings of each place of a lower-case token, as (what is read, log cost)."""
-    places: Lattice = []
     for run in re.finditer(r"(.)\1*", token, re.S):
         c, n = run[1], len(run[0])
         if c.isalpha():
-            places.append([(c, AS_WRITTEN), (c * 2, DOUBLED)] if n > 2 else [(c * n, AS_WRITTEN)])
+            yield [(c, AS_WRITTEN), (c * 2, DOUBLED)] if n > 2 else [(c * n, AS_WRITTEN)]
             continue
         readings = [(c, 2 * DISGUISE)] if c.isdigit() else [(" ", AS_WRITTEN)]
         readings += [(x, DISGUISE) for x in LOOKALIKES.get(c, "")]
         if c in SEPARATORS:
             readings.append(("", DROPPED))
-        places += [readings] * (1 if c in SEPARATORS else min(n, 2))
-    return places
+        yield from [readings] * (1 if c in SEPARATORS else min(n, 2))
+
+
+def _shared_begin(nodes: list[list]) -> str:
+    """What the paths to all ``nodes`` begin with; the paths are cut after it."""
+    paths = []
+    for node in nodes:
+        path = []
+        while node is not None:
+            path.append(node)
+            node = node[0]
+        paths.append(path[::-1])
+    n = 0
+    for level in zip(*paths):
+        if any(node is not level[0] for node in level):
+            break
+        n += 1
+    read = "".join(node[1] for node in paths[0][:n])
+    if n:
+        paths[0][n - 1][:] = None, ""
+    return read
 
 
 def decode(places: Lattice, model: np.ndarray) -> str:
-    """The likeliest reading of a lattice (Viterbi; the state is the last three symbols). Ties go to the reading that
-    comes first in the order of places and readings."""
-    states: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    """The likeliest reading of a lattice (Viterbi; the state is the last three symbols), of any length: a state points
+    back to the one before, and what all paths share is written out. Ties go to the reading that comes first in the order
+    of places and readings."""
+    states: dict[int, tuple[float, list]] = {0: (0.0, [None, ""])}
     size = SYMBOLS ** (ORDER - 1)
-    for readings in [*places, [(" ", 0.0)]]:
-        after: dict[int, tuple[float, str]] = {}
-        for state, (total, read) in states.items():
+    done: list[str] = []
+    for place, readings in enumerate(chain(places, [[(" ", 0.0)]]), 1):
+        after: dict[int, tuple[float, list, str]] = {}
+        for state, (total, node) in states.items():
             for what, cost in readings:
                 at, value = state, total + cost
                 for c in what:
@@ -134,9 +157,12 @@ def decode(places: Lattice, model: np.ndarray) -> str:
                     value += float(model[window])
                     at = window % size
                 if at not in after or value > after[at][0]:
-                    after[at] = (value, read + what)
-        states = after
-    return max(states.values(), key=lambda x: x[0])[1]
+                    after[at] = (value, node, what)
+        states = {at: (value, [node, what]) for at, (value, node, what) in after.items()}
+        if place % FLUSH == 0:
+            done.append(_shared_begin([node for _, node in states.values()]))
+    best = max(states.values(), key=lambda x: x[0])[1]
+    return "".join(done) + _shared_begin([best])
 
 
 def restore(token: str, model: np.ndarray) -> list[str]:
@@ -146,8 +172,8 @@ def restore(token: str, model: np.ndarray) -> list[str]:
         return [bare]  # as most are
     token = _ENDS.sub("", _ENDS.sub("", token))
     if _DISGUISED.search(token):
-        if not any(c.isalpha() for c in token) or len(token) > 64:
-            return re.findall(r"[^\W_]+", token)  # numbers and long codes hold no word to restore
+        if not any(c.isalpha() for c in token):
+            return re.findall(r"[^\W_]+", token)  # numbers hold no word to restore
         token = decode(lattice(token), model)
     return re.findall(r"[^\W_]+", token)
 
@@ -188,8 +214,7 @@ class Words(dict):
             self.clear()
         found = list(map(self.__getitem__, set(tokens)))
         for row in spaced_rows(tokens):
-            for start in range(0, len(row), 128):  # a long row is read piece by piece
-                found.append(self.ids(decode(lattice(row[start : start + 128].lower()), self.model).split()))
+            found.append(self.ids(decode(lattice(row.lower()), self.model).split()))
         ids, counts = np.unique(np.frombuffer(b"".join(found), dtype="uint32"), return_counts=True)
         return ids.astype("int64"), np.log1p(counts)
 

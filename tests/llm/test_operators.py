@@ -389,6 +389,20 @@ def test_toxicity(spark, empty):
     assert toxicity.toxicity_scores(empty, labels).count() == 0
 
 
+def test_toxicity_decodes_any_length():
+    c = np.concatenate([np.zeros(3, "uint8"), toxicity._codes("you are stupid lass hello ass " * 300)]).astype("int64")
+    windows = ((c[:-3] * 28 + c[1:-2]) * 28 + c[2:-1]) * 28 + c[3:]
+    model = toxicity.character_model(np.bincount(windows, minlength=28**4))
+    assert toxicity.restore(".-.".join(".".join(w) for w in ["you", "are", "stupid"] * 300), model) == ["you", "are", "stupid"] * 300
+    row = " ".join(" ".join("stupid") for _ in range(400))
+    assert toxicity.decode(toxicity.lattice(row), model).split() == ["stupid"] * 400
+    words = toxicity.Words(model, 1 << 16)
+    want = set(np.frombuffer(words.ids(["stupid", *"stupid"]), dtype="uint32").tolist())
+    assert set(words(row)[0].tolist()) == want
+    assert toxicity.restore("a$$", model) == ["ass"]
+    assert toxicity.restore("stupid!!", model) == ["stupid"] and toxicity.restore("he!!o", model) == ["hello"]
+
+
 def test_ftrl_starts_where_it_is_told():
     s = ftrl.Settings(buckets=8)
     start = np.array([0.5, -0.25, 0, 0, 0, 0, 0, 0, 1.0])
