@@ -48,8 +48,9 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = pieces.encode(table(spark, sf_dir, "documents"), str(public_tokenizers.path("piece_bpe_32k.model")))
-    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), path), path, "ids")
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.md5("text").alias("decoded_md5"))
 
 
 def op6_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

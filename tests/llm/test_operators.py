@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
+from hashlib import md5
 from zlib import crc32
 
 import numpy as np
@@ -22,6 +23,7 @@ from litmine.llm import (
     pieces,
     quality_classifier,
     quality_rules,
+    registry,
     simhash,
     token_store,
     topk,
@@ -256,6 +258,13 @@ def test_pieces(spark, docs, empty):
     assert pieces.encode(empty, path).count() == 0
 
 
+def test_pieces_query_decodes_all_documents(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    got = registry.op5_pieces(spark, folder).select("doc_id", "decoded_md5").collect()
+    assert sorted(map(tuple, got)) == sorted((r["doc_id"], md5((r["text"] or "").encode()).hexdigest()) for r in docs)
+
+
 def test_pieces_of_runs_and_rare_words(spark):
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
     library = SentencePieceProcessor(model_file=path)
