@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from litmine.llm import (
     license_scan,
     masked_lm,
+    mixing,
     packing,
     pieces,
     quality_classifier,
@@ -74,6 +75,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -87,10 +92,12 @@ QUERIES: dict[str, Query] = {
         op8_license_scan,
         op9_quality_rules,
         op10_best_fit_packing,
+        op11_mixing,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op11_mixing": mixing.ORACLE,
     "op3_topk_maxscore": """
         with v as (
           select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))::bigint) as v from embeddings
