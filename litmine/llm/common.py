@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +47,14 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     costly Python work keeps all slots busy."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(parts, *keys)
+
+
+def portions(batches: Iterator[pa.RecordBatch], size: int, text: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``size`` bytes of text; a longer text is a slice of its own."""
+    for batch in batches:
+        first, ends = 0, np.cumsum(pc.binary_length(batch.column(text)).to_numpy())
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + size)))
+            yield batch.slice(first, last - first)
+            first = last

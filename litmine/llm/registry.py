@@ -13,6 +13,7 @@ from litmine.llm import (
     masked_lm,
     mixing,
     packing,
+    periodic,
     pieces,
     quality_classifier,
     quality_rules,
@@ -79,6 +80,10 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(periodic.periodic_runs(periodic.repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
         op9_quality_rules,
         op10_best_fit_packing,
         op11_mixing,
+        op12_periodic_runs,
     )
 }
 
