@@ -23,8 +23,10 @@ a row each; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -223,9 +225,8 @@ def runs_of(documents: list[list[bytes]], shortest: int = SHORTEST) -> list[np.n
     bounds = np.concatenate([[0], np.cumsum([len(words) for words in documents])]).astype("int64")
     flat, base = np.empty(bounds[-1], "int64"), 1  # numbers differ between documents, so no run crosses a bound
     for i, words in enumerate(documents):
-        index: dict[bytes, int] = {}
-        flat[bounds[i] : bounds[i + 1]] = [index.setdefault(w, len(index)) for w in words]
-        flat[bounds[i] : bounds[i + 1]] += base
+        index: dict[bytes, int] = defaultdict(count(base).__next__)
+        flat[bounds[i] : bounds[i + 1]] = np.fromiter(map(index.__getitem__, words), "int64", len(words))
         base += len(index)
     flat = flat.astype("int32")
     runs = _smallest(_far(flat, bounds, _close(flat, shortest), shortest))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmine.llm import (
+    alignment,
     license_scan,
     masked_lm,
     mixing,
@@ -84,6 +85,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.run_digests(periodic.periodic_runs(periodic.repeated_tails(table(spark, sf_dir, "documents"))))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level, piece_level = (str(public_tokenizers.path(x)) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.alignment_scores(table(spark, sf_dir, "documents"), byte_level, piece_level)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -99,6 +105,7 @@ QUERIES: dict[str, Query] = {
         op10_best_fit_packing,
         op11_mixing,
         op12_periodic_runs,
+        op13_alignment,
     )
 }
 

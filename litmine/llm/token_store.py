@@ -47,7 +47,7 @@ _TOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p
 ROWS = "part int, doc_id long, place long, ids array<int>"
 
 
-def _byte_letters() -> dict[int, str]:
+def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary: itself if it can be printed, else one of the
     letters from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,7 +59,7 @@ class _Pieces(dict):
     """Packed ids of pieces of text, made by the tokenizer's model when first asked for."""
 
     def __init__(self, tokenizer):
-        self.model, self.letters = tokenizer.model, _byte_letters()
+        self.model, self.letters = tokenizer.model, byte_letters()
 
     def word(self, word: str) -> bytes:
         found = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
