@@ -11,8 +11,9 @@ The texts of a portion are laid behind each other and merged as one sequence: bo
 crosses from one to the next, and a long text is as many pieces as its tokens need.
 
 The count of an id pair is the number of documents that hold it linked. Each document gives its different pairs once, with the
-times they are linked, kept on shared storage. Counts are partial sums; they meet the documents' pairs in a join that Catalyst
-plans by the measured size of the stored table of counts, and the sums of a document are again partial sums.
+times they are linked, kept on shared storage. Counts are partial sums. The ``FREQUENT`` most frequent pairs, a fixed number,
+are broadcast with their counts, so that most links never move and no pair is a hot key; the other pairs of the documents meet
+their counts in a shuffle. The sums of a document are again partial sums.
 
 Nulls and edges: a null or empty text, and one whose bytes a tokenizer does not give back, has no tokens: all its counts are 0
 and its groups are empty; special tokens in a text are plain text; null ids are kept; repeated rows are documents each; other
@@ -33,10 +34,11 @@ from sentencepiece import SentencePieceProcessor
 from litmine.llm.common import portions, stored, texts
 from litmine.llm.token_store import CACHE, Encoder, byte_letters
 
-# Ends per piece of a merge; bytes of text per portion; links of a group that are made one by one.
+# Ends per piece of a merge; bytes of text per portion; links of a group that are made one by one; pairs that are broadcast.
 PIECE = 1 << 14
 PORTION = 1 << 20
 SMALL = 256
+FREQUENT = 16_384
 
 
 def crossings(a: np.ndarray, b: np.ndarray, diagonals: np.ndarray) -> np.ndarray:
@@ -205,15 +207,18 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
     return counts.withColumn("best", F.col("documents") == most)
 
 
-def alignment_scores(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def alignment_scores(docs: DataFrame, a_path: str, b_path: str, frequent: int = FREQUENT) -> DataFrame:
     """``align`` in digests, with ``n_best``, links whose pair is the most frequent of its A id, and ``count_sum``, the
     sum of the counts over all links."""
     digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     aligned = align(docs, a_path, b_path).select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest, "a", "b", "times")
     aligned = stored(aligned.withColumn("row", F.monotonically_increasing_id()), "aligned")
     counts = stored(pair_counts(aligned), "pairs")
+    frequent = stored(counts.orderBy(F.desc("documents"), "a", "b").limit(frequent), "frequent")
     links = aligned.select("row", F.explode(F.arrays_zip("a", "b", "times")).alias("pair"))
-    met = links.select("row", "pair.a", "pair.b", "pair.times").join(counts, ["a", "b"])
+    links = links.select("row", "pair.a", "pair.b", "pair.times")
+    rest = links.join(F.broadcast(frequent), ["a", "b"], "left_anti").hint("merge").join(counts, ["a", "b"])
+    met = links.join(F.broadcast(frequent), ["a", "b"]).unionByName(rest)
     sums = met.groupBy("row").agg(
         F.sum(F.when(F.col("best"), F.col("times").cast("long")).otherwise(0)).alias("n_best"),
         F.sum(F.col("times") * F.col("documents")).alias("count_sum"),

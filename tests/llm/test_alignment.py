@@ -108,6 +108,8 @@ def test_rows_of_every_kind(spark):
     key = lambda r: tuple(map(str, r))
     got = alignment.alignment_scores(docs, A_PATH, B_PATH)
     assert sorted(found_rows(got), key=key) == sorted(plain_rows(rows), key=key)
+    few = alignment.alignment_scores(docs, A_PATH, B_PATH, frequent=5)
+    assert sorted(found_rows(few), key=key) == sorted(plain_rows(rows), key=key)
     assert alignment.alignment_scores(docs.limit(0), A_PATH, B_PATH).count() == 0
 
 
