@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmine.operators import centrality, cocitation, graph, mesh, numbering, ranking, traversal
+from litmine.operators import centrality, cocitation, components, graph, mesh, numbering, ranking, traversal
 from litmine.operators.graph import Graph
 from litmine.plans.tables import Tables, with_views
 from litmine.session import cut
@@ -77,6 +77,17 @@ def pivots(t: Tables) -> DataFrame:
     return graph.degrees(papers_graph(t)).orderBy(F.desc("out_degree"), "id").limit(PIVOTS).select("id")
 
 
+def year_components(t: Tables) -> DataFrame:
+    """Components of the links between papers of the same year; a paper without such a link is alone."""
+    papers = t.v_papers.select("pubmed_id", "pub_year")
+    years = [papers.select(F.col("pubmed_id").alias(end), F.col("pub_year").alias(f"{end}_year")) for end in ("src", "dst")]
+    links = t.v_links.join(years[0], "src").join(years[1], "dst").filter("src_year = dst_year")
+    known = components.components(links)
+    return papers.join(known, F.col("pubmed_id") == F.col("id"), "left").select(
+        F.col("pubmed_id").alias("id"), F.coalesce("component", "pubmed_id").alias("component")
+    )
+
+
 def betweenness_pivots(t: Tables) -> DataFrame:
     """The part of the betweenness that comes from the given start nodes; the other two queries take all nodes."""
     return rounded(centrality.betweenness(papers_graph(t), pivots(t)), "betweenness")
@@ -159,6 +170,8 @@ QUERIES = {
     "year_stats": lambda t: rounded(ranking.year_stats(figures(t), years(t)), "relative_citations", "pagerank_deviation"),
     "year_isolated": lambda t: ranking.year_isolated(graph.degrees(papers_graph(t)), years(t)),
     "reach_from": lambda t: traversal.reachable(pivots(t).limit(1), t.v_links).select("id", "level"),
+    "component_of": lambda t: components.component_of(pivots(t).limit(1), t.v_links),
+    "year_components": year_components,
     "closure_papers": lambda t: closure(t, 0),
     "closure_levels": lambda t: closure(t, 1),
     "betweenness_pivots": betweenness_pivots,
@@ -447,17 +460,27 @@ ORACLES = {
     "mesh_tree_labels": """select mn as id, mh || ' [' || mn || '] | ' || direct || ' | ' || cumulative as name from {tree}""",
     "reach_from": """with_recursive""",
 }
+_COMPONENT = """with recursive {views}, walk(id) as (
+    select id from (select id from g_degrees order by out_degree desc, id limit 1) s
+    union select s.next from walk w join (select distinct id, next from steps) s on s.id = w.id)
+    select id, (select min(id) from walk) as component from walk"""
+_YEARS = """with recursive {views}, years as (
+    select distinct s.id, s.next from steps s join v_papers a on a.pubmed_id = s.id join v_papers b on b.pubmed_id = s.next
+    where a.pub_year = b.pub_year), walk(id, other) as (
+    select pubmed_id, pubmed_id from v_papers union select w.id, y.next from walk w join years y on y.id = w.other)
+    select id, min(other) as component from walk group by 1"""
 _REACH = """with recursive {views}, walk(id, level) as (
     select id, 0 from (select id from g_degrees order by out_degree desc, id limit 1) s
     union select s.next, w.level + 1 from walk w join (select distinct id, next from steps) s on s.id = w.id where w.level < 40)
     select id, min(level) as level from walk group by 1"""
 
 
-def _reach_sql() -> str:
+def _walk_sql(walk: str) -> str:
     body = with_views("select 1 from {g_degrees}, {steps}", **ORACLE_VIEWS)
     views = body[len("with ") : body.rindex("\nselect 1 from")]
-    return _REACH.format(views=views)
+    return walk.format(views=views)
 
 
 ORACLES = {name: with_views(sql, **ORACLE_VIEWS) for name, sql in ORACLES.items() if name != "reach_from"}
-ORACLES["reach_from"] = _reach_sql()
+ORACLES |= {name: _walk_sql(walk) for name, walk in (
+    ("reach_from", _REACH), ("component_of", _COMPONENT), ("year_components", _YEARS))}

@@ -21,6 +21,25 @@ def similar(t: Tables) -> tuple[DataFrame, DataFrame]:
     return similarity.similar_articles(articles(t), "doc_id", content_words(F.col("text")))
 
 
+def similar_lsh(t: Tables) -> DataFrame:
+    _, sets = similarity.copy_groups(articles(t), "doc_id", content_words(F.col("text")))
+    return similarity.similar_sets_lsh(cut(sets))
+
+
+def lsh_recall(t: Tables) -> DataFrame:
+    """Pairs of the exact and of the approximate join, those that only the latter has, and whether nine tenths are found."""
+    _, sets = similarity.copy_groups(articles(t), "doc_id", content_words(F.col("text")))
+    sets = cut(sets)
+    found = similarity.similar_sets_lsh(sets).select("a", "b", F.lit(1).alias("approximate"))
+    exact = similarity.similar_sets(sets).select("a", "b", F.lit(1).alias("exact"))
+    both = exact.join(found, ["a", "b"], "full")
+    counts = both.agg(
+        F.count("exact").alias("exact_pairs"), F.count_if(F.col("exact").isNotNull() & F.col("approximate").isNotNull()).alias("found"),
+        F.count_if(F.col("exact").isNull()).alias("wrong"),
+    )
+    return counts.withColumn("enough", 10 * F.col("found") >= 9 * F.col("exact_pairs"))
+
+
 def similar_hashed(t: Tables) -> DataFrame:
     features = similarity.hashed_features(F.col("text")).cast("array<string>")
     return similarity.similar_articles(articles(t), "doc_id", features)[1]
@@ -121,6 +140,8 @@ QUERIES = {
     "similar_docs": lambda t: rounded(similar(t)[1], "cosine"),
     "similar_doc_members": lambda t: similar(t)[0],
     "similar_doc_count": lambda t: similarity.similar_pair_count(*similar(t)),
+    "similar_lsh": lambda t: rounded(similar_lsh(t), "cosine"),
+    "lsh_recall": lsh_recall,
     "similar_hashed": lambda t: rounded(similar_hashed(t), "cosine"),
     "feature_similarity": feature_pairs,
     "mention_split": split_sizes,
@@ -161,7 +182,18 @@ def _pairs(prefix: str, items: str) -> dict[str, str]:
     }
 
 
+_SEEDS = ", ".join(f"({k}, {a}, {b})" for k, (a, b) in enumerate(similarity.hash_family(similarity.LSH_BANDS * similarity.LSH_ROWS)))
+
 ORACLE_VIEWS = {
+    "seeds": f"select * from (values {_SEEDS}) s(k, a, b)",
+    "w_minima": f"""
+        select rep, k, min((a * (('0x' || md5(item)[1:8])::bigint % {similarity.HASH_PRIME}) + b) % {similarity.HASH_PRIME}) as h
+        from {{w_rows}}, {{seeds}} group by 1, 2""",
+    "w_bands": f"""
+        select rep, k // {similarity.LSH_ROWS} as band, string_agg(h, ',' order by k) as hashes from {{w_minima}} group by 1, 2""",
+    "w_found": """
+        select p.* from {w_pairs} p semi join (select x.rep as a, y.rep as b from {w_bands} x join {w_bands} y
+          on x.band = y.band and x.hashes = y.hashes and x.rep < y.rep) c on p.a = c.a and p.b = c.b""",
     "w_words": f"""
         select doc_id, list_sort(list_distinct(list_filter(list_transform(
           regexp_extract_all(regexp_replace(text, '<.*?>', ' ', 'g'), '[a-zA-Z]{{4,}}'), lambda x: lower(x)),
@@ -180,6 +212,9 @@ ORACLE_VIEWS = {
 ORACLES = {
     "article_hash": "select doc_id, array_to_string(numbers, ',') as features from {h_numbers}",
     "similar_docs": "select a, b, common, round(cosine, 9) as cosine from {w_pairs}",
+    "similar_lsh": "select a, b, common, round(cosine, 9) as cosine from {w_found}",
+    "lsh_recall": """select e.n as exact_pairs, f.n as found, 0::bigint as wrong, 10 * f.n >= 9 * e.n as enough
+        from (select count(*) as n from {w_pairs}) e, (select count(*) as n from {w_found}) f""",
     "similar_doc_members": "select m.doc_id, s.rep from {w_marked} m join {w_sets} s on m.mark = s.mark",
     "similar_doc_count": """select (coalesce((select sum(copies * (copies - 1) / 2) from {w_sets}), 0) + coalesce((
         select sum(x.copies * y.copies) from {w_pairs} p join {w_sets} x on p.a = x.rep

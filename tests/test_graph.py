@@ -4,7 +4,7 @@ from collections import Counter, defaultdict, deque
 
 import pytest
 
-from litmine.operators import centrality, cocitation, graph, numbering, ranking, traversal
+from litmine.operators import centrality, components, cocitation, graph, numbering, ranking, traversal
 from litmine.operators.graph import Graph
 
 
@@ -218,6 +218,45 @@ def test_betweenness_of_some_sources(spark):
     assert got == pytest.approx(plain_betweenness(edges, range(12), [1, 5]))
 
 
+def plain_components(edges):
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+@pytest.mark.parametrize("edges", [
+    [(1, 1)],
+    [(1, 2), (2, 1), (1, 2), (3, 3)],
+    [(9, i) for i in range(9)] + [(20, 21)],
+    random_edges(60, 45, 4),
+], ids=["loop", "repeated", "star", "random"])
+def test_components(spark, edges):
+    found = components.components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {r["id"]: r["component"] for r in found.collect()} == plain_components(edges)
+
+
+def test_components_of_a_chain_take_few_rounds(spark):
+    ids = [i * 7919 % 5000 for i in range(5000)]
+    rows = [(ids[i], ids[i + 1]) for i in range(4999)] + [(6000, 6001), (None, 6002)]
+    each = []
+    found = components.components(spark.createDataFrame(rows, "src long, dst long"), each).collect()
+    assert len(found) == 5002 and {r["component"] for r in found} == {0, 6000}
+    assert len(each) < 20 and each[0] == 5000 and sum(each) < 3 * each[0]
+    star = spark.range(1, 3000).selectExpr("0L as src", "id as dst")
+    each.clear()
+    assert {r["component"] for r in components.components(star, each).collect()} == {0} and len(each) < 20
+
+
+def test_component_of_starts(spark):
+    edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (8, 9)], "src long, dst long")
+    starts = spark.createDataFrame([(4,), (77,), (4,), (None,)], "id long")
+    found = components.component_of(starts, edges)
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (77, 77)} and found.count() == 5
+    assert components.components(edges.limit(0)).count() == 0
+
+
 def test_reachable(spark):
     edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (8, 9)], "src long, dst long")
     start = spark.createDataFrame([(1,)], "id long")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from litmine.functions.fields import cosine
 from litmine.functions.text import STOP_WORDS, content_words
 from litmine.operators import similarity
+from litmine.operators.spread import block_join as blocks
 
 
 def docs(spark, texts):
@@ -91,3 +92,30 @@ def test_vectors(spark):
 def test_cosine(spark):
     row = spark.sql("select array(1.0D, 1.0D, 0.0D) as a, array(1.0D, 0.0D, 0.0D) as b")
     assert row.select(cosine(F.col("a"), F.col("b")).alias("c")).first()["c"] == pytest.approx(1 / math.sqrt(2))
+
+
+def lsh_sets(spark, texts):
+    return similarity.copy_groups(docs(spark, texts), "doc_id", content_words(F.col("text")))[1]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_approximate_pairs_are_exact_pairs_and_most_of_them(spark, seed):
+    sets = lsh_sets(spark, near_copies(seed)).cache()
+    exact = {tuple(r) for r in similarity.similar_sets(sets).collect()}
+    found = [tuple(r) for r in similarity.similar_sets_lsh(sets).collect()]
+    assert len(found) == len(set(found)) and set(found) <= exact and len(found) >= 0.9 * len(exact) > 0
+
+
+def test_crowded_bands_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "block_join", lambda *a: blocks(*a, block=4))
+    base = [f"word{a}{b}" for a in "abcdefghij" for b in "klmno"]
+    texts = [" ".join([*base, *base[:0], f"extra{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}"]).replace("word", "wordy") for i in range(60)]
+    found = similarity.similar_sets_lsh(lsh_sets(spark, texts)).collect()
+    assert len(found) == 60 * 59 // 2
+
+
+def test_min_hashes(spark):
+    family = similarity.hash_family(9)
+    rows = [[5], [1, 2, 3], list(range(1000)), [2**31 - 2]]
+    got = spark.createDataFrame([(r,) for r in rows], "x array<bigint>").coalesce(1).select(similarity.min_hashes(F.col("x"), 9).alias("h"))
+    assert [r["h"] for r in got.collect()] == [[min((a * x + b) % similarity.HASH_PRIME for x in xs) for a, b in family] for xs in rows]
