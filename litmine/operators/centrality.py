@@ -118,18 +118,39 @@ def top_ranked(ranks: DataFrame, pm_ids: DataFrame, above: float = 0.8) -> DataF
     return ranks.filter(F.col("rank") > above).join(pm_ids.select("id", "pubmed_id"), "id")
 
 
-def betweenness(graph: Graph, sources: DataFrame | None = None, chunk: int = 256) -> DataFrame:
+def _twins(edges: DataFrame, end: str, other: str) -> DataFrame:
+    """``(id, rep)`` of the nodes that have links on the side ``end`` only: ``rep`` is the smallest such node with the very same
+    neighbours. Neighbours are told by a count and two hashes that combine, never by a list."""
+    alone = edges.select(F.col(end).alias("id")).distinct().join(edges.select(F.col(other).alias("id")).distinct(), "id", "left_anti")
+    hashes = [F.bit_xor(F.xxhash64(F.lit(k), F.col(other))).alias(f"h{k}") for k in (1, 2)]
+    marks = edges.join(alone.withColumnRenamed("id", end), end).groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"), *hashes)
+    marks = cut(marks)
+    reps = marks.groupBy("n", "h1", "h2").agg(F.min("id").alias("rep"))
+    return cut(marks.join(reps, ["n", "h1", "h2"]).select("id", "rep"))
+
+
+def betweenness(graph: Graph, sources: DataFrame | None = None, chunk: int | None = None) -> DataFrame:
     """``(id, betweenness)`` of the directed, unweighted graph.
 
-    ``sources(id)`` limits the start nodes; without it all nodes start and the result is exact. Start nodes
-    run in chunks, as the state has up to nodes x chunk rows. Per chunk: one join per level forward to
-    count shortest paths, one per level backward to add up dependencies.
+    ``sources(id)`` limits the start nodes; without it all nodes start and the result is exact. All start nodes run in one
+    loop over rows (source, node): one join per level forward to count shortest paths, one per level backward to add up
+    dependencies. Papers that nobody cites and that cite the very same papers start once for all of them, and papers
+    that cite nothing and are cited by the very same papers are one target for all of them; neither lies between others, so
+    this is exact. ``chunk`` bounds the rows on disk to about nodes x chunk by taking the start nodes in portions.
     """
-    edges = cut(graph.edges.select("src", "dst").distinct())
-    forward = place_edges(edges.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v", "w")
-    backward = place_edges(edges.select(F.col("src").alias("v"), F.col("dst").alias("w")), "w", "v")
-    starts = cut((graph.vertices if sources is None else sources).select("id").distinct())
-    n_chunks = max(1, -(-starts.count() // chunk))
+    edges = cut(graph.edges.select("src", "dst").filter("src <> dst").distinct())
+    heads = _twins(edges, "src", "dst")
+    edges = cut(edges.join(heads.filter("id <> rep").select(F.col("id").alias("src")), "src", "left_anti"), replaces=edges)
+    tails = _twins(edges, "dst", "src")
+    kept = edges.join(tails.filter("id <> rep").select(F.col("id").alias("dst")), "dst", "left_anti")
+    times = tails.groupBy(F.col("rep").alias("dst")).agg(F.count("*").alias("times"))
+    kept = cut(kept.join(times, "dst", "left").select("src", "dst", F.coalesce("times", F.lit(1)).alias("times")), replaces=edges)
+    forward = place_edges(kept.select(F.col("src").alias("v"), F.col("dst").alias("w")), "v", "w")
+    backward = place_edges(kept.select(F.col("src").alias("v"), F.col("dst").alias("w"), "times"), "w", "v")
+    starts = (graph.vertices if sources is None else sources).select("id").distinct().join(heads, "id", "left")
+    starts = starts.groupBy(F.coalesce("rep", "id").alias("id")).agg(F.count("*").alias("times"))
+    starts = cut(starts.join(kept.select(F.col("src").alias("id")).distinct(), "id", "left_semi"))
+    n_chunks = 1 if chunk is None else max(1, -(-starts.count() // chunk))
     part = F.pmod(F.xxhash64("id"), F.lit(n_chunks))
     total = None
     for c in range(n_chunks):
@@ -149,7 +170,7 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 
 def _dependencies(forward: PlacedEdges, backward: PlacedEdges, starts: DataFrame) -> DataFrame | None:
-    """Sum over the start nodes of the dependency of each other node, as ``(id, delta)``."""
+    """Sum over the start nodes, each taken ``times``, of the dependency of each other node, as ``(id, delta)``."""
     level = cut(starts.select(F.col("id").alias("source"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
     levels, seen = [level], [level.select("source", "v")]
     while True:
@@ -162,14 +183,16 @@ def _dependencies(forward: PlacedEdges, backward: PlacedEdges, starts: DataFrame
     if len(levels) < 3:
         return None  # no node lies between two others
     parts = []
-    credit = levels[-1].select("source", F.col("v").alias("w"), (1.0 / F.col("paths")).alias("credit"))
+    rows = levels[-1].select("source", F.col("v").alias("w"), "paths", F.lit(0.0).alias("delta"))
     for level in reversed(levels[1:-1]):
-        gained = backward.meet(credit).groupBy("source", "v").agg(F.sum("credit").alias("gain"))
+        gain = (F.col("times") + F.col("delta")) / F.col("paths")
+        gained = backward.meet(rows).groupBy("source", "v").agg(F.sum(gain).alias("gain"))
         here = cut(
             level.join(gained, ["source", "v"], "left").select(
                 "source", "v", "paths", (F.col("paths") * F.coalesce("gain", F.lit(0.0))).alias("delta")
             )
         )
-        parts.append(here.select(F.col("v").alias("id"), "delta"))
-        credit = here.select("source", F.col("v").alias("w"), ((1.0 + F.col("delta")) / F.col("paths")).alias("credit"))
-    return _sums(union(parts))
+        parts.append(here.filter("delta > 0").select("source", F.col("v").alias("id"), "delta"))
+        rows = here.withColumnRenamed("v", "w")
+    of = starts.select(F.col("id").alias("source"), "times")
+    return _sums(union(parts).join(of, "source").select("id", (F.col("delta") * F.col("times")).alias("delta")))

@@ -88,6 +88,11 @@ def year_components(t: Tables) -> DataFrame:
     )
 
 
+def betweenness_papers(t: Tables) -> DataFrame:
+    """All papers are start nodes. Sums of thousands of parts agree to fewer digits than those of four."""
+    return centrality.betweenness(papers_graph(t)).select("id", F.round("betweenness", 5).alias("betweenness"))
+
+
 def betweenness_pivots(t: Tables) -> DataFrame:
     """The part of the betweenness that comes from the given start nodes; the other two queries take all nodes."""
     return rounded(centrality.betweenness(papers_graph(t), pivots(t)), "betweenness")
@@ -97,7 +102,7 @@ def betweenness_tree(t: Tables) -> DataFrame:
     """Exact betweenness, all nodes as sources, of the subject tree with arcs from child to parent."""
     links = mesh.tree_links(descriptors(t))
     arcs = links.filter(F.col("mn") != "0").select(F.col("mn").alias("src"), F.col("parent_mn").alias("dst"))
-    return centrality.betweenness(Graph(links.select(F.col("mn").alias("id")), arcs), chunk=4096)
+    return centrality.betweenness(Graph(links.select(F.col("mn").alias("id")), arcs))
 
 
 def seeds(t: Tables) -> DataFrame:
@@ -175,6 +180,7 @@ QUERIES = {
     "closure_papers": lambda t: closure(t, 0),
     "closure_levels": lambda t: closure(t, 1),
     "betweenness_pivots": betweenness_pivots,
+    "betweenness_papers": betweenness_papers,
     "betweenness_journals": lambda t: rounded(centrality.betweenness(journal_graph(t)), "betweenness"),
     "betweenness_tree": betweenness_tree,
     "drug_similarities": lambda t: ranking.drug_similarities(t.v_drugs),
@@ -297,8 +303,8 @@ def _between_views(p: str, starts: str, edges: str, levels: int) -> dict[str, st
     return views
 
 
-def _between_sql(p: str, nodes: str) -> str:
-    return f"""select p.id, round(coalesce(sum(d.delta), 0), 9) as betweenness
+def _between_sql(p: str, nodes: str, digits: int = 9) -> str:
+    return f"""select p.id, round(coalesce(sum(d.delta), 0), {digits}) as betweenness
         from {nodes} p left join ({_upto([f'{p}_d{k}' for k in range(1, LEVELS + 1)])}) d on d.v = p.id group by 1"""
 
 
@@ -314,6 +320,7 @@ ORACLE_VIEWS = {
     **_simple_rank_views(5),
     **_between_views(
         "p", f"select id from {{g_degrees}} order by out_degree desc, id limit {PIVOTS}", "g_simple", LEVELS),
+    **_between_views("pb", "select id from {g_degrees}", "g_simple", LEVELS),
     **_between_views("jb", "select id from {j_nodes}", "j_edges", LEVELS),
     "slices": "select * from (values " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in WINDOWS) + ") w(slice, y0, y1)",
     "cocited": """
@@ -434,6 +441,7 @@ ORACLES = {
             count(*) filter (c.level = n.at + 1) as not_seen_unique
           from {casc_named} n join {casc} c on c.id = n.id group by 1) f on e.level = f.level""",
     "betweenness_pivots": _between_sql("p", "(select pubmed_id as id from {v_papers})"),
+    "betweenness_papers": _between_sql("pb", "(select pubmed_id as id from {v_papers})", 5),
     "betweenness_journals": _between_sql("jb", "{j_nodes}"),
     # In a tree each pair of a node below and a node above has one path, through the node.
     "betweenness_tree": """select l.mn as id, coalesce(b.descendants, 0)::double * case length(l.mn) when 1 then

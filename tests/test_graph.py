@@ -210,6 +210,18 @@ def test_betweenness(spark, edges):
     assert got == pytest.approx(plain_betweenness(edges, nodes, nodes))
 
 
+def test_betweenness_with_many_twins_at_both_ends(spark):
+    middle = random_edges(6, 14, 3)
+    edges = middle + [(100 + i, i % 3) for i in range(9)] + [(200 + i, x) for i in range(4) for x in (1, 4)]
+    edges += [(x, 300 + i) for i in range(5) for x in (0, 5)] + [(3, 400 + i) for i in range(4)] + [(500, 501), (500, 502), (3, 3)]
+    nodes = sorted({x for e in edges for x in e})
+    got = {r["id"]: r["betweenness"] for r in centrality.betweenness(make(spark, edges)).collect()}
+    assert got == pytest.approx(plain_betweenness(edges, nodes, nodes))
+    some = [100, 103, 200, 2, 301, 500]
+    got = centrality.betweenness(make(spark, edges), spark.createDataFrame([(i,) for i in some], "id long"), chunk=2)
+    assert {r["id"]: r["betweenness"] for r in got.collect()} == pytest.approx(plain_betweenness(edges, nodes, some))
+
+
 def test_betweenness_of_some_sources(spark):
     edges = random_edges(12, 30, 10)
     some = spark.createDataFrame([(1,), (5,)], "id long")
