@@ -127,5 +127,9 @@ def first_format(files: DataFrame, key: str = "file_name", order: tuple[str, ...
 
 def since(files: DataFrame, updates: DataFrame, last_updated: str, key: str = "file_name") -> DataFrame:
     """Drop files whose known update date lies before ``last_updated``; files without a date stay."""
-    old = updates.filter(F.col("update_date") < F.to_date(F.lit(last_updated))).select(key)
-    return files.join(old, key, "left_anti")
+    return files.join(before(updates, last_updated, key), key, "left_anti")
+
+
+def before(updates: DataFrame, last_updated: str, key: str = "file_name") -> DataFrame:
+    """Names of the files whose known update date lies before ``last_updated``."""
+    return updates.filter(F.col("update_date") < F.to_date(F.lit(last_updated))).select(key)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litmine import schemas
 from litmine.operators import graph, mesh
-from litmine.operators.mentions import candidate_sentences, first_format, mentions_of_sentences, mine_mentions
+from litmine.operators.mentions import before, candidate_sentences, first_format, mentions_of_sentences, mine_mentions
 from litmine.operators.rules import CONTACT
 from litmine.plans import formats, mention_queries
 from litmine.plans.graph_queries import journal_graph, papers_graph
@@ -82,10 +82,25 @@ def tabular_report(t: Tables) -> DataFrame:
     return metadata.read_table(t.spark, stored).withColumn("deposition_year", F.nullif("deposition_year", F.lit("")))
 
 
-def _archived(t: Tables) -> DataFrame:
+def _archive_files(t: Tables) -> str:
     name = F.concat(F.lit("Journal/"), F.col("file_name"), F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), F.col("format"))
     docs = t.v_article_files.select(name.alias("entry_name"), "text")
-    return archives.read_archives(t.spark, formats.archives(docs, _path(t, "archives"), 8))
+    return formats.archives(docs, _path(t, "archives"), 8)
+
+
+def _archived(t: Tables) -> DataFrame:
+    return archives.read_archives(t.spark, _archive_files(t))
+
+
+def archive_since(t: Tables) -> DataFrame:
+    """The articles of the archives whose known date is not before a day; the others are not decoded."""
+    name = F.concat("file_name", F.lit("_"), F.col("doc_id").cast("string"))
+    dates = t.v_article_files.filter("doc_id % 29 <> 0").select(
+        name.alias("file_name"), F.date_add(F.lit("2015-01-01").cast("date"), (F.col("doc_id") % 365).cast("int")).alias("update_date")
+    )
+    digest = lambda entries: entries.withColumn("md5", F.md5("text")).drop("text")
+    found = archives.read_except(t.spark, _archive_files(t), before(dates, "2015-09-01"), digest)
+    return found.select("entry_name", "file_name", "format", "md5")
 
 
 def archive_roundtrip(t: Tables) -> DataFrame:
@@ -311,9 +326,8 @@ def stream_windows(t: Tables) -> DataFrame:
     # The table has wall-clock times; a stream needs instants, and the result should not depend on the session's zone.
     zone = F.current_timezone()
     timed = stream.select(F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone).alias("ts"), "event_type")
-    counts = incremental.windowed_counts(timed, "ts", ["event_type"], "1 day", "1 hour")
     out, state = _path(t, "windows"), _path(t, "windows-state")
-    incremental.run_windows(counts, out, state)
+    incremental.run_windows(timed, "ts", ["event_type"], "1 day", out, state)
     read = incremental.current_windows(t.spark, out, ["event_type"])
     start = F.date_format(F.to_utc_timestamp("window_start", zone), "yyyy-MM-dd HH:mm")
     return read.select(start.alias("window_start"), "event_type", "n")
@@ -328,6 +342,7 @@ QUERIES = {
     "external_mentions": external_mentions,
     "tabular_report": tabular_report,
     "archive_roundtrip": archive_roundtrip,
+    "archive_since": archive_since,
     "archive_mentions": archive_mentions,
     "link_xml": link_xml,
     "link_text": link_text,
@@ -384,6 +399,9 @@ ORACLES = {
         from {v_entries}""",
     "archive_roundtrip": """select 'Journal/' || file_name || '_' || doc_id || '.' || format as entry_name,
         file_name || '_' || doc_id as file_name, format, md5(text) as md5 from {v_article_files}""",
+    "archive_since": """select 'Journal/' || file_name || '_' || doc_id || '.' || format as entry_name,
+        file_name || '_' || doc_id as file_name, format, md5(text) as md5 from {v_article_files}
+        where doc_id % 29 = 0 or date '2015-01-01' + cast(doc_id % 365 as int) >= date '2015-09-01'""",
     "archive_mentions": "select match_type, count(*) as mentions from {e_contact} group by 1",
     "link_xml": _LISTS,
     "link_text": _LISTS,

@@ -28,15 +28,20 @@ def mine_archives(
     """Archives -> mention records. With ``last_updated`` only newer files are mined, and their rows take the place of
     those that an earlier run has left for the same files.
 
-    Archives are read once. Every copy of an article is mined in the same pass, and the choices by date and format are
-    made on the sentences found, so no text is shuffled or stored.
+    Archives are read once; the texts of older files are passed over while unpacking. Every copy of an article is mined in
+    the same pass, and the choice of a format is made on the sentences found, so no text is shuffled or stored.
     """
-    entries = archives.read_archives(spark, archive_folder).withColumn("format_rank", archives.format_rank())
     order = ("format_rank", "archive", "entry_name")
-    rows = cut(mentions.candidate_sentences(entries.select("file_name", *order, "text"), pack))
+
+    def sentences(entries: DataFrame) -> DataFrame:
+        entries = entries.withColumn("format_rank", archives.format_rank())
+        return mentions.candidate_sentences(entries.drop("format"), pack)
+
+    if files is None or last_updated is None:
+        rows = cut(sentences(archives.read_archives(spark, archive_folder)))
+    else:
+        rows = archives.read_except(spark, archive_folder, mentions.before(files, last_updated), sentences)
     kept = mentions.first_format(rows, order=order)
-    if files is not None and last_updated is not None:
-        kept = mentions.since(kept, files, last_updated)
     found = mentions.mentions_of_sentences(kept.filter(F.col("raw").isNotNull()).select("file_name", "raw"), pack)
     if last_updated is None:
         metadata.write_table(found, out)

@@ -65,29 +65,57 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
     return query
 
 
-def windowed_counts(stream: DataFrame, time: str, keys: list[str], window: str, late: str) -> DataFrame:
-    """Rows per time window and key; rows that come later than ``late`` after the newest time seen are not counted."""
+def windowed_counts(rows: DataFrame, time: str, keys: list[str], window: str) -> DataFrame:
+    """Rows per time window and key."""
     return (
-        stream.withWatermark(time, late)
-        .groupBy(F.window(time, window).alias("w"), *keys)
+        rows.groupBy(F.window(time, window).alias("w"), *keys)
         .agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, "n")
     )
 
 
-def run_windows(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Process all files not seen yet and write the windows that changed, open ones too; a repeated batch replaces itself."""
+def run_windows(stream: DataFrame, time: str, keys: list[str], window: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Process all files not seen yet and add their counts per window and key to the sink.
+
+    Counts of different batches add up, so there is no state and no watermark, and a row is counted however late it comes. A
+    batch writes its own folder, so a repeated batch replaces itself.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        windowed_counts(batch, time, keys, window).write.mode("overwrite").parquet(f"{path}/parts/batch={number}")
 
-    writer = counts.writeStream.outputMode("update").foreachBatch(write)
-    query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def _sums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy("window_start", "window_end", *keys).agg(F.sum("n").alias("n"))
+
+
+def _written(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """Counts merged so far, the counts of single batches, and the last batch that is merged."""
+    parts = spark.read.parquet(f"{path}/parts")
+    spark.createDataFrame([], parts.drop("batch").schema).write.mode("ignore").parquet(f"{path}/merged/upto=-1")
+    merged = spark.read.schema(parts.drop("batch").schema.add("upto", "long")).parquet(f"{path}/merged")
+    last = merged.agg(F.max("upto")).first()[0]
+    return merged, parts, -1 if last is None else last
+
+
 def current_windows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """The latest count of every window that ``run_windows`` has written."""
-    rows = spark.read.parquet(path)
-    return rows.groupBy("window_start", "window_end", *keys).agg(F.max_by("n", "batch").alias("n"))
+    """The count of every window that ``run_windows`` has met, open ones too."""
+    merged, parts, last = _written(spark, path)
+    rows = merged.filter(F.col("upto") == last).drop("upto")
+    return _sums(rows.unionByName(parts.filter(F.col("batch") > last).drop("batch")), keys)
+
+
+def merge_windows(spark: SparkSession, path: str, keys: list[str]) -> int:
+    """Add up the batches into one table, so that later reads open few files; gives the last batch in it. The newest batch
+    stays apart, as it is the one that a restart may write again."""
+    merged, parts, last = _written(spark, path)
+    upto = parts.agg(F.max("batch")).first()[0] - 1
+    if upto > last:
+        older = parts.filter(F.col("batch").between(last + 1, upto)).drop("batch")
+        rows = merged.filter(F.col("upto") == last).drop("upto").unionByName(older)
+        _sums(rows, keys).write.mode("overwrite").parquet(f"{path}/merged/upto={upto}")
+    return max(upto, last)

@@ -53,17 +53,38 @@ def test_late_files_are_kept_and_late_copies_are_not(spark, tmp_path):
     assert got == {"a": "1", "b": "late"}
 
 
-def test_open_windows_are_given_out(spark, tmp_path):
+def timed(spark, times):
+    return spark.createDataFrame([(t, "k") for t in times], "ts string, key string").withColumn("ts", F.to_timestamp("ts")).coalesce(1)
+
+
+def test_open_windows_are_given_out_and_nothing_is_late(spark, tmp_path):
     folder, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
-    times = ["2020-01-01 00:10:00", "2020-01-01 00:50:00", "2020-01-01 01:10:00", "2020-01-01 03:00:00"]
-    frame = spark.createDataFrame([(t, "k") for t in times], "ts string, key string").withColumn("ts", F.to_timestamp("ts"))
-    frame.coalesce(1).write.parquet(folder)
+    frame = timed(spark, ["2020-01-01 00:10:00", "2020-01-01 00:50:00", "2020-01-01 01:10:00", "2020-01-01 03:00:00"])
+    frame.write.parquet(folder)
+    stream = spark.readStream.schema(frame.schema).parquet(folder)
+
+    def run():
+        incremental.run_windows(stream, "ts", ["key"], "1 hour", out, state)
+        return {str(r["window_start"])[:13]: r["n"] for r in incremental.current_windows(spark, out, ["key"]).collect()}
+
+    want = {"2020-01-01 00": 2, "2020-01-01 01": 1, "2020-01-01 03": 1}
+    assert run() == want == run()
+    timed(spark, ["2020-01-01 03:30:00", "2019-01-01 03:00:00"]).write.mode("append").parquet(folder)
+    want |= {"2020-01-01 03": 2, "2019-01-01 03": 1}
+    assert run() == want
+    assert incremental.merge_windows(spark, out, ["key"]) == 0
+    timed(spark, ["2019-01-01 03:59:59", "2020-01-01 00:00:00"]).write.mode("append").parquet(folder)
+    want |= {"2020-01-01 00": 3, "2019-01-01 03": 2}
+    assert run() == want
+    assert incremental.merge_windows(spark, out, ["key"]) == 1 == incremental.merge_windows(spark, out, ["key"])
+    assert run() == want
+
+
+def test_a_repeated_batch_counts_once(spark, tmp_path):
+    folder, out = (str(tmp_path / n) for n in ("in", "out"))
+    frame = timed(spark, ["2020-01-01 00:10:00", "2018-01-01 00:50:00"])
+    frame.write.parquet(folder)
     stream = spark.readStream.schema(frame.schema).parquet(folder)
-    counts = incremental.windowed_counts(stream, "ts", ["key"], "1 hour", "30 minutes")
-    incremental.run_windows(counts, out, state)
-    got = {r["window_start"].hour: r["n"] for r in incremental.current_windows(spark, out, ["key"]).collect()}
-    assert got == {0: 2, 1: 1, 3: 1}
-    frame.filter("hour(ts) = 3").coalesce(1).write.mode("append").parquet(folder)
-    incremental.run_windows(counts, out, state)
-    got = {r["window_start"].hour: r["n"] for r in incremental.current_windows(spark, out, ["key"]).collect()}
-    assert got == {0: 2, 1: 1, 3: 2}
+    for attempt in range(2):  # the second run has lost its checkpoint and writes batch 0 again
+        incremental.run_windows(stream, "ts", ["key"], "1 hour", out, str(tmp_path / f"state{attempt}"))
+    assert [r["n"] for r in incremental.current_windows(spark, out, ["key"]).collect()] == [1, 1]

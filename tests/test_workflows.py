@@ -1,8 +1,10 @@
 import io
 import tarfile
 
+from pyspark.sql import functions as F
+
 from litmine.plans import workflows
-from litmine.sources import metadata, pajek
+from litmine.sources import archives, metadata, pajek
 
 
 def test_from_archives_to_reports(spark, tmp_path):
@@ -76,3 +78,36 @@ def test_a_later_run_replaces_the_rows_of_its_files(spark, tmp_path):
     gone = archive("gone", {"d/a.nxml": "No id any more."})
     workflows.mine_archives(spark, gone, out, files, "2016-01-01")
     assert found() == [("b", "2DEF")]
+
+
+def test_old_articles_are_not_decoded(spark, tmp_path):
+    (tmp_path / "tars").mkdir()
+    for part in range(3):
+        with tarfile.open(tmp_path / "tars" / f"{part}.tar.gz", "w:gz") as tar:
+            for i in range(part, 90, 3):
+                for kind in ("nxml", "txt"):
+                    info = tarfile.TarInfo(f"d/f{i}.{kind}")
+                    info.size = len(f"text {i}")
+                    tar.addfile(info, io.BytesIO(f"text {i}".encode()))
+    old = spark.range(60).selectExpr("concat('f', id) as file_name")
+    folder = str(tmp_path / "tars")
+    read = archives.read_archives(spark, folder, skip=archives.name_filter(old)).collect()
+    decoded = {r["file_name"] for r in read if r["text"] is not None}
+    assert len(read) == 180 and decoded == {f"f{i}" for i in range(60, 90)} and all((r["text"] is None) == r["deferred"] for r in read)
+
+    # A filter that is too small says yes to nearly all names; the exact join brings the new ones back, each read once.
+    tiny = archives.name_filter(old, size=64, hashes=1)
+    assert all(f"f{i}" in tiny for i in range(60)) and sum(f"f{i}" in tiny for i in range(60, 90)) > 10
+    usual, archives.name_filter = archives.name_filter, lambda names: usual(names, size=64, hashes=1)
+    try:
+        found = archives.read_except(spark, folder, old, lambda e: e.withColumn("n", F.length("text")).drop("text")).collect()
+    finally:
+        archives.name_filter = usual
+    want = {(f"d/f{i}.{kind}", f"f{i}", kind, 7) for i in range(60, 90) for kind in ("nxml", "txt")}
+    assert len(found) == 60 and {(r["entry_name"], r["file_name"], r["format"], r["n"]) for r in found} == want
+
+
+def test_names_of_every_kind_in_the_filter(spark):
+    names = [f"Journal_{i}_é日" for i in range(500)] + ["", None]
+    held = archives.name_filter(spark.createDataFrame([(n,) for n in names], "file_name string"))
+    assert all(n in held for n in names[:-1]) and sum(f"other {i}" in held for i in range(2000)) == 0
