@@ -63,6 +63,10 @@ FLUSH = 512  # places after which what all readings begin with is written out
 Lattice = Iterable[list[tuple[str, float]]]
 
 
+# Windows that are counted at once.
+PORTION = 4 << 20
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.lower().encode("utf-8", "replace").translate(_CODES), dtype="uint8")
 
@@ -71,12 +75,16 @@ def window_counts(docs: DataFrame) -> DataFrame:
     """``(window, n)``: how often each four-symbol window stands in the texts, over all rows."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(SYMBOLS**ORDER, dtype="int64")
+        total, some, size = np.zeros(SYMBOLS**ORDER, dtype="int64"), [], 0
         for batch in batches:
             for text in batch["text"]:
                 c = np.concatenate([np.zeros(3, "uint8"), _codes(text), np.zeros(1, "uint8")]).astype("int32")
-                windows = ((c[:-3] * SYMBOLS + c[1:-2]) * SYMBOLS + c[2:-1]) * SYMBOLS + c[3:]
-                total += np.bincount(windows, minlength=len(total))
+                some.append(((c[:-3] * SYMBOLS + c[1:-2]) * SYMBOLS + c[2:-1]) * SYMBOLS + c[3:])
+                size += len(c)
+                if size > PORTION:  # the table is far larger than a text, so it is gone through once for many
+                    total += np.bincount(np.concatenate(some), minlength=len(total))
+                    some, size = [], 0
+        total += np.bincount(np.concatenate([np.zeros(0, "int32"), *some]), minlength=len(total))
         used = np.flatnonzero(total)
         yield pd.DataFrame({"window": used, "n": total[used]})
 
