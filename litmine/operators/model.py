@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmine.operators.labels import LABEL_COLUMNS, drop_excluded
+from litmine.operators.numbering import running_sums
 from litmine.session import cut
 
 # Settings of the two classifiers.
@@ -85,16 +86,31 @@ def confusion(predictions: DataFrame, *by: str) -> DataFrame:
     )
 
 
+def area_under_roc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """``(n, positives, area)`` in one row: the share of pairs of a positive and a negative row in which the positive one has the
+    higher score, equal scores counting half. Exact: equal scores are one row of counts, and one range sort of these
+    gives the negatives below. Rows without a score or label are left out; without both kinds of rows the area is null."""
+    truth = F.col(label) == 1.0
+    rows = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    ties = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(truth).alias("hits"), F.count_if(~truth).alias("misses"))
+    ranked = running_sums(ties, "score", upto=F.col("misses"))
+    wide = [F.col(c).cast("decimal(38,0)") for c in ("hits", "upto", "misses")]
+    pairs = F.sum(wide[0] * (2 * wide[1] - wide[2])).cast("double")
+    positives, negatives = F.coalesce(F.sum("hits"), F.lit(0)), F.coalesce(F.sum("misses"), F.lit(0))
+    area = F.try_divide(pairs, 2.0 * positives * negatives)
+    return ranked.agg((positives + negatives).alias("n"), positives.alias("positives"), area.alias("area"))
+
+
 def evaluate(model: PipelineModel, training: DataFrame, test: DataFrame) -> DataFrame:
     """Metrics for both parts: confusion counts, rates, and the area under ROC on probabilities."""
     scored = model.transform(training).withColumn("part", F.lit("training")).unionByName(
         model.transform(test).withColumn("part", F.lit("testing"))
     )
-    scored = cut(scored.select("part", "label", "prediction", "probability"))
-    evaluator = BinaryClassificationEvaluator(rawPredictionCol="probability")
-    areas = {part: evaluator.evaluate(scored.filter(F.col("part") == part)) for part in ("training", "testing")}
-    score = F.when(F.col("part") == "training", areas["training"]).otherwise(areas["testing"])
-    return confusion(scored, "part").withColumn("roc_probability", score)
+    score = F.get(vector_to_array("probability"), F.lit(1)).alias("score")
+    scored = cut(scored.select("part", "label", "prediction", score))
+    areas = [area_under_roc(scored.filter(F.col("part") == part)).select(F.lit(part).alias("part"), "area") for part in ("training", "testing")]
+    areas = areas[0].unionByName(areas[1]).withColumnRenamed("area", "roc_probability")
+    return confusion(scored, "part").join(areas, "part")
 
 
 def write_report(metrics: DataFrame, path: str) -> None:

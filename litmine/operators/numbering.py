@@ -1,4 +1,4 @@
-"""Consecutive numbers over a total order without a one-partition window."""
+"""Consecutive numbers and running sums over a total order without a one-partition window."""
 
 from __future__ import annotations
 
@@ -33,3 +33,19 @@ def number_rows(df: DataFrame, *order: Column | str, name: str = "id") -> DataFr
         .withColumn(name, F.col("_offset") + row + 1)
         .drop("_part", "_offset", "_at")
     )
+
+
+def running_sums(df: DataFrame, *order: Column | str, **sums: Column) -> DataFrame:
+    """Add for each ``name=column`` of ``sums`` the sum over all rows up to this one in the given order, which should be total.
+
+    As ``number_rows``: one range sort, sums within each of its parts, and a table of one row per part with those before.
+    """
+    placed = cut(
+        df.withColumns(sums).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_part").agg(*[F.sum(name).alias(name) for name in sums])
+    offsets = totals.select("_part", *[F.coalesce(F.sum(name).over(before), F.lit(0)).alias(f"_{name}") for name in sums])
+    within = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    met = placed.withColumns({name: F.sum(name).over(within) for name in sums}).join(F.broadcast(offsets), "_part")
+    return met.withColumns({name: F.col(name) + F.col(f"_{name}") for name in sums}).drop("_at", "_part", *[f"_{name}" for name in sums])

@@ -91,6 +91,13 @@ def primary_model_metrics(t: Tables) -> DataFrame:
     return model.evaluate(fitted, training, test)
 
 
+def auc_probability(t: Tables) -> DataFrame:
+    """Area under the curve of a plain score on the mention training set: the longer a blinded sentence, the likelier."""
+    rows = labels.mention_training_set(labelled(t))
+    score = (F.length("blinded_sentence") / (F.length("blinded_sentence") + 40.0)).alias("score")
+    return rounded(model.area_under_roc(rows.select("label", score)), "area")
+
+
 def mention_predictions(t: Tables) -> DataFrame:
     sets, fitted, _, _ = mention_model(t)
     return model.predict_mentions(fitted, labels.label_set(sets, labels.UNASSIGNED))
@@ -150,6 +157,7 @@ QUERIES = {
     "mention_model_totals": lambda t: totals(mention_model_metrics(t)),
     "primary_model_totals": lambda t: totals(primary_model_metrics(t)),
     "prediction_check": prediction_check,
+    "auc_probability": auc_probability,
     "mention_predictions": mention_predictions,
     "primary_predictions": primary_predictions,
 }
@@ -204,9 +212,15 @@ ORACLE_VIEWS = {
     "h_words": "select doc_id, list_transform(numbers, lambda x: cast(x as varchar)) as items from {h_numbers}",
     **_pairs("w", "w_words"),
     **_pairs("h", "h_words"),
+    # A feature's articles as a bit string; articles two features share are the bits of both.
+    "h_bits": """
+        with docs as (select row_number() over (order by doc_id) as nr, numbers from {h_numbers}),
+        held as (select unnest(numbers) as f, nr from docs)
+        select x.f, string_agg(case when h.f is null then '0' else '1' end, '' order by d.nr)::bit as bits
+        from (select distinct f from held) x cross join (select nr from docs) d left join held h on h.f = x.f and h.nr = d.nr group by 1""",
     "h_joint": """
-        select a.f as i, b.f as j, count(*) as n from (select doc_id, unnest(numbers) as f from {h_numbers}) a
-        join (select doc_id, unnest(numbers) as f from {h_numbers}) b on a.doc_id = b.doc_id and a.f <= b.f group by 1, 2""",
+        select a.f as i, b.f as j, bit_count(a.bits & b.bits) as n from {h_bits} a join {h_bits} b on a.f <= b.f
+        where bit_count(a.bits & b.bits) > 0""",
 }
 
 ORACLES = {
@@ -225,6 +239,11 @@ ORACLES = {
         from {{o_mention_train}} group by 1""",
     "mention_model_totals": _totals_sql("o_mention_train"),
     "primary_model_totals": _totals_sql("o_primary_train"),
+    # By mean ranks: the ranks of the positive rows, less the least they can add up to, over the number of pairs.
+    "auc_probability": """select n, positives, round((ranks - positives * (positives + 1) / 2.0) / (positives * (n - positives)), 9) as area
+        from (select count(*) as n, count(*) filter (label = 1.0) as positives, sum(place) filter (label = 1.0) as ranks from (
+          select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as place from (
+            select label, length(blinded_sentence) / (length(blinded_sentence) + 40.0::double) as score from {o_mention_train})))""",
     "prediction_check": """select count(*) as candidates, 0::bigint as outside, 0::bigint as changed from {o_labelled}
         where set_name in ('positives_ii', 'unassigned')""",
     "feature_similarity": """select p.i::int as i, p.j::int as j, round(p.n / sqrt(a.n * b.n::double), 9) as cosine

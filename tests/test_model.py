@@ -1,6 +1,10 @@
+import random
+
 import pytest
 
-from litmine.operators import labels, model
+from pyspark.sql import functions as F
+
+from litmine.operators import labels, model, numbering
 
 
 def labelled(spark):
@@ -53,3 +57,22 @@ def test_roc_is_that_of_the_evaluator(spark):
     frame = spark.createDataFrame(rows, "prediction double, label double")
     want = BinaryClassificationEvaluator(rawPredictionCol="prediction").evaluate(frame)
     assert model.confusion(frame).first()["roc"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_area_of_probabilities_with_ties(spark, seed):
+    rng = random.Random(seed)
+    rows = [(float(rng.randrange(2)), rng.randrange(9) / 8) for _ in range(300)]
+    frame = spark.createDataFrame([*rows, (None, 0.5), (1.0, None)], "label double, score double").repartition(7)
+    got = model.area_under_roc(frame).first()
+    pairs = [(p > q) + (p == q) / 2 for a, p in rows for b, q in rows if a == 1 and b == 0]
+    assert got["area"] == pytest.approx(sum(pairs) / len(pairs), abs=1e-12) and got["n"] == 300
+    one = model.area_under_roc(frame.filter("label = 1")).first()
+    assert one["area"] is None and one["positives"] == one["n"]
+    assert tuple(model.area_under_roc(frame.limit(0)).first()) == (0, 0, None)
+
+
+def test_running_sums(spark):
+    frame = spark.range(1000).selectExpr("id * 7 % 1000 as x").repartition(7)
+    rows = numbering.running_sums(frame, "x", total=F.col("x"), twice=2 * F.col("x")).collect()
+    assert {r["x"]: (r["total"], r["twice"]) for r in rows} == {i: (i * (i + 1) // 2, i * (i + 1)) for i in range(1000)}
