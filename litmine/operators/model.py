@@ -60,6 +60,57 @@ def predict_primary(model: PipelineModel, candidates: DataFrame) -> DataFrame:
     )
 
 
+def _terms(model: PipelineModel, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Scored rows with a stored key ``row``, and ``(row, index, value)`` of their features."""
+    vector = F.unwrap_udt("features")
+    scored = cut(
+        model.transform(rows).select("*", F.monotonically_increasing_id().alias("row"), vector["indices"].alias("at"), vector["values"].alias("of"))
+        .drop("words", "features", "rawPrediction")
+    )
+    terms = scored.select("row", F.explode(F.arrays_zip("at", "of")).alias("x")).select("row", F.col("x.at").alias("index"), F.col("x.of").alias("value"))
+    return scored.drop("at", "of"), terms
+
+
+def optimum_check(model: PipelineModel, training: DataFrame, limit: float) -> DataFrame:
+    """Whether the fitted weights are an optimum, from the rows alone: ``n``, ``positives``, and whether the greatest part of the
+    gradient of the mean log loss is at most ``limit`` and the loss is below that of the share of positives.
+
+    The loss is convex, so a gradient of zero is the optimum. One aggregate by feature gives all parts of it.
+    """
+    scored, terms = _terms(model, training)
+    p = F.get(vector_to_array("probability"), F.lit(1))
+    rows = cut(scored.select("row", "label", (p - F.col("label")).alias("error"), p.alias("p")))
+    n = F.count("*")
+    share = F.avg("label")
+    loss = F.avg(-F.log(F.when(F.col("label") == 1.0, F.col("p")).otherwise(1 - F.col("p"))))
+    constant = -(share * F.log(share) + (1 - share) * F.log(1 - share))
+    whole = rows.agg(
+        n.alias("n"), F.count_if(F.col("label") == 1.0).alias("positives"), F.abs(F.avg("error")).alias("intercept"),
+        (loss < constant).alias("better_than_share"),
+    )
+    parts = terms.join(rows.select("row", "error"), "row").groupBy("index").agg(F.abs(F.sum(F.col("error") * F.col("value"))).alias("part"))
+    greatest = parts.agg(F.coalesce(F.max("part"), F.lit(0.0)).alias("part"))
+    small = F.greatest(F.col("part") / F.col("n"), "intercept") <= limit
+    return whole.crossJoin(greatest).select("n", "positives", small.alias("gradient_small"), "better_than_share")  # one row each
+
+
+def score_check(model: PipelineModel, candidates: DataFrame) -> DataFrame:
+    """``(candidates, accepted_wrongly, refused_wrongly)``: predictions against scores made anew from the weights, as a join of
+    the rows' features with the table of weights, whose size is that of the feature space."""
+    scored, terms = _terms(model, candidates)
+    weights = model.stages[-1].coefficients.toArray()
+    used = weights.nonzero()[0]
+    table = candidates.sparkSession.createDataFrame([(int(i), float(weights[i])) for i in used], "index int, weight double")
+    sums = terms.join(table, "index").groupBy("row").agg(F.sum(F.col("value") * F.col("weight")).alias("sum"))
+    score = F.coalesce("sum", F.lit(0.0)) + float(model.stages[-1].intercept)
+    accepted = F.col("prediction") == 1.0
+    met = scored.join(sums, "row", "left").withColumn("score", score)
+    return met.agg(
+        F.count("*").alias("candidates"), F.count_if(accepted & (F.col("score") < -1e-9)).alias("accepted_wrongly"),
+        F.count_if(~accepted & (F.col("score") > 1e-9)).alias("refused_wrongly"),
+    )
+
+
 def confusion(predictions: DataFrame, *by: str) -> DataFrame:
     """Confusion counts and the rates from them, in one aggregate; a rate without a base is null."""
     hit, truth = F.col("prediction") == 1.0, F.col("label") == 1.0

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from litmine.functions.text import STOP_WORDS, content_words
 from litmine.operators import labels, model, similarity
+from litmine.operators.labels import drop_excluded
 from litmine.plans.mention_queries import ORACLE_VIEWS as MENTION_VIEWS
 from litmine.plans.mention_queries import labelled
 from litmine.plans.tables import Tables, with_views
@@ -91,6 +92,27 @@ def primary_model_metrics(t: Tables) -> DataFrame:
     return model.evaluate(fitted, training, test)
 
 
+def primary_optimum(t: Tables) -> DataFrame:
+    """The tolerance of the other classifier lets it stop before the optimum, so only this one is held against it."""
+    _, fitted, training, _ = primary_model(t)
+    return model.optimum_check(fitted, training, 1e-3)
+
+
+def mention_scores(t: Tables) -> DataFrame:
+    """What the mention classifier accepts and refuses, against its weights."""
+    sets, fitted, _, _ = mention_model(t)
+    return model.score_check(fitted, drop_excluded(labels.label_set(sets, labels.UNASSIGNED)))
+
+
+def model_report(t: Tables) -> DataFrame:
+    """The report of the mention classifier, written as text in one file and read again."""
+    path = scratch_path(t.spark, "report")
+    model.write_report(mention_model_metrics(t), path)
+    read = t.spark.read.schema("part string, tp long, tn long, fp long, fn long").json(path)
+    files = read.select(F.input_file_name().alias("file")).distinct().count()
+    return totals(read).withColumn("files", F.lit(files))
+
+
 def auc_probability(t: Tables) -> DataFrame:
     """Area under the curve of a plain score on the mention training set: the longer a blinded sentence, the likelier."""
     rows = labels.mention_training_set(labelled(t))
@@ -158,6 +180,9 @@ QUERIES = {
     "primary_model_totals": lambda t: totals(primary_model_metrics(t)),
     "prediction_check": prediction_check,
     "auc_probability": auc_probability,
+    "primary_optimum": primary_optimum,
+    "mention_scores": mention_scores,
+    "model_report": model_report,
     "mention_predictions": mention_predictions,
     "primary_predictions": primary_predictions,
 }
@@ -239,6 +264,11 @@ ORACLES = {
         from {{o_mention_train}} group by 1""",
     "mention_model_totals": _totals_sql("o_mention_train"),
     "primary_model_totals": _totals_sql("o_primary_train"),
+    "primary_optimum": f"""select count(*) as n, count(*) filter (label = 1.0) as positives, true as gradient_small,
+        true as better_than_share from {{o_primary_train}} where {_PART} = 'training'""",
+    "mention_scores": """select count(*) as candidates, 0::bigint as accepted_wrongly, 0::bigint as refused_wrongly from {o_labelled}
+        where set_name = 'unassigned'""",
+    "model_report": f"select *, 1 as files from ({_totals_sql('o_mention_train')})",
     # By mean ranks: the ranks of the positive rows, less the least they can add up to, over the number of pairs.
     "auc_probability": """select n, positives, round((ranks - positives * (positives + 1) / 2.0) / (positives * (n - positives)), 9) as area
         from (select count(*) as n, count(*) filter (label = 1.0) as positives, sum(place) filter (label = 1.0) as ranks from (

@@ -76,3 +76,15 @@ def test_running_sums(spark):
     frame = spark.range(1000).selectExpr("id * 7 % 1000 as x").repartition(7)
     rows = numbering.running_sums(frame, "x", total=F.col("x"), twice=2 * F.col("x")).collect()
     assert {r["x"]: (r["total"], r["twice"]) for r in rows} == {i: (i * (i + 1) // 2, i * (i + 1)) for i in range(1000)}
+
+
+def test_checks_of_a_fitted_model(spark):
+    rows = [("the structure of XXXX", 1.0), ("gene variant XXXX", 0.0), ("the variant of XXXX", 0.0), ("gene structure", 1.0)] * 5
+    rows += [("the structure of XXXX", 0.0), ("gene variant XXXX", 1.0)]
+    frame = spark.createDataFrame(rows, "blinded_sentence string, label double").coalesce(1)
+    fitted = model.fit(frame, tol=1e-9)
+    found = model.optimum_check(fitted, frame, 1e-4).first()
+    assert tuple(found) == (22, 11, True, True)
+    early = model.fit(frame.withColumn("label", 1 - F.col("label")), tol=1e-9)
+    assert not model.optimum_check(early, frame, 1e-4).first()["gradient_small"]
+    assert tuple(model.score_check(fitted, frame).first()) == (22, 0, 0)
