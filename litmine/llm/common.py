@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmine.session import scratch_path
+from litmine.session import discard, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as Parquet on the shared scratch folder: cuts the lineage, and later reads are pruned by column."""
+    """``df`` as Parquet on the shared scratch folder: cuts the lineage, and later reads are pruned by column. ``discard`` of
+    the session module removes the files."""
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    for made in _open:
+        made.append(found)
+    return found
+
+
+_open: list[list[DataFrame]] = []  # what is stored inside each call of ``alone`` that runs
+
+
+def alone(make: Callable[[], DataFrame], purpose: str) -> DataFrame:
+    """``make()`` as Parquet; all that was stored on the way to it is removed once it is there."""
+    made: list[DataFrame] = []
+    _open.append(made)
+    try:
+        found = stored(make(), purpose)
+    finally:
+        _open.pop()
+    for step in made:
+        if step is not found:
+            discard(step)
+    return found
 
 
 def numbered(docs: DataFrame) -> DataFrame:

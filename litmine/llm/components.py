@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmine.llm.common import stored
+from litmine.llm.common import alone, stored
+from litmine.session import discard
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
@@ -36,13 +37,16 @@ def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of ``edges(a, b)`` that is not the root: the smallest node that can be reached.
 
     Loops and repeated edges are allowed. Every round writes its edges to the shared folder, so that a lost executor
-    costs a round; the rounds end when the edges do not change, that is when all are links to a root.
+    costs a round, and removes what the round before had written; the rounds end when the edges do not change, that is when all
+    are links to a root.
     """
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = stored(edges.distinct(), "edges")
     state = _state(edges)
     while True:
-        edges = stored(_small_star(stored(_large_star(edges).distinct(), "edges")).distinct(), "edges")
+        before = edges
+        edges = alone(lambda: _small_star(stored(_large_star(before).distinct(), "edges")).distinct(), "edges")
+        discard(before)
         after = _state(edges)
         if after == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -14,7 +14,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmine.llm.common import stored
@@ -146,14 +147,17 @@ def _fitter(start, s: Settings) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return fit
 
 
-def score_texts(docs: DataFrame, model: Model, featurise: Featurise, columns: str) -> DataFrame:
-    """Append ``score`` to ``docs``, which has ``text`` and the columns named in the schema string ``columns``; the
-    text itself is not returned."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_of(text: Column, spark: SparkSession, model: Model, featurise: Featurise) -> Column:
+    """The score of a text; only the text goes to Python, so no other column can be changed on the way."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([shared.value.score(*featurise(x.as_py())) for x in values], pa.float64())
+
+    return F.arrow_udf(run, "double")(F.coalesce(text.cast("string"), F.lit("")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = [shared.value.score(*featurise(x)) for x in batch["text"]]
-            yield batch.drop(columns="text").assign(score=np.array(scores, dtype="float64"))
 
-    return docs.mapInPandas(run, f"{columns}, score double")
+def scores(docs: DataFrame, model: Model, featurise: Featurise) -> DataFrame:
+    """``(doc_id, score)`` of every row."""
+    text = score_of(F.col("text"), docs.sparkSession, model, featurise)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("score"))

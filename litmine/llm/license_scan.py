@@ -1,7 +1,7 @@
 """Operator 8: license scans with MinHash bands over text windows, in DataFrame functions only.
 
 Texts and templates are lower-cased words of letters, digits and dots; shingles are five words (all words of a shorter
-template). For every length that a template has, a text has overlapping windows of that many shingles, an eighth of the
+template, for whose sake texts have shingles of that size too). For every length that a template has, a text has overlapping windows of that many shingles, an eighth of the
 length apart. A window with at least one shingle of a template of its length is hashed into bands; other windows hold no
 shingle of it, so they cannot match and are not made. Equal bands retrieve templates, and a retrieved template matches if
 at least 0.8 of its shingles stand in the window or one step beside it.
@@ -10,12 +10,15 @@ A template copied without change starts at most half a step from a window, so th
 at least 0.88, and with ``BANDS`` = 24 bands of ``ROWS`` = 2 hashes one band is equal with probability 1 - (1 - J^2)^24,
 over 1 - 10^-15; at the least containment of 0.8, where J is about 0.6, it is over 0.9999.
 
-Nulls and edges: a null text has no words; rows with a null id are scanned like any other; repeated rows give one result;
-other columns are ignored; templates without words never match; an empty table, or one without templates, gives no rows.
+Nulls and edges: a null text has no words; rows are told apart by id and digest of the text, so that rows with a null or
+shared id are scanned like any other and repeated rows give one result; a license may have several templates; other columns
+are ignored; templates without words never match; an empty table, or one without templates, gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +87,16 @@ def once(value: Column) -> Column:
 
 
 def shingles(of: str, size: int = SHINGLE) -> Column:
-    """Hashes of the shingles of an array of words, by place; of all words together if there are fewer than ``size``."""
+    """Hashes of the shingles of an array of words, by place; none if there are fewer words than ``size``."""
     w = F.col(of)
     place = F.sequence(F.lit(1), F.size(w) - (size - 1))
     whole = F.transform(place, lambda i: F.xxhash64(*[F.element_at(w, i + k) for k in range(size)]))
-    short = F.xxhash64(*[F.try_element_at(w, F.lit(k + 1)) for k in range(size)])
-    return F.when(F.size(w) >= size, whole).otherwise(F.array(short))
+    return F.when(F.size(w) >= size, whole).otherwise(F.array().cast("array<bigint>"))
+
+
+def shingles_by_size(of: str, sizes: Iterable[int]) -> Column:
+    """One struct ``(size, h)`` of ``shingles`` for each of ``sizes``."""
+    return F.array(*[F.struct(F.lit(k).alias("size"), shingles(of, k).alias("h")) for k in sizes])
 
 
 def bands(window: str) -> Column:
@@ -103,39 +110,46 @@ def bands(window: str) -> Column:
 def scan(docs: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """``(doc_id, license, begin, containment)``: for every document and license found in it the best match, the first of
     equal ones; ``begin`` is the word, from 0, at which its window begins. ``templates`` is a short list of notices."""
-    known = templates.filter(F.col("text").isNotNull()).select("license", words("text").alias("w"))
-    known = known.filter("w[0] <> ''").select("license", F.array_distinct(shingles("w")).alias("shingles"), F.size(shingles("w")).alias("length"))
+    known = templates.filter(F.col("text").isNotNull()).select("license", words("text").alias("w")).filter("w[0] <> ''")
+    sized = F.filter(shingles_by_size("w", range(1, SHINGLE + 1)), lambda x: x["size"] == F.least(F.size("w"), F.lit(SHINGLE)))
+    known = known.select("license", F.md5(F.array_join("w", " ")).alias("template"), once(sized[0]).alias("s"))
+    known = known.select("license", "template", "s.size", F.array_distinct("s.h").alias("shingles"), F.size("s.h").alias("length"))
     listed = known.collect()  # the notices, a list of the caller
     if not listed:
         return docs.select("doc_id", F.lit("").alias("license"), F.lit(0).alias("begin"), F.lit(0.0).alias("containment")).limit(0)
-    lengths_of: dict[int, set[int]] = {}
+    lengths_of: dict[int, set[tuple[int, int]]] = {}
     for t in listed:
         for h in t["shingles"]:
-            lengths_of.setdefault(h, set()).add(t["length"])
+            lengths_of.setdefault(h, set()).add((t["size"], t["length"]))
     marks = docs.sparkSession.createDataFrame(
-        [(h, n) for h, lengths in lengths_of.items() for n in sorted(lengths)], "hash long, length int"
+        [(h, *n) for h, lengths in lengths_of.items() for n in sorted(lengths)], "hash long, size int, length int"
     )
     step = F.greatest(F.lit(1), F.floor(F.col("length") / 8).cast("int"))
 
-    texts = docs.select("doc_id", once(words("text")).alias("w"))
-    hashed = texts.select("doc_id", once(shingles("w")).alias("h"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    texts = docs.select("doc_id", F.md5(text).alias("of"), once(words("text")).alias("w"))
+    sizes = sorted({t["size"] for t in listed})
+    hashed = texts.select("doc_id", "of", F.explode(shingles_by_size("w", sizes)).alias("s")).select("doc_id", "of", "s.size", "s.h")
     places = F.filter(F.sequence(F.lit(0), F.size("h") - 1), lambda i: F.get("h", i).isin(*lengths_of))
-    hits = hashed.select("doc_id", "h", once(places).alias("places")).filter(F.size("places") > 0)
-    hit = hits.select("doc_id", "h", F.explode("places").alias("place")).withColumn("hash", F.get("h", "place"))
-    hit = hit.join(F.broadcast(marks), "hash")  # as many rows as the notices have shingles
+    hits = hashed.filter(F.size("h") > 0).select("doc_id", "of", "size", "h", once(places).alias("places"))
+    hit = hits.filter(F.size("places") > 0).select("doc_id", "of", "size", "h", F.explode("places").alias("place"))
+    # as many rows as the notices have shingles
+    hit = hit.withColumn("hash", F.get("h", "place")).join(F.broadcast(marks), ["hash", "size"])
     first = F.greatest(F.lit(0), F.ceil((F.col("place") - F.col("length") + 1) / step).cast("int"))
     starts = F.transform(F.sequence(first, F.floor(F.col("place") / step).cast("int")), lambda k: k * step)
-    begun = hit.select("doc_id", "h", "length", step.alias("step"), F.explode(starts).alias("begin"))
+    own = ["doc_id", "of", "size", "length"]
+    begun = hit.select(*own, "h", step.alias("step"), F.explode(starts).alias("begin"))
     around = F.slice("h", F.greatest(F.lit(0), F.col("begin") - F.col("step")) + 1, F.col("length") + 2 * F.col("step"))
     window = F.slice("h", F.col("begin") + 1, F.col("length"))
-    windows = begun.select("doc_id", "length", "begin", window.alias("window"), around.alias("around"))
-    windows = windows.dropDuplicates(["doc_id", "length", "begin", "window"])
-    banded = windows.select("doc_id", "length", "begin", "around", F.explode(bands("window")).alias("band"))
-    template_bands = known.select("license", "length", "shingles", F.explode(bands("shingles")).alias("band"))
-    met = banded.join(F.broadcast(template_bands), ["length", "band"]).dropDuplicates(["doc_id", "license", "begin"])
+    windows = begun.select(*own, "begin", window.alias("window"), around.alias("around"))
+    windows = windows.dropDuplicates([*own, "begin"])  # one text, one place: the window is the same
+    banded = windows.select(*own, "begin", "around", F.explode(bands("window")).alias("band"))
+    bands_of = known.select("license", "template", "size", "length", "shingles", F.explode(bands("shingles")).alias("band"))
+    met = banded.join(F.broadcast(bands_of), ["size", "length", "band"])
+    met = met.dropDuplicates(["doc_id", "of", "license", "template", "begin"])
     share = F.size(F.array_intersect("shingles", "around")) / F.size("shingles")
-    found = met.select("doc_id", "license", "begin", share.alias("containment")).filter(F.col("containment") >= containment)
+    found = met.select("doc_id", "of", "license", "begin", share.alias("containment")).filter(F.col("containment") >= containment)
     best = F.min(F.struct((-F.col("containment")).alias("less"), "begin")).alias("best")
-    return found.groupBy("doc_id", "license").agg(best).select(
+    return found.groupBy("doc_id", "of", "license").agg(best).select(
         "doc_id", "license", F.col("best.begin").alias("begin"), (-F.col("best.less")).alias("containment")
     )

@@ -5,6 +5,9 @@ a hash, and every shard is packed on its own: pieces in falling order of length
 none has room, a bin is opened whose length costs least per token, as estimated from the pieces that are still to come;
 in the end every bin is cut down to the shortest permitted length that holds its contents.
 
+Every row has a key of its own in the result, so that rows which share an id, or have none, are told apart; ``sequences``
+makes the packed sequences themselves from the same rows with their tokens.
+
 Nulls and edges: a null or negative length counts as 0, which makes one piece of length 0 that shares a bin; null ids are
 packed like any other; repeated rows are packed each; other columns are ignored; an empty table gives no rows.
 """
@@ -15,7 +18,7 @@ from bisect import bisect_left, insort
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,13 +95,17 @@ def best_fit(sizes: np.ndarray, lengths: Sequence[int] = LENGTHS, overhead: int
     return bins, places, permitted[np.searchsorted(permitted, used)]
 
 
-def pack(items: DataFrame, lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, shard: int = SHARD) -> DataFrame:
-    """Pack ``items(doc_id, length)``: one row per piece with ``doc_id, piece, begin`` (in the document), ``length``,
-    ``bin_id, bin_length, place`` (in the bin)."""
+def pack(
+    items: DataFrame, lengths: Sequence[int] = LENGTHS, overhead: int = OVERHEAD, shard: int = SHARD, key: str | None = None
+) -> DataFrame:
+    """Pack ``items(doc_id, length)``: one row per piece with ``doc_id, row`` (key of the row of ``items``), ``piece, begin``
+    (in the document), ``length, bin_id, bin_length, place`` (in the bin). ``key`` names a column of keys (long, no two equal);
+    without it they are made here."""
     lengths = tuple(sorted(lengths))
     longest = lengths[-1]
     size = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0))
-    rows = items.select("doc_id", size.alias("size")).withColumn("row", F.monotonically_increasing_id())
+    row = F.col(key).cast("long") if key else F.monotonically_increasing_id()
+    rows = items.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), size.alias("size"))
     rows = stored(rows, "lengths")
     last = F.greatest(F.ceil(F.col("size") / longest) - 1, F.lit(0))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -108,23 +115,27 @@ def pack(items: DataFrame, lengths: Sequence[int] = LENGTHS, overhead: int = OVE
     shards = max(1, -(-total // shard))
     pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)))
 
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["row", "piece"], ignore_index=True)
+    def fill(group: pa.Table) -> pa.Table:  # Arrow: an id stays what it is, beside null ids too
+        group = group.sort_by([("row", "ascending"), ("piece", "ascending")])
         bins, places, final = best_fit(group["length"].to_numpy(), lengths, overhead)
-        return pd.DataFrame({
-            "doc_id": group["doc_id"],
-            "piece": group["piece"],
-            "begin": group["begin"],
-            "length": group["length"],
-            "bin_id": (group["shard"].to_numpy() << 32) + bins,
-            "bin_length": final[bins],
-            "place": places,
-        })
+        found = group.select(["doc_id", "row", "piece", "begin", "length"])
+        found = found.append_column("bin_id", pa.array((group["shard"].to_numpy() << 32) + bins))
+        return found.append_column("bin_length", pa.array(final[bins])).append_column("place", pa.array(places))
 
-    columns = "doc_id long, piece long, begin long, length long, bin_id long, bin_length long, place long"
-    return pieces.groupBy("shard").applyInPandas(fill, columns)
+    columns = "doc_id long, row long, piece long, begin long, length long, bin_id long, bin_length long, place long"
+    return pieces.groupBy("shard").applyInArrow(fill, columns)
 
 
 def packed_documents(docs: DataFrame) -> DataFrame:
     """``pack`` of whole documents measured in words."""
     return pack(texts(docs, "doc_id").select("doc_id", word_length().alias("length")))
+
+
+def sequences(tokens: DataFrame, placed: DataFrame) -> DataFrame:
+    """``(bin_id, bin_length, ids)``: the packed sequences of ``tokens(row, ids)``, where ``placed`` is ``pack`` of the same
+    rows measured in ids. Every id of every row stands once in one sequence; what is free at the end is not filled. A bin
+    holds at most the longest permitted length, so no group is larger."""
+    cut = placed.filter("length > 0").join(tokens.select("row", "ids"), "row")
+    cut = cut.select("bin_id", "bin_length", "place", F.slice("ids", F.col("begin").cast("int") + 1, F.col("length").cast("int")).alias("ids"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"]))
+    return cut.groupBy("bin_id", "bin_length").agg(whole.alias("ids"))

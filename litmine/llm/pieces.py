@@ -194,7 +194,7 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     """``(doc_id, ids)`` of every row; ``path`` is a model file that every machine has. ``frequent`` bounds the words that
     are broadcast."""
     spark = docs.sparkSession
-    rows = texts(docs, "doc_id").withColumn("row", F.monotonically_increasing_id())
+    rows = stored(texts(docs, "doc_id").withColumn("row", F.monotonically_increasing_id()), "rows")  # one key at every use
     counts = rows.select(F.explode(words("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = stored(counts, "word-counts")
     table = stored(encode_words(counts.select("word"), path), "words")

@@ -13,16 +13,14 @@ table gives 0.5 for all; an empty document table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmine.llm.common import crc_mod, texts
-from litmine.llm.ftrl import Model, Settings, labelled_sample, score_texts, train
+from litmine.llm.ftrl import Model, Settings, labelled_sample, score_of, scores, train
 
 SETTINGS = Settings(alpha=1.0)
 THRESHOLD = 0.7
@@ -55,7 +53,7 @@ def classify(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS)
 def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row of ``docs``."""
     model = classify(docs, labels, settings)
-    scored = score_texts(texts(docs, "doc_id"), model, features, "doc_id long")
+    scored = scores(docs, model, features)
     held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
@@ -63,12 +61,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, settings: Settings = SETT
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, settings: Settings = SETTINGS) -> DataFrame:
-    """The rows of ``docs`` that are predicted good, with all their columns; nothing is shuffled."""
-    model = docs.sparkSession.sparkContext.broadcast(classify(docs, labels, settings))
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores = [model.value.score(*features(x or "")) for x in batch["text"]]
-            yield batch[np.array(scores, dtype="float64") >= THRESHOLD]
-
-    return docs.mapInPandas(keep, docs.schema)
+    """The rows of ``docs`` that are predicted good, with all their columns, of any type; nothing is shuffled."""
+    model = classify(docs, labels, settings)
+    return docs.filter(score_of(F.col("text"), docs.sparkSession, model, features) >= THRESHOLD)

@@ -16,11 +16,11 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -61,14 +61,13 @@ def fingerprint(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``print`` of every row; the 64 bits as a signed long."""
+    """``key`` and ``print`` of every row; the 64 bits as a signed long. Only the text goes to Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prints = np.array([fingerprint(shingle_hashes(x)) for x in batch["text"]], dtype="uint64")
-            yield batch.drop(columns="text").assign(print=prints.view("int64"))
+    def run(values: pa.Array) -> pa.Array:
+        prints = np.array([fingerprint(shingle_hashes(x.as_py())) for x in values], dtype="uint64")
+        return pa.array(prints.view("int64"), pa.int64())
 
-    return texts(docs, key, text=text).mapInPandas(run, f"{key} long, print long")
+    return texts(docs, key, text=text).select(F.col(key).cast("long").alias(key), F.arrow_udf(run, "long")("text").alias("print"))
 
 
 def masks(low: int, high: int, radius: int) -> list[np.ndarray]:

@@ -2,7 +2,8 @@
 
 1. A character model is counted over the whole corpus: four-letter windows of letters, word boundary and other
    characters, added up per task and then by Spark. Its table has a fixed size.
-2. Every token that looks disguised becomes a lattice of readings: a look-alike character may stand for letters, a
+2. Every token that looks disguised, by letters beside look-alikes or by different look-alikes alone that are mostly not
+   digits (``@$$``), becomes a lattice of readings: a look-alike character may stand for letters, a
    separator may be nothing or a boundary, a run of three or more equal letters may be one or two, and a row of single
    characters may be one word. Viterbi decoding picks the reading that the character model finds likeliest.
 3. A sparse logistic model over the words of the restored text and their first 4 to 7 letters gives the score. Its words
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litmine.llm.common import crc_mod, texts
-from litmine.llm.ftrl import Model, Settings, labelled_sample, score_texts, train
+from litmine.llm.ftrl import Model, Settings, labelled_sample, scores, train
 
 SETTINGS = Settings(alpha=3.0, l1=8.0, l2=0.0, rounds=4, shards=4)
 # Lengths of the word beginnings that are features beside the whole word.
@@ -55,6 +56,7 @@ _CODES = bytes(
 )
 _ENDS = re.compile(r"^[^\w$@€£(|+!*#]+|(?:[?.,;:)\]}\"']+|([^\w$@€£(|+!*#])\1+)$")
 _DISGUISED = re.compile(r"[^\W\d_].*[0-9@$!|+(€£*#]|[0-9@$!|+(€£*#].*[^\W\d_]|[^\W\d_][.\-_'`~/,][^\W\d_]|(.)\1\1")
+_SIGNS, _ALIKE = re.compile(r"[@$!|+(€£*#]"), re.compile(r"[0-9@$!|+(€£*#]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _RUN = re.compile(r"(.)\1+")
 
@@ -183,6 +185,8 @@ def restore(token: str, model: np.ndarray) -> list[str]:
         if not any(c.isalpha() for c in token):
             return re.findall(r"[^\W_]+", token)  # numbers hold no word to restore
         token = decode(lattice(token), model)
+    elif len(token) > 2 and len(set(token)) > 1 and 2 * len(_SIGNS.findall(token)) > len(token) and _ALIKE.fullmatch(token):
+        token = decode(lattice(token), model)
     return re.findall(r"[^\W_]+", token)
 
 
@@ -250,7 +254,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, settings: Settings = SET
     featurise: Callable[[str], tuple[np.ndarray, np.ndarray]] = Featuriser(shared, settings.buckets)
     sample = labelled_sample(rows, labels, "toxic", crc_mod("doc_id", 3) != 1, settings)
     model: Model = train(sample, featurise, settings)
-    scored = score_texts(rows, model, featurise, "doc_id long")
+    scored = scores(rows, model, featurise)
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")

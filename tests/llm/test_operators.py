@@ -207,6 +207,124 @@ def test_packing(spark, docs, empty):
     assert sorted(r["length"] for r in packing.pack(odd).collect()) == [0, 0, 0]
 
 
+def plain_best_fit(sizes: list[int], lengths: list[int]) -> tuple[list[int], list[int]]:
+    """Best fit by looking at every open bin: bin of each size, and room that was opened for each bin."""
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    falling = [sizes[i] for i in order]
+    room, opened, used, bins = [], [], [], [0] * len(sizes)
+    for n, i in enumerate(order):
+        fits = [b for b in range(len(room)) if room[b] >= sizes[i]]
+        if not fits:
+            length = packing.cheapest(n, falling, [-x for x in falling], lengths, packing.OVERHEAD)
+            room.append(length)
+            opened.append(length)
+            used.append(0)
+            fits = [len(room) - 1]
+        tight = min(room[b] for b in fits)
+        chosen = max((b for b in fits if room[b] == tight), key=lambda b: used[b])  # the one that got its room last
+        room[chosen] -= sizes[i]
+        used[chosen] = n + 1
+        bins[i] = chosen
+    return bins, [min(x for x in lengths if x >= o - r) for o, r in zip(opened, room)]
+
+
+def test_packing_is_best_fit():
+    draw = random.Random(5)
+    for _ in range(20):
+        sizes = [draw.randint(1, 60) for _ in range(draw.randint(1, 80))]
+        bins, _, lengths = packing.best_fit(np.array(sizes), (16, 32, 64))
+        assert (bins.tolist(), lengths.tolist()) == plain_best_fit(sizes, [16, 32, 64])
+
+
+def test_packed_sequences_hold_every_token_once(spark, docs):
+    tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    ids = [(i, r["doc_id"], [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]) for i, r in enumerate(docs.collect())]
+    tokens = spark.createDataFrame(ids, "row long, doc_id long, ids array<int>")
+    placed = packing.pack(tokens.withColumn("length", F.size("ids")), key="row").collect()
+    frame = spark.createDataFrame(placed)
+    made = {r["bin_id"]: r for r in packing.sequences(tokens, frame).collect()}
+    assert sum(len(r["ids"]) for r in made.values()) == sum(len(x[2]) for x in ids)
+    for r in placed:
+        piece = ids[r["row"]][2][r["begin"] : r["begin"] + r["length"]]
+        found = made[r["bin_id"]]
+        assert found["ids"][r["place"] : r["place"] + r["length"]] == piece and len(found["ids"]) <= found["bin_length"]
+        assert r["doc_id"] == ids[r["row"]][1]
+
+
+BIG = 9_007_199_254_740_993  # not a float64
+
+
+def test_ids_and_other_columns_stay_what_they_are(spark):
+    """Long ids beside null ids, and columns of types that pandas changes or refuses."""
+    labelled_docs, labels = labelled(spark, "buy now buy now", "quality")
+    odd = spark.sql(f"""
+        select * from values
+          ({BIG}L, 'some text of a few words', timestamp'1600-01-01 00:00:00', map('a', null), {BIG}L, date'0001-01-01'),
+          (null, null, null, null, null, null),
+          ({BIG}L, 'some text of a few words', null, map('b', 1), null, null)
+        as t(doc_id, text, at, tags, extra, day)""")
+    docs = labelled_docs.select("doc_id", "text").unionByName(odd, allowMissingColumns=True)
+    want = Counter(r["doc_id"] for r in docs.collect())
+    held_out = crc32(str(BIG).encode()) % 4 == 2
+    got = quality_classifier.quality_scores(docs, labels).collect()
+    assert Counter(r["doc_id"] for r in got) == want
+    assert {r["held_out"] for r in got if r["doc_id"] == BIG} == {held_out}
+    assert {r["held_out"] for r in got if r["doc_id"] is None} == {False}
+    toxic = toxicity.toxicity_scores(docs, labels.withColumnRenamed("quality", "toxic")).collect()
+    assert Counter(r["doc_id"] for r in toxic) == want
+    assert {r["held_out"] for r in toxic if r["doc_id"] == BIG} == {crc32(str(BIG).encode()) % 3 == 1}
+    near = simhash.near_duplicates(odd).collect()
+    assert Counter(r["doc_id"] for r in near) == {BIG: 2, None: 1}
+    assert {r["component_id"] for r in near if r["doc_id"]} == {BIG}
+    assert Counter(r["doc_id"] for r in packing.packed_documents(odd).collect()) == {BIG: 2, None: 1}
+    kept = quality_classifier.good_documents(docs, labels)
+    assert kept.schema == docs.schema
+    scores = {(r["doc_id"], r["score"]) for r in got}
+    good = {i for i, x in scores if x >= quality_classifier.THRESHOLD}
+    whole = lambda frame: sorted(
+        frame.select("doc_id", "text", F.col("at").cast("string"), "extra", F.col("day").cast("string"), F.size("tags")).collect(), key=str
+    )
+    assert whole(kept) == [r for r in whole(docs) if r["doc_id"] in good]
+    plan = quality_classifier.quality_scores(labelled_docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInPandas" not in plan
+
+
+def test_long_text_and_clashing_columns(spark, empty):
+    docs, labels = labelled(spark, "buy now buy now", "quality")
+    more = docs.select("doc_id", "text", *[F.lit(i).alias(c) for i, c in enumerate(("score", "row", "label", "shard", "predicted", "held_out"))])
+    long = spark.createDataFrame([(10_000, " ".join(["buy now"] * 200_000))], "doc_id long, text string")
+    more = more.unionByName(long, allowMissingColumns=True)
+    got = {r["doc_id"]: r["score"] for r in quality_classifier.quality_scores(more, labels).collect()}
+    plain = {r["doc_id"]: r["score"] for r in quality_classifier.quality_scores(docs.select("doc_id", "text"), labels).collect()}
+    assert all(abs(got[i] - plain[i]) < 1e-6 for i in plain) and 0.0 <= got[10_000] <= 1.0
+    assert quality_classifier.good_documents(more, labels).columns == more.columns
+
+
+def test_license_scan_rows_that_share_an_id(spark):
+    """A part of a notice in other texts of the same id does not hide the whole of it."""
+    header = dict(license_scan.NOTICES)["GPL-3.0 header"].split()
+    part = header[: int(len(header) * 0.78)]
+    rows = [(7, " ".join([*part, f"other{i}", "words"])) for i in range(40)] + [(7, " ".join(header))]
+    rows += [(None, " ".join(header)), (None, " ".join(part)), (None, " ".join(header))]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.notices(spark)).collect()
+    assert Counter((r["doc_id"], r["license"]) for r in got if r["containment"] == 1.0) == {
+        (7, "GPL-3.0 header"): 1, (None, "GPL-3.0 header"): 1
+    }
+    assert all(r["license"] == "GPL-3.0 header" for r in got)
+
+
+def test_license_scan_short_templates_and_two_of_a_name(spark):
+    templates = [("short", "All rights reserved."), ("one", "copyleft"), ("two", "see the file COPYING of this tree"),
+                 ("two", "the terms are those of the file LICENSE"), ("none", " .. "), ("void", None)]
+    docs = [(1, "(c) 2001 somebody, all Rights reserved, and so on"), (2, "all rights reserved"), (3, "all rights are reserved"),
+            (4, "this is copyleft"), (5, "here the terms are those of the file LICENSE only"), (6, "rights reserved"), (7, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    known = spark.createDataFrame(templates, "license string, text string")
+    got = {(r["doc_id"], r["license"]): r["begin"] for r in license_scan.scan(frame, known).collect()}
+    assert set(got) == {(1, "short"), (2, "short"), (4, "one"), (5, "two")}
+    assert got[1, "short"] == 3 and got[4, "one"] == 2
+
+
 def test_token_store(spark, docs, empty, tmp_path):
     path, file = str(tmp_path / "store"), str(public_tokenizers.path("byte_bpe_50k.json"))
     token_store.write_tokens(docs, path, file)
@@ -412,6 +530,15 @@ def test_toxicity_decodes_any_length():
     assert toxicity.restore("stupid!!", model) == ["stupid"] and toxicity.restore("he!!o", model) == ["hello"]
 
 
+def test_toxicity_decodes_tokens_without_letters(spark):
+    words = ["the sash was a class act", "an ass and a mass of grass", "some pass the lass as assets"] * 30
+    model = toxicity.count_model(spark.createDataFrame([(w,) for w in words], "text string"))
+    assert toxicity.restore("@$$", model) == ["ass"]
+    assert toxicity.restore("@$$,", model) == ["ass"]
+    for plain, want in (("100", ["100"]), ("$100", ["100"]), ("****", []), ("2001", ["2001"]), ("!!", [])):
+        assert toxicity.restore(plain, model) == want
+
+
 def test_ftrl_starts_where_it_is_told():
     s = ftrl.Settings(buckets=8)
     start = np.array([0.5, -0.25, 0, 0, 0, 0, 0, 0, 1.0])

@@ -54,3 +54,31 @@ def test_null_and_shared_ids_lose_no_text(spark):
     third = corpus_pipeline.near_duplicates(spark, second, FOLDER)
     want = [(7, text(0), "host"), *rows[1:8]]
     assert third.columns == docs.columns and sorted(map(tuple, third.collect()), key=key) == sorted(want, key=key)
+
+
+def test_pipeline_leaves_nothing_but_its_result(spark, tmp_path):
+    before = spark.sparkContext.getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        count = corpus_pipeline.run(spark, FOLDER).count()
+        left = [p.name for p in tmp_path.iterdir() if p.name.startswith("litmine-")]
+        assert count > 0 and len(left) == 1 and "best-fit-packing" in left[0]
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+        if before:
+            spark.sparkContext.setCheckpointDir(before.removeprefix("file:"))
+
+
+def test_empty_table_and_odd_column_types(spark, tmp_path):
+    docs = table(spark, FOLDER, "documents")
+    odd = docs.selectExpr("*", "timestamp'1600-01-01 00:00:00' as at", "map('a', doc_id) as tags", "if(doc_id % 2 = 0, null, doc_id) as half")
+    odd.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    odd.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    for name in ("odd", "none"):
+        table(spark, FOLDER, "labels").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    key = lambda frame: sorted(map(tuple, frame.select("doc_id", "piece", "begin", "length").collect()))
+    assert key(corpus_pipeline.run(spark, f"{tmp_path}/odd")) == key(corpus_pipeline.run(spark, FOLDER))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    first = corpus_pipeline.quality_classifier(spark, table(spark, f"{tmp_path}/odd", "documents"), FOLDER)
+    assert first.schema == odd.schema
