@@ -1,19 +1,23 @@
 """From raw documents to packed training sequences: good documents, rules, one of each group of near copies, packing.
 
-Each stage is ``f(spark, docs, sf_dir)``; its result is written as Parquet and read again as the next one's ``docs``. All
-but the last return the columns of ``docs``. SQL cannot express the trained classifier, so ``ORACLE_SQL`` is None and
+Each stage is ``f(spark, docs, sf_dir)``; its result is written as Parquet and read again as the next one's ``docs``. What a
+stage stored on its way, and the result of the stage before, are removed then: in the end only the result of the last one is
+left in the shared folder. All but the last return the columns of ``docs``. SQL cannot express the trained classifier, so ``ORACLE_SQL`` is None and
 ``tests/llm/test_pipeline.py`` holds the result against a plain version.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
-from litmine.llm.common import stored, table
+from litmine.llm.common import alone, table
 from litmine.llm.packing import packed_documents
 from litmine.llm.quality_classifier import good_documents
 from litmine.llm.quality_rules import kept_documents
 from litmine.llm.simhash import one_of_each
+from litmine.session import discard
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +53,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to the documents of a folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        before = docs
+        docs = alone(partial(stage, spark, before, sf_dir), name.replace(" ", "-"))
+        discard(before)  # the given table is not one that was stored here
+    return docs
