@@ -186,7 +186,8 @@ def restore(token: str, model: np.ndarray) -> list[str]:
             return re.findall(r"[^\W_]+", token)  # numbers hold no word to restore
         token = decode(lattice(token), model)
     elif len(token) > 2 and len(set(token)) > 1 and 2 * len(_SIGNS.findall(token)) > len(token) and _ALIKE.fullmatch(token):
-        token = decode(lattice(token), model)
+        letters = ([reading for reading in place if reading[0] != " "] for place in lattice(token))
+        token = decode(letters, model)  # blanks alone would be the cheapest reading
     return re.findall(r"[^\W_]+", token)
 
 

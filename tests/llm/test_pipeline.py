@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import corpus_pipeline
 from litmine.llm import quality_classifier, quality_rules, simhash
 from litmine.llm.common import stored, table
+from litmine.session import checkpoint_dir
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -56,18 +59,12 @@ def test_null_and_shared_ids_lose_no_text(spark):
     assert third.columns == docs.columns and sorted(map(tuple, third.collect()), key=key) == sorted(want, key=key)
 
 
-def test_pipeline_leaves_nothing_but_its_result(spark, tmp_path):
-    before = spark.sparkContext.getCheckpointDir()
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        count = corpus_pipeline.run(spark, FOLDER).count()
-        left = [p.name for p in tmp_path.iterdir() if p.name.startswith("litmine-")]
-        assert count > 0 and len(left) == 1 and "best-fit-packing" in left[0]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-        if before:
-            spark.sparkContext.setCheckpointDir(before.removeprefix("file:"))
+def test_pipeline_leaves_nothing_but_its_result(spark):
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("litmine-*"))
+    assert corpus_pipeline.run(spark, FOLDER).count() > 0
+    left = [p.name for p in set(folder.glob("litmine-*")) - before]
+    assert len(left) == 1 and "best-fit-packing" in left[0]
 
 
 def test_empty_table_and_odd_column_types(spark, tmp_path):
@@ -81,4 +78,4 @@ def test_empty_table_and_odd_column_types(spark, tmp_path):
     assert key(corpus_pipeline.run(spark, f"{tmp_path}/odd")) == key(corpus_pipeline.run(spark, FOLDER))
     assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
     first = corpus_pipeline.quality_classifier(spark, table(spark, f"{tmp_path}/odd", "documents"), FOLDER)
-    assert first.schema == odd.schema
+    assert first.dtypes == odd.dtypes
