@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litmine.operators.graph import Graph
 from litmine.operators.spread import EDGES_PER_KEY, PlacedEdges, place_edges
-from litmine.session import cut, discard, grown, union
+from litmine.session import cut, cut_by, discard, grown, union
 
 # Settings of the power method.
 TELEPORT = 0.5
@@ -34,11 +34,11 @@ def pagerank(
     Teleport weight is the node weight (column ``node_weight``, else 1) over its total, dangling mass goes the
     same way. Stops after ``max_iter`` rounds, or after ``min_iter`` once the L1 change is at most ``tol``.
 
-    One round: rank per out-weight meets the placed edges, and the flows are summed by target together with
-    the vertex rows in one shuffle. Flows are combined on the map side, so much-cited nodes are cheap. The new
-    state is put on shared storage in place of the one before; one aggregate over it gives the sum, the dangling mass
-    and the change. (An Observation of the write would save that job, but a session that has made one can no longer
-    serialise the models of the ML library.)
+    One round: rank per out-weight meets the placed edges, and only the flows are shuffled, by target. They are combined
+    on the map side, so much-cited nodes are cheap. The vertex rows are a table in buckets by id: they meet edges and
+    flows where they are. The new state takes the place of the one before; one aggregate over it gives the sum, the
+    dangling mass and the change. (An Observation of the write would save that job, but a session that has made one can
+    no longer serialise the models of the ML library.)
     """
     edges = cut(graph.simple().edges)
     out = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("out_sum"))
@@ -53,31 +53,14 @@ def pagerank(
     if not total["n"]:
         return nodes.select("id", F.lit(0.0).alias("pagerank"))
     placed = place_edges(edges, "src", "dst", per_key)
-    state = nodes.select(
-        "id",
-        (F.col("node_weight") / total["weight"]).alias("teleport"),
-        "out_sum",
-        F.lit(1.0 / total["n"]).alias("rank"),
-    )
+    begun = F.lit(1.0 / total["n"])
+    teleport = (F.col("node_weight") / total["weight"]).alias("teleport")
+    rows = nodes.select("id", teleport, "out_sum", begun.alias("before"), begun.alias("rank"))
+    state = cut_by(rows.repartition(placed.parts, "id"), "id", placed.parts)
     dangling, norm, change = (total["dangling"] or 0) / total["n"], 1.0, 1.0
     for done in range(1, max_iter + 1):
-        beta = 1.0 - alpha
-        rank = F.col("rank") / norm
-        push = state.filter(F.col("out_sum").isNotNull()).select(
-            F.col("id").alias("src"), (rank / F.col("out_sum")).alias("share")
-        )
-        none = F.lit(None).cast("double")
-        flows = placed.meet(push).select(
-            F.col("dst").alias("id"),
-            (F.col("share") * F.col("weight")).alias("flow"),
-            *[none.alias(c) for c in ("teleport", "out_sum", "before")],
-        )
-        rows = state.select("id", F.lit(0.0).alias("flow"), "teleport", "out_sum", rank.alias("before"))
-        summed = flows.unionByName(rows).groupBy("id").agg(
-            F.sum("flow").alias("flow"), *[F.max(c).alias(c) for c in ("teleport", "out_sum", "before")]
-        )
-        new = (alpha + beta * dangling) * F.col("teleport") + beta * F.col("flow")
-        state = cut(summed.select("id", "teleport", "out_sum", "before", new.alias("rank")), replaces=state)
+        new = _pagerank_round(state, placed, norm, alpha, dangling)
+        state = cut_by(new, "id", placed.parts, replaces=state)
         seen = state.agg(
             F.sum("rank").alias("norm"),
             F.sum(F.when(F.col("out_sum").isNull(), F.col("rank"))).alias("dangling"),
@@ -94,6 +77,19 @@ def pagerank(
     return state.select("id", (F.col("rank") / norm).alias("pagerank"))
 
 
+def _pagerank_round(state: DataFrame, placed: PlacedEdges, norm: float, alpha: float, dangling: float) -> DataFrame:
+    """The next state, its ranks not yet divided by their sum. ``norm`` is the sum of the ranks of ``state``."""
+    rank, beta = F.col("rank") / norm, 1.0 - alpha
+    push = state.filter(F.col("out_sum").isNotNull()).select(
+        F.col("id").alias("src"), (rank / F.col("out_sum")).alias("share")
+    )
+    flow = F.sum(F.col("share") * F.col("weight"))
+    flows = placed.meet(push).groupBy(F.col("dst").alias("id")).agg(flow.alias("flow"))
+    new = (alpha + beta * dangling) * F.col("teleport") + beta * F.coalesce("flow", F.lit(0.0))
+    here = state.select("id", "teleport", "out_sum", rank.alias("before"))
+    return here.join(flows, "id", "left").select("id", "teleport", "out_sum", "before", new.alias("rank"))
+
+
 def pagerank_simple(edges: DataFrame, iterations: int, per_key: int = EDGES_PER_KEY, every: int = 5) -> DataFrame:
     """``(id, rank)`` after a fixed number of rounds of ``0.15 + 0.85 * sum`` on distinct edges.
 

@@ -53,12 +53,14 @@ class PlacedEdges:
     """Edges kept in memory or on disk by their key, for loops that join to them in every round.
 
     Only the other side of the join moves. ``many`` has the nodes whose edges lie under several keys, at
-    most one per ``EDGES_PER_KEY`` edges; it is None if there are none.
+    most one per ``EDGES_PER_KEY`` edges; it is None if there are none. A frontier stored by the key in as many ``parts``
+    (``session.cut_by``) does not move either, unless there are such nodes.
     """
 
     rows: DataFrame
     key: str
     many: DataFrame | None
+    parts: int
 
     def meet(self, frontier: DataFrame) -> DataFrame:
         """Inner join of ``frontier`` with the edges on the key."""
@@ -82,9 +84,14 @@ def place_edges(edges: DataFrame, key: str, other: str, per_key: int = EDGES_PER
     counts = edges.groupBy(key).agg(F.ceil(F.count("*") / per_key).cast("int").alias("keys"))
     many = cut(counts.filter(F.col("keys") > 1))
     if many.isEmpty():
-        rows = edges.repartition(parts, key).sortWithinPartitions(key)
-        return PlacedEdges(rows.persist(StorageLevel.MEMORY_AND_DISK), key, None)
+        return PlacedEdges(_kept(edges.repartition(parts, key).sortWithinPartitions(key)), key, None, parts)
     k = F.pmod(F.xxhash64(other), F.coalesce("keys", F.lit(1))).cast("int")
     rows = edges.join(many, key, "left").withColumn("k", k).drop("keys").repartition(parts, key, "k")
-    rows = rows.sortWithinPartitions(key, "k")
-    return PlacedEdges(rows.persist(StorageLevel.MEMORY_AND_DISK), key, many)
+    return PlacedEdges(_kept(rows.sortWithinPartitions(key, "k")), key, many, parts)
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Kept and made at once: a plan knows how kept rows are placed only after they are there, and shuffles them before."""
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()
+    return rows

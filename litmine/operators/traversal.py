@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmine.operators.spread import place_edges
-from litmine.session import cut, grown, union
+from litmine.operators.spread import PlacedEdges, place_edges
+from litmine.session import cut, cut_by, discard, union
+
+# Stored levels that are merged into one, so that a level is not held against ever more tables.
+PIECES = 8
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -24,20 +27,33 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def _levels(starts: DataFrame, steps: DataFrame) -> DataFrame:
     """``(id, level)``: all nodes that can be reached, with the number of steps.
 
-    One join per level; the steps are placed once, so only the frontier and the reached ids move.
+    One join per level. The steps are placed once and the reached ids are tables in buckets by id, so only the ids that a
+    level names are shuffled.
     """
     placed = place_edges(steps, "id", "next")
-    frontier = cut(starts.select("id").distinct().withColumn("level", F.lit(0)))
+    frontier = cut_by(starts.select("id").distinct().withColumn("level", F.lit(0)), "id", placed.parts)
     reached, level = [frontier], 0
     while not frontier.isEmpty():
         level += 1
-        step = placed.meet(frontier.select("id")).select(F.col("next").alias("id")).distinct()
-        frontier = cut(step.join(union(reached).select("id"), "id", "left_anti").withColumn("level", F.lit(level)))
-        reached = grown([*reached, frontier])
+        frontier = cut_by(_next_level(frontier, placed, reached).withColumn("level", F.lit(level)), "id", placed.parts)
+        reached.append(frontier)
+        if len(reached) > PIECES:  # the frontier stays a table of its own
+            merged = cut_by(union(reached[:-1]), "id", placed.parts)
+            for piece in reached[:-1]:
+                discard(piece)
+            reached = [merged, frontier]
     placed.release()
     return union(reached)
 
 
+def _next_level(frontier: DataFrame, placed: PlacedEdges, reached: list[DataFrame]) -> DataFrame:
+    """``(id)`` one step from the frontier and in none of the tables ``reached``."""
+    step = placed.meet(frontier.select("id")).select(F.col("next").alias("id")).distinct()
+    for piece in reached:
+        step = step.join(piece.select("id"), "id", "left_anti")
+    return step
+
+
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes connected with a start node, links taken both ways, with their distance."""
     return _levels(starts, cut(both_ways(edges).distinct()))

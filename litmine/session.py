@@ -58,14 +58,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df
 
 
-def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
+def cut(df: DataFrame, replaces: DataFrame | None = None, by: str | None = None) -> DataFrame:
     """Store as Parquet on shared storage and read it again, so that loops stay flat and survive lost executors.
 
     Later uses read only the columns they need. ``replaces`` is an earlier result of this function that nothing needs
-    once the new one is stored; its files are removed.
+    once the new one is stored; its files are removed. ``by`` is a column with few values, each a folder of its own.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     found = spark.read.schema(df.schema).parquet(path)
     found._stored_at = path
     if replaces is not None:
@@ -73,9 +73,27 @@ def cut(df: DataFrame, replaces: DataFrame | None = None) -> DataFrame:
     return found
 
 
+def cut_by(df: DataFrame, key: str, parts: int, replaces: DataFrame | None = None) -> DataFrame:
+    """Like ``cut``, but as a table bucketed and sorted by ``key``, so that a join or an aggregate on ``key`` in as many
+    parts finds the rows in place and does not shuffle them again.
+
+    The files lie in the shared folder; the session's catalog has only a name for them, which ``discard`` removes.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "buckets")
+    name = os.path.basename(path).replace("-", "_")
+    df.write.format("parquet").bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(name)
+    found = spark.table(name)
+    found._stored_at, found._named = path, name
+    if replaces is not None:
+        discard(replaces)
+    return found
+
+
 def discard(df: DataFrame) -> None:
-    """Remove the files of a result of ``cut``; any other frame is left as it is."""
-    path = df.__dict__.pop("_stored_at", None)
+    """Remove the files of a result of ``cut`` or ``cut_by``; any other frame is left as it is."""
+    path, name = df.__dict__.pop("_stored_at", None), df.__dict__.pop("_named", None)
+    if name is not None:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path is not None:
         spark = df.sparkSession
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)

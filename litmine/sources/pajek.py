@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litmine.operators.graph import Graph
+from litmine.session import cut
 
 _NODE = r'^\s*(\d+)\s+"(.*)"\s*(\S*)\s*$'
 _LINK = r"^\s*(\d+)\s+(\d+)(?:\s+(\S+))?\s*$"
@@ -22,21 +23,14 @@ def read_network(spark: SparkSession, path: str, check: bool = True) -> Graph:
 
     A node line always has a quote and a link line never, so the order of lines does not matter. A missing
     or non-positive weight is 1. Links to unknown nodes go. With ``check`` the counts must match the headers.
+
+    The text is read and taken apart once, into a Parquet copy by kind of line; each use reads its kind and its columns.
     """
-    lines = spark.read.text(path)
-    node, link = F.col("value").rlike(_NODE), F.col("value").rlike(_LINK)
+    lines = cut(_parsed(spark.read.text(path)), by="kind")
     if check:
         _check_counts(lines, path)
-    vertices = lines.filter(node).select(
-        F.regexp_extract("value", _NODE, 1).try_cast("bigint").alias("id"),
-        F.regexp_extract("value", _NODE, 2).alias("name"),
-        _weight(_NODE).alias("node_weight"),
-    )
-    edges = lines.filter(link).select(
-        F.regexp_extract("value", _LINK, 1).try_cast("bigint").alias("src"),
-        F.regexp_extract("value", _LINK, 2).try_cast("bigint").alias("dst"),
-        _weight(_LINK).alias("weight"),
-    )
+    vertices = lines.filter("kind = 'node'").select(F.col("a").alias("id"), "name", F.col("weight").alias("node_weight"))
+    edges = lines.filter("kind = 'link'").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
     ids = vertices.select("id")
     known = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
         ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
@@ -44,14 +38,32 @@ def read_network(spark: SparkSession, path: str, check: bool = True) -> Graph:
     return Graph(vertices, known.select("src", "dst", "weight"))
 
 
+def _parsed(lines: DataFrame) -> DataFrame:
+    """``(a, b, name, weight, kind)``: a node's number, name and weight, a link's ends and weight, or a count stated in a
+    header; other lines go."""
+    def number(pattern: str, group: int) -> Column:
+        return F.regexp_extract("value", pattern, group).try_cast("bigint").alias("ab"[group - 1])
+
+    none, no_name = F.lit(None).cast("bigint").alias("b"), F.lit(None).cast("string").alias("name")
+    node = F.struct(
+        number(_NODE, 1), none, F.regexp_extract("value", _NODE, 2).alias("name"), _weight(_NODE).alias("weight"),
+        F.lit("node").alias("kind"),
+    )
+    link = F.struct(number(_LINK, 1), number(_LINK, 2), no_name, _weight(_LINK).alias("weight"), F.lit("link").alias("kind"))
+    stated = F.regexp_extract("value", _COUNT, 2).try_cast("bigint").alias("a")
+    head = F.when(F.lower(F.regexp_extract("value", _COUNT, 1)) == "vertices", "nodes_stated").otherwise("links_stated")
+    count = F.struct(stated, none, no_name, F.lit(1.0).alias("weight"), head.alias("kind"))
+    value = F.col("value")
+    row = F.when(value.rlike(_NODE), node).when(value.rlike(_LINK), link).when(value.rlike(_COUNT), count)
+    return lines.select(row.alias("row")).filter("row is not null").select("row.*")
+
+
 def _check_counts(lines: DataFrame, path: str) -> None:
-    kind = F.lower(F.regexp_extract("value", _COUNT, 1))
-    stated = F.regexp_extract("value", _COUNT, 2).try_cast("bigint")
     got = lines.agg(
-        F.sum(F.when(kind == "vertices", stated)).alias("nodes_stated"),
-        F.sum(F.when(kind.isin("arcs", "edges"), stated)).alias("links_stated"),
-        F.count_if(F.col("value").rlike(_NODE)).alias("nodes"),
-        F.count_if(F.col("value").rlike(_LINK)).alias("links"),
+        F.sum(F.when(F.col("kind") == "nodes_stated", F.col("a"))).alias("nodes_stated"),
+        F.sum(F.when(F.col("kind") == "links_stated", F.col("a"))).alias("links_stated"),
+        F.count_if(F.col("kind") == "node").alias("nodes"),
+        F.count_if(F.col("kind") == "link").alias("links"),
     ).first()
     if (got["nodes_stated"], got["links_stated"]) != (got["nodes"], got["links"]):
         raise ValueError(f"{path}: header and body differ: {got.asDict()}")

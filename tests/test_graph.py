@@ -4,8 +4,9 @@ from collections import Counter, defaultdict, deque
 
 import pytest
 
-from litmine.operators import centrality, components, cocitation, graph, numbering, ranking, traversal
+from litmine.operators import centrality, components, cocitation, graph, numbering, ranking, spread, traversal
 from litmine.operators.graph import Graph
+from litmine.session import cut, cut_by, discard
 
 
 def make(spark, edges, nodes=None, weights=None):
@@ -145,6 +146,52 @@ def test_pagerank(spark, per_key):
     assert sum(got.values()) == pytest.approx(1.0)
 
 
+def shuffles(df):
+    """Shuffles that joins and aggregates ask for; the one that placed the kept edges is not of these."""
+    return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+
+
+@pytest.fixture
+def placed_in_place(spark, monkeypatch):
+    """Edges in as many parts as a large graph has, and no side small enough to be broadcast."""
+    monkeypatch.setattr(spread, "MIN_EDGES", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    edges = cut(make(spark, random_edges(60, 400, 9)).edges.dropDuplicates(["src", "dst"]))
+    placed = spread.place_edges(edges, "src", "dst")
+    yield placed
+    placed.release()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pagerank_round_shuffles_only_flows(spark, placed_in_place):
+    rows = spark.range(60).selectExpr("id", "1 / 60d as teleport", "2d as out_sum", "1 / 60d as before", "1 / 60d as rank")
+    state = cut_by(rows, "id", placed_in_place.parts)
+    assert shuffles(centrality._pagerank_round(state, placed_in_place, 1.0, 0.5, 0.0)) == 1
+
+
+def test_level_shuffles_only_new_ids(spark, placed_in_place):
+    steps = spread.PlacedEdges(placed_in_place.rows.selectExpr("src as id", "dst as next"), "id", None, placed_in_place.parts)
+    pieces = [cut_by(spark.range(n, n + 3), "id", steps.parts) for n in (0, 3, 6)]
+    assert shuffles(traversal._next_level(pieces[-1], steps, pieces)) == 1
+
+
+def test_bucketed_tables_are_removed(spark):
+    first = cut_by(spark.range(5), "id", 3)
+    second = cut_by(first, "id", 3, replaces=first)
+    assert sorted(r["id"] for r in second.collect()) == list(range(5))
+    names = {t.name for t in spark.catalog.listTables()}
+    assert second._named in names
+    name = second._named
+    discard(second)
+    assert name not in {t.name for t in spark.catalog.listTables()}
+
+
+def test_long_chain_of_levels(spark):
+    frame = make(spark, [(k, k + 1) for k in range(25)]).edges
+    got = {r["id"]: r["level"] for r in traversal.reachable(spark.createDataFrame([(0,)], "id long"), frame).collect()}
+    assert got == {k: k for k in range(26)}
+
+
 def test_pagerank_node_weights_and_stop(spark):
     edges = [(1, 2), (2, 3), (3, 1), (3, 4)]
     g = make(spark, edges)

@@ -141,6 +141,8 @@ def test_pajek(spark, tmp_path):
     assert sorted(tuple(r) for r in g.vertices.collect()) == [
         (1, "Name of first node", 1.0), (2, 'Name of "second" node', 2.0), (3, "Third", 1.0)]
     assert sorted(tuple(r) for r in g.edges.collect()) == [(1, 2, 1.0), (1, 3, 1.7), (2, 3, 1.0), (3, 2, 1.0)]
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (g.vertices, g.edges)]
+    assert not [p for p in plans if "FileScan text" in p]  # the text was read once, by the copy
     with pytest.raises(ValueError):
         pajek.read_network(spark, put(tmp_path, "b.net", EXAMPLE.replace("Arcs 4", "Arcs 5")))
     out = str(tmp_path / "out.net")
