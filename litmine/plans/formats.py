@@ -12,6 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Bytes of text in one archive, about.
+ARCHIVE_BYTES = 64 << 20
+
+
 def text_lines(df: DataFrame, line: Column, path: str) -> str:
     df.select(line.alias("value")).write.mode("overwrite").text(path)
     return path
@@ -27,6 +31,12 @@ def xml_rows(df: DataFrame, root: str, row: str, path: str) -> str:
     return path
 
 
+def archive_count(docs: DataFrame, least: int, size: int = ARCHIVE_BYTES) -> int:
+    """How many archives hold about ``size`` bytes of text each, ``least`` of them at least."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, -(-total // size))
+
+
 def archives(docs: DataFrame, path: str, n: int) -> str:
     """``docs(entry_name, text)`` -> ``n`` tar.gz files below the folder; one task writes one archive at a time."""
     uri = path if "://" in path else (path.replace("file:/", "file:///", 1) if path.startswith("file:/") else f"file://{path}")

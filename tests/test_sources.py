@@ -214,3 +214,14 @@ def test_names_of_file_systems():
     assert _uri("s3a://bucket/a.tar.gz") == "s3://bucket/a.tar.gz"
     assert _uri("dbfs:/x/a.tar.gz") == "file:///dbfs/x/a.tar.gz"
     assert _uri("file:/x/a.tar.gz") == "file:///x/a.tar.gz" and _uri("hdfs://n/a") == "hdfs://n/a"
+
+
+def test_archives_grow_in_number(spark, tmp_path):
+    from litmine.plans import formats
+
+    docs = spark.range(100).select(F.concat(F.lit("a/x"), "id", F.lit(".txt")).alias("entry_name"), F.repeat(F.lit("ab"), 500).alias("text"))
+    assert formats.archive_count(docs, 8) == formats.archive_count(docs.limit(0), 8) == 8
+    assert formats.archive_count(docs, 8, size=5_000) == 20
+    path = formats.archives(docs, str(tmp_path / "t"), formats.archive_count(docs, 8, size=5_000))
+    rows = archives.read_archives(spark, path).select("archive", "entry_name").collect()
+    assert len({r["entry_name"] for r in rows}) == len(rows) == 100 and len({r["archive"] for r in rows}) > 8
