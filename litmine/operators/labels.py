@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from litmine.session import cut
+
 LABEL_COLUMNS = (
     "pdb_id",
     "match_type",
@@ -26,6 +28,14 @@ NEGATIVES_I = "negatives_i"
 NEGATIVES_II = "negatives_ii"
 UNASSIGNED = "unassigned"
 
+# Column of rows that stand for several equal ones: how many.
+COPIES = "copies"
+
+
+def copies(df: DataFrame) -> Column:
+    """How many rows each row stands for: one without the column ``copies``."""
+    return F.col(COPIES) if COPIES in df.columns else F.lit(1).cast("bigint")
+
 
 def publications(files: DataFrame, articles: DataFrame) -> DataFrame:
     """File metadata with the publication year of the article."""
@@ -39,6 +49,16 @@ def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _meta(*entries: DataFrame) -> DataFrame:
+    return union_all(*entries).select(
+        "pdb_id",
+        F.col("pmc_id").alias("entry_pmc_id"),
+        F.col("pm_id").alias("entry_pm_id"),
+        "deposition_year",
+        "entry_type",
+    )
+
+
 def merge_metadata(mentions: DataFrame, pubs: DataFrame, *entries: DataFrame) -> DataFrame:
     """Mentions of known articles with the entry metadata; unknown ids keep a null ``entry_type``.
 
@@ -46,13 +66,7 @@ def merge_metadata(mentions: DataFrame, pubs: DataFrame, *entries: DataFrame) ->
     """
     # Narrow sides first: a mention row is joined with its two metadata rows and nothing else.
     placed = mentions.join(pubs, "file_name")
-    meta = union_all(*entries).select(
-        "pdb_id",
-        F.col("pmc_id").alias("entry_pmc_id"),
-        F.col("pm_id").alias("entry_pm_id"),
-        "deposition_year",
-        "entry_type",
-    )
+    meta = _meta(*entries)
     primary = F.col("entry_pmc_id").isNotNull() & (
         (F.col("entry_pmc_id") == F.col("pmc_id")) | (F.col("entry_pm_id") == F.col("pm_id"))
     )
@@ -85,9 +99,54 @@ def set_name(default_class: str = "PDB_NONE") -> Column:
 
 def label_mentions(merged: DataFrame, default_class: str = "PDB_NONE") -> DataFrame:
     """All five label sets in one pass: ``set_name`` plus the label columns."""
+    return _named(merged, default_class).select("set_name", *LABEL_COLUMNS)
+
+
+def _named(merged: DataFrame, default_class: str) -> DataFrame:
     named = merged.withColumn("set_name", set_name(default_class)).filter(F.col("set_name").isNotNull())
-    label = F.when(F.col("set_name").startswith("positives"), 1.0).otherwise(0.0)
-    return named.withColumn("label", label).select("set_name", *LABEL_COLUMNS)
+    return named.withColumn("label", F.when(F.col("set_name").startswith("positives"), 1.0).otherwise(0.0))
+
+
+def count_labelled(mentions: DataFrame, pubs: DataFrame, *entries: DataFrame, default_class: str = "PDB_NONE") -> DataFrame:
+    """The rows of ``label_mentions(merge_metadata(...))`` without the year of the entry, equal ones as one row with their
+    number in ``copies``: at most four per mention, however many entries share an id.
+
+    Only the order of the two years and the match of the article tell the set. So entries are counted by id and order of the
+    years, for each id and year of a mention; mentions meet these counts as if none were a primary citation. Those that are
+    one are found by joins on the id and the article, added to their set and taken from the other one.
+    """
+    placed = cut(mentions.join(pubs, "file_name").select(
+        "pdb_id", "sentence", "blinded_sentence", "match_type", "pmc_id", "pm_id", "publication_year"
+    ))
+    meta = _meta(*entries).withColumn("entry_type", F.when(F.col("entry_type").isNotNull(), 1))
+    n = F.count("*").alias(COPIES)
+    years = meta.groupBy("pdb_id", "deposition_year", "entry_type").agg(n)
+    before = (F.col("publication_year") < F.col("deposition_year")).alias("before")
+    met = placed.select("pdb_id", "publication_year").distinct().join(years, "pdb_id")
+    met = met.groupBy("pdb_id", "publication_year", "entry_type", before).agg(
+        F.min("deposition_year").alias("deposition_year"), F.sum(COPIES).alias(COPIES)
+    )  # any year of a group stands for all of them
+    met = met.select(F.col("pdb_id").alias("id"), F.col("publication_year").alias("year"), "entry_type", "deposition_year", COPIES)
+    here = F.col("pdb_id").eqNullSafe(F.col("id")) & F.col("publication_year").eqNullSafe(F.col("year"))
+    every = placed.join(met, here, "left").drop("id", "year")
+    every = every.withColumns({"primary_citation": F.lit(False), COPIES: F.coalesce(COPIES, F.lit(1))})
+    linked = meta.filter(F.col("entry_pmc_id").isNotNull()).groupBy(*meta.columns).agg(n)
+    linked = linked.withColumnRenamed("pdb_id", "entry_id")
+    same_id = F.col("pdb_id") == F.col("entry_id")
+    by_article = placed.join(linked, same_id & (F.col("pmc_id") == F.col("entry_pmc_id")))
+    by_paper = placed.join(linked, same_id & (F.col("pm_id") == F.col("entry_pm_id")))
+    by_paper = by_paper.filter(~F.col("pmc_id").eqNullSafe(F.col("entry_pmc_id")))
+    primary = by_article.unionByName(by_paper).withColumn("primary_citation", F.lit(True))
+    taken = primary.withColumns({"primary_citation": F.lit(False), COPIES: -F.col(COPIES)})
+    rows = union_all(*[df.select(*every.columns) for df in (every, primary, taken)])
+    keys = ["set_name", *[c for c in LABEL_COLUMNS if c != "deposition_year"]]
+    return _named(rows, default_class).groupBy(*keys).agg(F.sum(COPIES).alias(COPIES)).filter(F.col(COPIES) > 0)
+
+
+def beyond(left: DataFrame, right: DataFrame) -> DataFrame:
+    """EXCEPT ALL of counted rows: what ``left`` has more often than ``right``, counted."""
+    rows = left.unionByName(right.withColumn(COPIES, -F.col(COPIES)))
+    return rows.groupBy(*[c for c in left.columns if c != COPIES]).agg(F.sum(COPIES).alias(COPIES)).filter(F.col(COPIES) > 0)
 
 
 def label_set(labelled: DataFrame, *names: str) -> DataFrame:

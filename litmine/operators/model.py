@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litmine.operators.labels import LABEL_COLUMNS, drop_excluded
+from litmine.operators.labels import COPIES, LABEL_COLUMNS, copies, drop_excluded
 from litmine.operators.numbering import running_sums
 from litmine.session import cut
 
@@ -19,6 +19,8 @@ MENTION_TOL = 0.1
 PRIMARY_TOL = 1e-6
 TRAIN_TENTHS = 8
 
+PRIMARY_COLUMNS = ("pdb_id", "match_type", "deposition_year", "pmc_id", "pm_id", "primary_citation", "publication_year", "sentence")
+
 
 def split(df: DataFrame, *keys: str, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """80/20 split by the MD5 of the seed and the row's keys (leading 32 bits, modulo 10; nulls are left out), so that it
@@ -30,11 +32,14 @@ def split(df: DataFrame, *keys: str, seed: int = 1) -> tuple[DataFrame, DataFram
 
 def fit(training: DataFrame, text: str = "blinded_sentence", tol: float = MENTION_TOL,
         num_features: int = 1 << 18) -> PipelineModel:
-    """Tokens -> hashed term counts -> logistic regression on ``label``."""
+    """Tokens -> hashed term counts -> logistic regression on ``label``, in which a row weighs as much as its ``copies``."""
+    regression = LogisticRegression(tol=tol, maxIter=MAX_ITER)
+    if COPIES in training.columns:
+        regression = regression.setWeightCol(COPIES)
     stages = [
         Tokenizer(inputCol=text, outputCol="words"),
         HashingTF(inputCol="words", outputCol="features", numFeatures=num_features),
-        LogisticRegression(tol=tol, maxIter=MAX_ITER),
+        regression,
     ]
     return Pipeline(stages=stages).fit(training)
 
@@ -47,17 +52,19 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def accepted(model: PipelineModel, rows: DataFrame) -> DataFrame:
+    """The rows that the model accepts. It looks at the sentence only, so mentions can be chosen before they meet the entries."""
+    return model.transform(rows).filter(F.col("prediction") == 1.0).select(*rows.columns)
+
+
 def predict_mentions(model: PipelineModel, unassigned: DataFrame) -> DataFrame:
     """Unassigned mentions that the model accepts."""
-    scored = model.transform(drop_excluded(unassigned))
-    return scored.filter(F.col("prediction") == 1.0).select(*LABEL_COLUMNS)
+    return accepted(model, drop_excluded(unassigned)).select(*LABEL_COLUMNS)
 
 
 def predict_primary(model: PipelineModel, candidates: DataFrame) -> DataFrame:
-    """Candidates that the model takes for primary citations."""
-    return model.transform(candidates).filter(F.col("prediction") == 1.0).select(
-        "pdb_id", "match_type", "deposition_year", "pmc_id", "pm_id", "primary_citation", "publication_year", "sentence"
-    )
+    """Candidates that the model takes for primary citations. Counted ones have no ``deposition_year`` and keep ``copies``."""
+    return accepted(model, candidates).select(*[c for c in (*PRIMARY_COLUMNS, COPIES) if c in candidates.columns])
 
 
 def _terms(model: PipelineModel, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +78,11 @@ def _terms(model: PipelineModel, rows: DataFrame) -> tuple[DataFrame, DataFrame]
     return scored.drop("at", "of"), terms
 
 
+def _total(cond: Column, number: Column | str = COPIES) -> Column:
+    """How many rows, copies included, meet the condition."""
+    return F.coalesce(F.sum(F.when(cond, F.col(number) if isinstance(number, str) else number)), F.lit(0)).cast("bigint")
+
+
 def optimum_check(model: PipelineModel, training: DataFrame, limit: float) -> DataFrame:
     """Whether the fitted weights are an optimum, from the rows alone: ``n``, ``positives``, and whether the greatest part of the
     gradient of the mean log loss is at most ``limit`` and the loss is below that of the share of positives.
@@ -79,16 +91,21 @@ def optimum_check(model: PipelineModel, training: DataFrame, limit: float) -> Da
     """
     scored, terms = _terms(model, training)
     p = F.get(vector_to_array("probability"), F.lit(1))
-    rows = cut(scored.select("row", "label", (p - F.col("label")).alias("error"), p.alias("p")))
-    n = F.count("*")
-    share = F.avg("label")
-    loss = F.avg(-F.log(F.when(F.col("label") == 1.0, F.col("p")).otherwise(1 - F.col("p"))))
+    rows = cut(scored.select("row", "label", (p - F.col("label")).alias("error"), p.alias("p"), copies(scored).alias(COPIES)))
+    n = F.sum(COPIES)
+
+    def mean(value: Column) -> Column:
+        return F.sum(value * F.col(COPIES)) / n
+
+    share = mean(F.col("label"))
+    loss = mean(-F.log(F.when(F.col("label") == 1.0, F.col("p")).otherwise(1 - F.col("p"))))
     constant = -(share * F.log(share) + (1 - share) * F.log(1 - share))
     whole = rows.agg(
-        n.alias("n"), F.count_if(F.col("label") == 1.0).alias("positives"), F.abs(F.avg("error")).alias("intercept"),
-        (loss < constant).alias("better_than_share"),
+        F.coalesce(n, F.lit(0)).alias("n"), _total(F.col("label") == 1.0).alias("positives"),
+        F.abs(mean(F.col("error"))).alias("intercept"), (loss < constant).alias("better_than_share"),
     )
-    parts = terms.join(rows.select("row", "error"), "row").groupBy("index").agg(F.abs(F.sum(F.col("error") * F.col("value"))).alias("part"))
+    errors = rows.select("row", (F.col("error") * F.col(COPIES)).alias("error"))
+    parts = terms.join(errors, "row").groupBy("index").agg(F.abs(F.sum(F.col("error") * F.col("value"))).alias("part"))
     greatest = parts.agg(F.coalesce(F.max("part"), F.lit(0.0)).alias("part"))
     small = F.greatest(F.col("part") / F.col("n"), "intercept") <= limit
     return whole.crossJoin(greatest).select("n", "positives", small.alias("gradient_small"), "better_than_share")  # one row each
@@ -103,11 +120,11 @@ def score_check(model: PipelineModel, candidates: DataFrame) -> DataFrame:
     table = candidates.sparkSession.createDataFrame([(int(i), float(weights[i])) for i in used], "index int, weight double")
     sums = terms.join(table, "index").groupBy("row").agg(F.sum(F.col("value") * F.col("weight")).alias("sum"))
     score = F.coalesce("sum", F.lit(0.0)) + float(model.stages[-1].intercept)
-    accepted = F.col("prediction") == 1.0
-    met = scored.join(sums, "row", "left").withColumn("score", score)
+    hit = F.col("prediction") == 1.0
+    met = scored.join(sums, "row", "left").withColumns({"score": score, COPIES: copies(scored)})
     return met.agg(
-        F.count("*").alias("candidates"), F.count_if(accepted & (F.col("score") < -1e-9)).alias("accepted_wrongly"),
-        F.count_if(~accepted & (F.col("score") > 1e-9)).alias("refused_wrongly"),
+        _total(F.lit(True)).alias("candidates"), _total(hit & (F.col("score") < -1e-9)).alias("accepted_wrongly"),
+        _total(~hit & (F.col("score") > 1e-9)).alias("refused_wrongly"),
     )
 
 
@@ -115,8 +132,10 @@ def confusion(predictions: DataFrame, *by: str) -> DataFrame:
     """Confusion counts and the rates from them, in one aggregate; a rate without a base is null."""
     hit, truth = F.col("prediction") == 1.0, F.col("label") == 1.0
 
+    number = copies(predictions)
+
     def count(cond: Column) -> Column:
-        return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
+        return F.sum(F.when(cond, number).otherwise(0)).cast("bigint")
 
     counts = predictions.groupBy(*by).agg(
         count(hit & truth).alias("tp"),
@@ -143,7 +162,8 @@ def area_under_roc(scored: DataFrame, score: str = "score", label: str = "label"
     gives the negatives below. Rows without a score or label are left out; without both kinds of rows the area is null."""
     truth = F.col(label) == 1.0
     rows = scored.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    ties = rows.groupBy(F.col(score).alias("score")).agg(F.count_if(truth).alias("hits"), F.count_if(~truth).alias("misses"))
+    number = copies(scored)
+    ties = rows.groupBy(F.col(score).alias("score")).agg(_total(truth, number).alias("hits"), _total(~truth, number).alias("misses"))
     ranked = running_sums(ties, "score", upto=F.col("misses"))
     wide = [F.col(c).cast("decimal(38,0)") for c in ("hits", "upto", "misses")]
     pairs = F.sum(wide[0] * (2 * wide[1] - wide[2])).cast("double")
@@ -158,7 +178,7 @@ def evaluate(model: PipelineModel, training: DataFrame, test: DataFrame) -> Data
         model.transform(test).withColumn("part", F.lit("testing"))
     )
     score = F.get(vector_to_array("probability"), F.lit(1)).alias("score")
-    scored = cut(scored.select("part", "label", "prediction", score))
+    scored = cut(scored.select("part", "label", "prediction", score, copies(scored).alias(COPIES)))
     areas = [area_under_roc(scored.filter(F.col("part") == part)).select(F.lit(part).alias("part"), "area") for part in ("training", "testing")]
     areas = areas[0].unionByName(areas[1]).withColumnRenamed("area", "roc_probability")
     return confusion(scored, "part").join(areas, "part")

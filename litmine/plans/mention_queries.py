@@ -8,24 +8,31 @@ from pyspark.sql import functions as F
 from litmine.operators import analysis, labels, mentions, model
 from litmine.operators.rules import CONTACT, PDB, RulePack
 from litmine.plans.tables import Tables, with_views
-from litmine.session import cut
+from litmine.session import cut, spread
 from litmine.sources.archives import format_rank
 
 
 def corpus_docs(t: Tables) -> DataFrame:
-    return t.corpus.select("file_name", F.col("sentence").alias("text"))
+    return spread(t.corpus.select("file_name", F.col("sentence").alias("text")), "file_name")
 
 
 def corpus_mentions(t: Tables) -> DataFrame:
     return mentions.mine_mentions(corpus_docs(t)).drop("sentence_no")
 
 
-def merged(t: Tables) -> DataFrame:
-    return labels.merge_metadata(corpus_mentions(t), labels.publications(t.v_files, t.v_articles), t.v_entries)
+def merged(t: Tables, found: DataFrame | None = None) -> DataFrame:
+    found = corpus_mentions(t) if found is None else found
+    return labels.merge_metadata(found, labels.publications(t.v_files, t.v_articles), t.v_entries)
 
 
-def labelled(t: Tables) -> DataFrame:
-    return labels.label_mentions(merged(t))
+def labelled(t: Tables, found: DataFrame | None = None) -> DataFrame:
+    """All label sets, of all mentions or of those in ``found``."""
+    return labels.label_mentions(merged(t, found))
+
+
+def counted(t: Tables) -> DataFrame:
+    """The rows of ``labelled`` without the entry's year, equal ones counted."""
+    return labels.count_labelled(corpus_mentions(t), labels.publications(t.v_files, t.v_articles), t.v_entries)
 
 
 def final_mentions(t: Tables) -> DataFrame:

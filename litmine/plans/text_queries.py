@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from litmine.functions.text import STOP_WORDS, content_words
 from litmine.operators import labels, model, similarity
 from litmine.operators.labels import drop_excluded
+from litmine.operators.rules import PDB
 from litmine.plans.mention_queries import ORACLE_VIEWS as MENTION_VIEWS
-from litmine.plans.mention_queries import labelled
+from litmine.plans.mention_queries import corpus_mentions, counted, labelled
 from litmine.plans.tables import Tables, with_views
 from litmine.session import cut, scratch_path, spread, union
 
@@ -71,13 +72,13 @@ def vector_sizes(t: Tables) -> DataFrame:
 
 
 def mention_model(t: Tables):
-    sets = cut(labelled(t))
+    sets = cut(counted(t))
     training, test = model.split(labels.mention_training_set(sets), "pdb_id", "pmc_id", "blinded_sentence")
     return sets, model.fit(training), training, test
 
 
 def primary_model(t: Tables):
-    sets = cut(labelled(t))
+    sets = cut(counted(t))
     training, test = model.split(labels.primary_training_set(sets), "pdb_id", "pmc_id", "blinded_sentence")
     return sets, model.fit(training, tol=model.PRIMARY_TOL), training, test
 
@@ -120,17 +121,26 @@ def auc_probability(t: Tables) -> DataFrame:
     return rounded(model.area_under_roc(rows.select("label", score)), "area")
 
 
+def _rows_of(t: Tables, found: DataFrame, *names: str) -> DataFrame:
+    """The rows of the sets ``names`` that mentions make with the entries."""
+    return labels.label_set(labelled(t, found), *names)
+
+
 def mention_predictions(t: Tables) -> DataFrame:
-    sets, fitted, _, _ = mention_model(t)
-    return model.predict_mentions(fitted, labels.label_set(sets, labels.UNASSIGNED))
+    """Mentions are scored once and only accepted ones meet their entries, of which an id may have many."""
+    _, fitted, _, _ = mention_model(t)
+    default = corpus_mentions(t).filter(F.col("match_type") == PDB.default)  # all that can be unassigned
+    found = model.accepted(fitted, drop_excluded(default))
+    return _rows_of(t, found, labels.UNASSIGNED).select(*labels.LABEL_COLUMNS)
 
 
 def primary_predictions(t: Tables) -> DataFrame:
-    """Scored with the saved and loaded model."""
-    sets, fitted, _, _ = primary_model(t)
+    """Scored with the saved and loaded model, as ``mention_predictions``."""
+    _, fitted, _, _ = primary_model(t)
     path = scratch_path(t.spark, "model")
     model.save(fitted, path)
-    return model.predict_primary(model.load(path), labels.label_set(sets, labels.POSITIVES_II, labels.UNASSIGNED))
+    found = model.accepted(model.load(path), corpus_mentions(t))
+    return _rows_of(t, found, labels.POSITIVES_II, labels.UNASSIGNED).select(*model.PRIMARY_COLUMNS)
 
 
 def totals(metrics: DataFrame) -> DataFrame:
@@ -146,13 +156,14 @@ def prediction_check(t: Tables) -> DataFrame:
     model.save(fitted, path)
     candidates = labels.label_set(sets, labels.POSITIVES_II, labels.UNASSIGNED)
     first, again = (cut(model.predict_primary(m, candidates)) for m in (fitted, model.load(path)))
-    outside = first.exceptAll(candidates.select(*first.columns))
-    changed = first.exceptAll(again).unionAll(again.exceptAll(first))
+    outside = labels.beyond(first, candidates.select(*first.columns))
+    changed = labels.beyond(first, again).unionAll(labels.beyond(again, first))
     marked = [
-        frame.select(F.lit(name).alias("name")) for name, frame in
+        frame.select(F.lit(name).alias("name"), labels.COPIES) for name, frame in
         (("candidates", candidates), ("outside", outside), ("changed", changed))
     ]
-    return union(marked).agg(*[F.count_if(F.col("name") == n).alias(n) for n in ("candidates", "outside", "changed")])
+    found = [F.coalesce(F.sum(F.when(F.col("name") == n, F.col(labels.COPIES))), F.lit(0)).alias(n) for n in ("candidates", "outside", "changed")]
+    return union(marked).agg(*found)
 
 
 def split_sizes(t: Tables) -> DataFrame:

@@ -88,3 +88,40 @@ def test_checks_of_a_fitted_model(spark):
     early = model.fit(frame.withColumn("label", 1 - F.col("label")), tol=1e-9)
     assert not model.optimum_check(early, frame, 1e-4).first()["gradient_small"]
     assert tuple(model.score_check(fitted, frame).first()) == (22, 0, 0)
+
+
+def test_counted_rows_are_the_labelled_rows(spark):
+    """Ids with many entries: the counted form has at most four rows a mention, and the same rows with their numbers."""
+    rng = random.Random(3)
+    found = [(f"f{i % 40}", f"{1 + i % 3}AB1", f"s {i % 7}", f"b {i % 7}", rng.choice(["PDB_NONE", "PDB_ID"])) for i in range(120)]
+    pubs = [(f"P{i}" if i % 9 else None, f"{i}" if i % 5 else None, f"f{i}", rng.choice([None, 1999, 2000, 2005])) for i in range(40)]
+    entries = [
+        (f"{rng.randrange(1, 3)}AB1", rng.choice([None, "P0", *(f"P{i}" for i in range(6))]), rng.choice([None, *map(str, range(6))]),
+         rng.choice([None, 1990, 2000, 2003, 2010]), rng.choice([None, 1, 2])) for _ in range(300)
+    ]
+    mentions = spark.createDataFrame(found, "file_name string, pdb_id string, sentence string, blinded_sentence string, match_type string")
+    pubs = spark.createDataFrame(pubs, "pmc_id string, pm_id string, file_name string, publication_year int")
+    entries = spark.createDataFrame(entries, "pdb_id string, pmc_id string, pm_id string, deposition_year int, entry_type int")
+    whole = labels.label_mentions(labels.merge_metadata(mentions, pubs, entries))
+    keys = ["set_name", *[c for c in labels.LABEL_COLUMNS if c != "deposition_year"]]
+    want = {tuple(r[c] for c in keys): r["count"] for r in whole.groupBy(*keys).count().collect()}
+    counted = labels.count_labelled(mentions, pubs, entries)
+    got = counted.collect()
+    assert {tuple(r[c] for c in keys): r["copies"] for r in got} == want and len(got) == len(want) <= 4 * 120
+    assert {r["set_name"] for r in got} >= {"positives_i", "positives_ii", "negatives_i", "negatives_ii"} and max(want.values()) > 9
+    first = labels.beyond(counted.withColumn("copies", F.col("copies") + 2), counted)
+    assert first.count() == len(want) and first.filter("copies <> 2").isEmpty() and labels.beyond(counted, counted).isEmpty()
+
+
+def test_counted_rows_weigh_as_their_copies(spark):
+    rows = [("the structure of XXXX", 1.0, 5), ("gene variant XXXX", 0.0, 3), ("the variant of XXXX", 0.0, 2), ("the structure of XXXX", 0.0, 2), ("gene variant XXXX", 1.0, 1), ("the variant of XXXX", 1.0, 1)]
+    counted = spark.createDataFrame(rows, "blinded_sentence string, label double, copies bigint").coalesce(1)
+    whole = counted.select("blinded_sentence", "label", F.explode(F.expr("array_repeat(0, cast(copies as int))")).alias("x")).drop("x")
+    fitted, plain = model.fit(counted, tol=1e-9), model.fit(whole, tol=1e-9)
+    for m in (fitted, plain):
+        p = {r["blinded_sentence"]: r["probability"][1] for r in m.transform(counted).collect()}
+        assert [p["the structure of XXXX"], p["gene variant XXXX"], p["the variant of XXXX"]] == pytest.approx([5 / 7, 1 / 4, 1 / 3], abs=1e-3)
+    assert tuple(model.optimum_check(fitted, counted, 1e-4).first()) == (14, 7, True, True)
+    assert tuple(model.score_check(fitted, counted).first()) == (14, 0, 0)
+    got = [model.evaluate(fitted, df, df).filter("part = 'testing'").first() for df in (counted, whole)]
+    assert got[0][:5] == got[1][:5] == ("testing", 5, 5, 2, 2) and got[0]["roc_probability"] == pytest.approx(got[1]["roc_probability"])
