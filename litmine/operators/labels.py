@@ -64,8 +64,10 @@ def merge_metadata(mentions: DataFrame, pubs: DataFrame, *entries: DataFrame) ->
 
     ``primary_citation`` needs an entry with a PMC id: an equal PubMed id alone does not count.
     """
-    # Narrow sides first: a mention row is joined with its two metadata rows and nothing else.
-    placed = mentions.join(pubs, "file_name")
+    # Narrow sides first: a mention row is joined with its two metadata rows and nothing else. The number of parts is named,
+    # as an id with many entries makes many rows: parts merged by the size of what they read would be few and large.
+    parts = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = mentions.join(pubs, "file_name").repartition(parts, "pdb_id")
     meta = _meta(*entries)
     primary = F.col("entry_pmc_id").isNotNull() & (
         (F.col("entry_pmc_id") == F.col("pmc_id")) | (F.col("entry_pm_id") == F.col("pm_id"))
@@ -154,9 +156,19 @@ def label_set(labelled: DataFrame, *names: str) -> DataFrame:
     return labelled.filter(F.col("set_name").isin(*names)).drop("set_name")
 
 
+# Files that a task may have open at once; more folders than that and it sorts its rows.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
+
+
 def write_label_sets(labelled: DataFrame, path: str) -> None:
-    """One folder per label set."""
-    labelled.write.mode("overwrite").partitionBy("set_name").parquet(path)
+    """One folder per label set. The sets are five, so a task keeps a file of each open and does not sort its rows by set."""
+    conf = labelled.sparkSession.conf
+    before = conf.get(WRITERS)
+    conf.set(WRITERS, "8")
+    try:
+        labelled.write.mode("overwrite").partitionBy("set_name").parquet(path)
+    finally:
+        conf.set(WRITERS, before)
 
 
 # Id-shaped words that are no ids.

@@ -37,7 +37,8 @@ def counted(t: Tables) -> DataFrame:
 
 def final_mentions(t: Tables) -> DataFrame:
     """Positives and, in place of a model's choice, the unassigned mentions of an enzyme."""
-    sets = cut(labelled(t))
+    wanted = F.col("set_name").isin(labels.POSITIVES_I, labels.POSITIVES_II, labels.UNASSIGNED)
+    sets = cut(labelled(t).filter(wanted).select("set_name", *analysis.DETAIL_COLUMNS))
     chosen = labels.label_set(sets, labels.UNASSIGNED).filter(F.contains("sentence", F.lit("enzyme")))
     return analysis.merge_details(
         labels.label_set(sets, labels.POSITIVES_I), labels.label_set(sets, labels.POSITIVES_II), chosen

@@ -1,5 +1,7 @@
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from litmine.operators import analysis, labels
 
 COLUMNS = "pdb_id string, file_name string, sentence string, blinded_sentence string, match_type string, match boolean"
@@ -88,3 +90,23 @@ def test_compare_and_ratio(spark):
     assert [r[0] for r in analysis.only_theirs(mentions, external, articles).collect()] == ["P3"]
     row = analysis.mention_ratio(mentions, articles).first()
     assert (row["publications"], row["mentions"], row["ratio"]) == (4, 2, 0.5)
+
+
+def test_ids_with_many_entries_keep_their_parts_and_sets(spark, tmp_path):
+    """Parts are not merged by the size of what they read, as the join makes many rows of few; sets are written without a sort."""
+    ids = spark.range(400).select(F.concat(F.lit("1AB"), F.col("id") % 4).alias("pdb_id"), F.col("id").cast("string").alias("nr"))
+    mentions = ids.select("pdb_id", F.col("nr").alias("file_name"), *[F.lit("x").alias(c) for c in ("sentence", "blinded_sentence", "match_type")])
+    pubs = ids.select(F.col("nr").alias("file_name"), F.col("nr").alias("pmc_id"), F.col("nr").alias("pm_id"), F.lit(2005).alias("publication_year"))
+    entries = ids.select("pdb_id", F.lit("P").alias("pmc_id"), F.lit("p").alias("pm_id"), (F.col("nr").cast("int") + 1800).alias("deposition_year"), F.lit(1).alias("entry_type"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        merged = labels.merge_metadata(mentions, pubs, entries)
+        assert merged.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+        assert merged.count() == 400 * 100
+        before = spark.conf.get(labels.WRITERS)
+        labels.write_label_sets(labels.label_mentions(merged), str(tmp_path / "sets"))
+        assert spark.conf.get(labels.WRITERS) == before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    read = spark.read.parquet(str(tmp_path / "sets"))
+    assert {r["set_name"]: r["count"] for r in read.groupBy("set_name").count().collect()} == {"negatives_i": 400 * 194 // 4, "positives_ii": 400 * 206 // 4}
