@@ -382,3 +382,34 @@ def test_loops_leave_few_folders(spark, tmp_path, monkeypatch):
     g = Graph(spark.range(20).select("id"), spark.range(20).selectExpr("id as src", "(id * 3 + 1) % 20 as dst", "1.0D as weight"))
     assert centrality.pagerank(g, min_iter=10, max_iter=10).count() == 20
     assert len(made) > 10 and len(list(tmp_path.iterdir())) <= 4
+
+
+@pytest.mark.parametrize("per_key", [3, 50_000])
+def test_blocked_edges_give_the_same_flows(spark, monkeypatch, per_key):
+    monkeypatch.setattr(spread, "MIN_EDGES", 40)
+    edges = sorted(set(random_edges(30, 200, 11) + [(0, k) for k in range(30)]))
+    rows = [(a, b, 1.0 + (a + b) % 3) for a, b in edges] + [(None, 1, 1.0), (1, None, 1.0), (2, 99, None), (98, 1, 1.0)]
+    frame = cut(spark.createDataFrame(rows, "src long, dst long, weight double"))
+    push = spark.createDataFrame([(k, 1.0 + k) for k in range(25)] + [(3, 0.5), (None, 7.0), (97, 2.0)], "src long, share double")
+    placed, blocked = spread.place_edges(frame, "src", "dst", per_key), spread.place_blocks(frame, per_key)
+    want = {r["id"]: r["flow"] for r in placed.flows(push).collect() if r["id"] is not None and r["flow"]}
+    got = {r["id"]: r["flow"] for r in blocked.flows(push).collect() if r["flow"]}
+    assert got == pytest.approx(want) and len(got) > 20
+    assert blocked.parts > 1 and blocked.sums(push).count() <= blocked.parts ** 2 < len(edges)  # not a row per edge
+    placed.release()
+    blocked.release()
+
+
+def test_blocked_edges_of_names(spark):
+    frame = cut(spark.createDataFrame([("a", "b", 2.0), ("a", "c", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double"))
+    blocked = spread.place_blocks(frame)
+    push = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "src string, share double")
+    assert {r["id"]: r["flow"] for r in blocked.flows(push).collect()} == {"b": 2.0, "c": 4.0}
+    blocked.release()
+
+
+def test_pagerank_round_moves_a_row_per_pair_of_blocks(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(spread.BlockedEdges, "flows", lambda self, push, made=spread.BlockedEdges.flows: calls.append(1) or made(self, push))
+    centrality.pagerank(make(spark, random_edges(20, 60, 3)), 0.5, 3, 3).count()
+    assert len(calls) == 3
