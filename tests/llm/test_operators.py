@@ -325,6 +325,14 @@ def test_license_scan_short_templates_and_two_of_a_name(spark):
     assert got[1, "short"] == 3 and got[4, "one"] == 2
 
 
+def test_texts_are_cut_as_by_the_pattern(monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(" \n\t\r\xa0\x85 \0aé1.,'s\x1c漢") for _ in range(rng.randrange(7))) for _ in range(20_000)]
+    assert [token_store.unsafe(x) for x in texts] == [token_store._UNSAFE.search(x) is not None for x in texts]
+    monkeypatch.setattr(token_store, "_UNSAFE", None)  # plain texts do not need the pattern
+    assert not token_store.unsafe("Un café, 1 + 1.\nIt's fine.") and token_store.unsafe("a  b") and token_store.unsafe("a\n b")
+
+
 def test_token_store(spark, docs, empty, tmp_path):
     path, file = str(tmp_path / "store"), str(public_tokenizers.path("byte_bpe_50k.json"))
     token_store.write_tokens(docs, path, file)
