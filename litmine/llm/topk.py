@@ -2,14 +2,16 @@
 
 A vector is a document with a term for every component and sign; a posting holds the size of the component. For a query,
 the terms whose sign agrees with the query's add to the score, the others take away, so the score of a row is at most
-what its agreeing terms add. Rows are dealt into shards and queries into blocks; a task has one shard and one block:
+what its agreeing terms add. Postings are columns over all rows of a shard, as each component of a dense vector is in one of its two
+postings: so the postings of some queries are traversed together, as a product of the queries' sizes with the columns. Rows are dealt
+into shards and queries into blocks; a task has one shard and one block:
 
 1. The threshold of a query starts as the k-th score of a few rows that lead its strongest postings.
 2. Its agreeing terms are ordered by their greatest possible part of the score. The weakest, whose parts together stay
    below the threshold, are non-essential: a row that is only in their postings cannot get in.
 3. The essential postings are traversed and their parts added up. Rows that could not reach the threshold with all that
-   the non-essential terms could add are dropped; the others are probed term by term, strongest first, and dropped as soon
-   as they are out of reach. What remains is scored exactly.
+   the non-essential terms could add are dropped; of the others the non-essential terms are probed, and those are dropped that
+   stay out of reach. What remains is scored exactly.
 
 The best of the shards are merged by rank. Ties go to the smaller id, so rows equal to the threshold are never dropped.
 
@@ -35,64 +37,79 @@ SCALE = 64
 SHARD_ROWS = 16_384
 BLOCK_QUERIES = 1_024
 
+# Queries that traverse the postings together.
+TOGETHER = 64
+
+# Below every score.
+NONE = int(np.iinfo(np.int64).min)
+
 
 class Shard:
     """Rows of one shard with postings by component and sign, in rising order of id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int = K):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order].T)  # by component
-        self.postings: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        self.greatest: dict[tuple[int, int], int] = {}
-        for d, column in enumerate(self.vectors):
-            for sign in (1, -1):
-                at = np.flatnonzero(column * sign > 0)
-                if len(at):
-                    self.postings[d, sign] = at, np.abs(column[at])
-                    self.greatest[d, sign] = int(np.abs(column[at]).max())
-
-    def exact(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return query @ self.vectors[:, rows]
-
-    def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the best ``k`` rows but the query's own, best first."""
-        signs = ((d, 1 if q > 0 else -1, abs(int(q))) for d, q in enumerate(query) if q)
-        terms = sorted((size * self.greatest[d, s], d, s) for d, s, size in signs if (d, s) in self.postings)
-        threshold = self._threshold(query_id, query, terms, k)
-        bounds = np.array([b for b, _, _ in terms], dtype="int64")
-        reach = np.cumsum(bounds)  # what the weakest terms can add together
-        if threshold is None or threshold <= 0:
-            alive = np.arange(len(self.ids))  # even a row without an agreeing term may get in
-        else:
-            weak = int(np.searchsorted(reach, threshold, side="left"))
-            parts = np.zeros(len(self.ids), dtype="int64")
-            for _, d, sign in terms[weak:]:
-                at, size = self.postings[d, sign]
-                parts[at] += size * abs(int(query[d]))
-            alive = np.flatnonzero(parts + (int(reach[weak - 1]) if weak else 0) >= threshold)
-            parts = parts[alive]
-            for i in range(weak - 1, -1, -1):
-                _, d, sign = terms[i]
-                parts += np.maximum(self.vectors[d, alive] * sign, 0) * abs(int(query[d]))
-                near = parts + (int(reach[i - 1]) if i else 0) >= threshold
-                alive, parts = alive[near], parts[near]
-        scores = self.exact(query, alive)
-        return best(self.ids[alive], scores, query_id, k)
-
-    def _threshold(self, query_id: int, query: np.ndarray, terms: list, k: int) -> int | None:
-        """The k-th best score of some rows: those that stand highest in the strongest postings. None if there are fewer
-        than k."""
-        some: set[int] = set()
-        for _, d, sign in terms[-4:]:
-            at, size = self.postings[d, sign]
-            top = np.argpartition(-size, min(4 * k, len(size) - 1))[: 4 * k]
-            some.update(at[top].tolist())
-        rows = np.array(sorted(some), dtype="int64")
+        self.ids, self.vectors = ids[order], vectors[order]
+        # By component, first of all positive and then of all negative signs.
+        self.postings = np.concatenate([np.maximum(self.vectors, 0), np.maximum(-self.vectors, 0)], axis=1).T
+        self.greatest = self.postings.max(axis=1)
+        count = min(4 * k, len(ids))
+        leaders = [np.argpartition(-sizes, count - 1)[:count] for sizes in self.postings]
+        self.leaders = np.array(leaders, dtype="int64").reshape(len(leaders), count)
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ids and scores of the best ``k`` rows but its own, best first."""
+        kind = _exact_kind(queries, self.vectors)
+        vectors, postings = self.vectors.astype(kind), np.ascontiguousarray(self.postings.astype(kind))
+        sizes = np.concatenate([np.maximum(queries, 0), np.maximum(-queries, 0)], axis=1)
+        for first in range(0, len(queries), TOGETHER):
+            some = slice(first, first + TOGETHER)
+            yield from self._together(query_ids[some], queries[some].astype(kind), sizes[some], k, vectors, postings)
+
+    def _together(self, query_ids: np.ndarray, queries: np.ndarray, sizes: np.ndarray, k: int, vectors: np.ndarray,
+                  postings: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        bounds = sizes * self.greatest  # what a term can add at most
+        order = np.argsort(bounds, axis=1, kind="stable")
+        reach = np.cumsum(np.take_along_axis(bounds, order, axis=1), axis=1)  # what the weakest terms can add together
+        thresholds = np.array([self._threshold(*x, k, vectors) for x in zip(query_ids, queries, order[:, -4:])], dtype="int64")
+        weak = (reach < thresholds[:, None]).sum(axis=1)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
+        essential = rank >= weak[:, None]
+        spare = np.where(weak > 0, np.take_along_axis(reach, np.maximum(weak - 1, 0)[:, None], axis=1)[:, 0], 0)
+        parts = np.where(essential, sizes, 0).astype(queries.dtype) @ postings
+        alive = parts >= (thresholds - spare).astype(queries.dtype)[:, None]
+        thresholds = thresholds.astype(queries.dtype)
+        # Rows that no query of these can get are left out of all that follows.
+        rows = np.flatnonzero(alive.any(axis=0))
+        parts, alive = parts[:, rows], alive[:, rows]
+        parts += np.where(essential, 0, sizes).astype(queries.dtype) @ postings[:, rows]
+        alive &= parts >= thresholds[:, None]
+        rest = alive.any(axis=0)
+        rows, alive = rows[rest], alive[:, rest]
+        scores = queries @ vectors[rows].T
+        alive &= scores >= thresholds[:, None]
+        for query_id, mine, found in zip(query_ids, alive, scores):
+            at = np.flatnonzero(mine)
+            yield best(self.ids[rows[at]], found[at].astype("int64"), query_id, k)
+
+    def _threshold(self, query_id: int, query: np.ndarray, strongest: np.ndarray, k: int, vectors: np.ndarray) -> int:
+        """The k-th best score of some rows: those that stand highest in the strongest postings. The least number there is
+        if there are fewer than k, or if the score is not above zero: then even a row without an agreeing term may get in."""
+        rows = np.unique(self.leaders[strongest])
         rows = rows[self.ids[rows] != query_id]
         if len(rows) < k:
-            return None
-        scores = self.exact(query, rows)
-        return int(np.partition(scores, len(scores) - k)[len(scores) - k])
+            return NONE
+        scores = vectors[rows] @ query
+        found = int(np.partition(scores, len(scores) - k)[len(scores) - k])
+        return found if found > 0 else NONE
+
+
+def _exact_kind(queries: np.ndarray, vectors: np.ndarray) -> str:
+    """The fastest type in which no sum of a score can be rounded: all are whole numbers below its limit."""
+    greatest = [int(np.abs(x).max(initial=0)) for x in (queries, vectors)]
+    most = greatest[0] * greatest[1] * 2 * max(vectors.shape[1], 1)
+    return "float32" if most < 1 << 24 else "float64" if most < 1 << 53 else "int64"
 
 
 def best(ids: np.ndarray, scores: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,10 +140,10 @@ def search(rows: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SH
     def run(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(shard) and len(block):
-            width = max(shard["v"].map(len).max(), block["v"].map(len).max())
-            index = Shard(shard["vec_id"].to_numpy(), _matrix(shard["v"], width))
-            for query_id, query in zip(block["vec_id"], _matrix(block["v"], width)):
-                ids, scores = index.search(query_id, query, k)
+            width = max(shard["v"].map(len).max(), block["v"].map(len).max(), 1)
+            index = Shard(shard["vec_id"].to_numpy(), _matrix(shard["v"], width), k)
+            asked = block["vec_id"].to_numpy()
+            for query_id, (ids, scores) in zip(asked.tolist(), index.search(asked, _matrix(block["v"], width), k)):
                 out["query_id"] += [query_id] * len(ids)
                 out["vec_id"] += ids.tolist()
                 out["score"] += scores.tolist()

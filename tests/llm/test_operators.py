@@ -372,6 +372,25 @@ def test_topk(spark):
     assert topk.search(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_topk_batches_are_exact():
+    """Every type of number in use, and queries together against one by one: the sums are exact and ties go by id."""
+    draw = np.random.default_rng(4)
+    kinds = set()
+    for scale in (8, 3_000, 40_000_000):
+        vectors = np.round(draw.normal(0, scale, (400, 7))).astype("int64")
+        vectors[50:80] = vectors[0]
+        ids = draw.permutation(400)
+        shard = topk.Shard(ids, vectors, 5)
+        kinds.add(topk._exact_kind(vectors[:150], vectors))
+        for query_id, query, (found, scores) in zip(ids, vectors[:150], shard.search(ids[:150], vectors[:150], 5)):
+            whole = vectors.astype(object) @ query.astype(object)
+            want = sorted((-int(s), int(i)) for s, i in zip(whole, ids) if i != query_id)[:5]
+            assert [(-s, i) for s, i in zip(scores.tolist(), found.tolist())] == want
+    assert kinds == {"float32", "float64", "int64"}
+    empty = topk.Shard(np.arange(3), np.zeros((3, 1), dtype="int64"), 2)
+    assert [x[0].tolist() for x in empty.search(np.array([1]), np.zeros((1, 1), dtype="int64"), 2)] == [[0, 2]]
+
+
 def test_pieces(spark, docs, empty):
     path = str(public_tokenizers.path("piece_bpe_32k.model"))
     library = SentencePieceProcessor(model_file=path)
