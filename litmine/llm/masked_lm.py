@@ -129,10 +129,14 @@ def vocabulary(counts: np.ndarray) -> Vocabulary:
 SHAPES = ((2 * SPAN, CLASSES + 1, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 
 
+ENDS = np.cumsum([int(np.prod(x)) for x in SHAPES])
+CELLS = np.arange((CLASSES + 1) * HIDDEN).reshape(CLASSES + 1, HIDDEN)  # of an embedding, by class
+
+
 def unpack(flat: np.ndarray) -> list[np.ndarray]:
     """Embeddings by place, bias, output weights and output bias as views of one vector."""
-    ends = np.cumsum([int(np.prod(x)) for x in SHAPES])
-    return [part.reshape(shape) for part, shape in zip(np.split(flat, ends[:-1]), SHAPES)]
+    begins = [0, *ENDS[:-1]]
+    return [flat[first:end].reshape(shape) for first, end, shape in zip(begins, ENDS, SHAPES)]
 
 
 def begin(seed: int) -> np.ndarray:
@@ -140,41 +144,64 @@ def begin(seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(0, 0.1, size).astype("float32")
 
 
-def contexts(classes: np.ndarray, offsets: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Classes of the neighbours of the words ``targets``, one row each; ``BORDER`` beyond a document's ends."""
-    doc = np.searchsorted(offsets, targets, side="right") - 1
-    out = np.empty((len(targets), 2 * SPAN), dtype="int16")
-    for i, shift in enumerate([s for s in range(-SPAN, SPAN + 1) if s]):
-        at = targets + shift
-        inside = (at >= offsets[doc]) & (at < offsets[doc + 1])
-        out[:, i] = np.where(inside, classes[np.clip(at, 0, len(classes) - 1)], BORDER)
-    return out
+def bordered(classes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes with ``SPAN`` times ``BORDER`` before, between and after documents, and the place of every word in there."""
+    at = np.arange(len(classes)) + SPAN * np.repeat(np.arange(1, len(offsets)), np.diff(offsets))
+    out = np.full(len(classes) + SPAN * len(offsets), BORDER, dtype="int16")
+    out[at] = classes
+    return out, at
 
 
-def log_probabilities(parameters: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hidden layer and log probability of every class."""
+def contexts(line: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Classes of the neighbours of the words at the places ``at`` of ``line`` (``bordered``), one row each."""
+    return np.stack([line[at + shift] for shift in range(-SPAN, SPAN + 1) if shift], axis=1)
+
+
+def _forward(parameters: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden layer, and the logit of every class less the greatest of its row."""
     embed, bias, out, out_bias = unpack(parameters)
-    hidden = np.tanh(sum(embed[i][context[:, i]] for i in range(2 * SPAN)) + bias)
-    logits = hidden @ out + out_bias
+    hidden = embed[0].take(context[:, 0], axis=0)
+    for i in range(1, 2 * SPAN):
+        hidden += embed[i].take(context[:, i], axis=0)
+    hidden += bias
+    np.tanh(hidden, out=hidden)
+    logits = hidden @ out
+    logits += out_bias
     logits -= logits.max(axis=1, keepdims=True)
+    return hidden, logits
+
+
+def log_probabilities(parameters: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden layer and log probability of every class."""
+    hidden, logits = _forward(parameters, context)
     return hidden, logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def target_log_probability(parameters: np.ndarray, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log probability of one class of each row."""
+    _, logits = _forward(parameters, context)
+    own = logits[np.arange(len(target)), target]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+
 def learn(parameters: np.ndarray, squares: np.ndarray, context: np.ndarray, target: np.ndarray, rate: float) -> None:
     """One step with per-parameter rates, in place."""
     n = len(target)
-    hidden, logp = log_probabilities(parameters, context)
-    wrong = np.exp(logp)
-    wrong[np.arange(n), target] -= 1.0
-    wrong /= n
+    hidden, wrong = _forward(parameters, context)
+    np.exp(wrong, out=wrong)  # exponents are taken once: from here on the error of every class
+    wrong *= 1.0 / (n * wrong.sum(axis=1, keepdims=True))
+    wrong[np.arange(n), target] -= 1.0 / n
     gradient = np.zeros_like(parameters)
     g_embed, g_bias, g_out, g_out_bias = unpack(gradient)
     g_out[:] = hidden.T @ wrong
     g_out_bias[:] = wrong.sum(axis=0)
-    back = (wrong @ unpack(parameters)[2].T) * (1 - hidden * hidden)
+    back = wrong @ unpack(parameters)[2].T
+    np.multiply(hidden, hidden, out=hidden)
+    back *= np.subtract(1.0, hidden, out=hidden)
     g_bias[:] = back.sum(axis=0)
-    for i in range(2 * SPAN):
-        np.add.at(g_embed[i], context[:, i], back)
+    values = back.ravel()
+    for i in range(2 * SPAN):  # numpy adds up single numbers far faster than rows
+        np.add.at(g_embed[i].reshape(-1), CELLS.take(context[:, i], axis=0).ravel(), values)
     squares += gradient * gradient
     parameters -= rate * gradient / (np.sqrt(squares) + 1e-8)
 
@@ -214,10 +241,11 @@ def _trainer(words, start, t: Training, turn: int):
         for batch in batches:
             ids, offsets = _flat(batch)
             classes = words.value.classes[ids]
+            line, at = bordered(classes, offsets)
             targets = targets_of(offsets, t, turn)
             for begun in range(0, len(targets), t.batch):
                 some = targets[begun : begun + t.batch]
-                learn(parameters, squares, contexts(classes, offsets, some), classes[some], t.rate)
+                learn(parameters, squares, contexts(line, at[some]), classes[some], t.rate)
             seen += len(targets)
         if seen:
             cells = [pa.array([x]) for x in (np.arange(len(parameters), dtype="int32"), parameters.astype("float64"))]
@@ -235,11 +263,11 @@ def score(rows: DataFrame, words: Vocabulary, parameters: np.ndarray) -> DataFra
         for batch in batches:
             ids, offsets = _flat(batch)
             classes, within = shared_words.value.classes[ids], shared_words.value.log_share[ids]
+            line, at = bordered(classes, offsets)
             logp = np.empty(len(ids))
-            for begun in range(0, len(ids), 16_384):
-                some = np.arange(begun, min(begun + 16_384, len(ids)))
-                _, found = log_probabilities(shared.value, contexts(classes, offsets, some))
-                logp[some] = found[np.arange(len(some)), classes[some]] + within[some]
+            for begun in range(0, len(ids), 1_024):  # what is made of so many words stays in the processor's cache
+                some = slice(begun, begun + 1_024)
+                logp[some] = target_log_probability(shared.value, contexts(line, at[some]), classes[some]) + within[some]
             lengths = np.diff(offsets)
             doc = np.repeat(np.arange(len(lengths)), lengths)
             total = np.bincount(doc, weights=logp, minlength=len(lengths))

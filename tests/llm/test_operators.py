@@ -483,6 +483,20 @@ def test_masked_lm_takes_every_word_once(spark):
     assert np.mean([got[i] for i in range(3_000)]) > got[10_000] + 1
 
 
+def test_masked_lm_neighbours():
+    """Neighbours at the ends of documents, empty ones among them, are borders; one class of a row alone has the same value."""
+    offsets = np.array([0, 0, 3, 3, 4, 9])
+    classes = np.arange(9, dtype="int16")
+    line, at = masked_lm.bordered(classes, offsets)
+    border, doc = masked_lm.BORDER, np.repeat(np.arange(5), np.diff(offsets))
+    want = [[w + s if 0 <= w + s < 9 and doc[w + s] == doc[w] else border for s in (-2, -1, 1, 2)] for w in range(9)]
+    context = masked_lm.contexts(line, at)
+    assert context.tolist() == want
+    p = masked_lm.begin(2)
+    whole = masked_lm.log_probabilities(p, context)[1][np.arange(9), classes]
+    assert np.allclose(masked_lm.target_log_probability(p, context, classes), whole, atol=1e-5)
+
+
 def test_masked_lm_gradient():
     draw = np.random.default_rng(0)
     p = masked_lm.begin(1).astype("float64")
