@@ -119,3 +119,29 @@ def test_min_hashes(spark):
     rows = [[5], [1, 2, 3], list(range(1000)), [2**31 - 2]]
     got = spark.createDataFrame([(r,) for r in rows], "x array<bigint>").coalesce(1).select(similarity.min_hashes(F.col("x"), 9).alias("h"))
     assert [r["h"] for r in got.collect()] == [[min((a * x + b) % similarity.HASH_PRIME for x in xs) for a, b in family] for xs in rows]
+
+
+def test_candidates_move_no_set_each(spark, monkeypatch):
+    """120 near copies are 7,140 candidates; the check moves each set a few times, not once per candidate."""
+    monkeypatch.setattr(similarity, "VERIFY_BLOCK", 50)
+    words = [f"w{i:03d}" for i in range(200)]
+    rows = [(i, [w for j, w in enumerate(words) if j != i]) for i in range(120)]
+    sets = spark.createDataFrame(rows, "rep long, items array<string>")
+    moved = []
+    real = similarity.cut
+
+    def seen(df, *args, **kwargs):
+        found = real(df, *args, **kwargs)
+        if found.columns == ["place", "rep"]:
+            moved.append(found.count())
+        return found
+
+    monkeypatch.setattr(similarity, "cut", seen)
+    pairs = [(a, b, 199, 199) for a, b in combinations(range(120), 2)]
+    candidates = spark.createDataFrame([*pairs, (None, 1, 199, 199)], "a long, b long, n_a int, n_b int")
+    got = similarity._verified(candidates, sets, 0.9).collect()
+    assert sorted((r["a"], r["b"], r["common"]) for r in got) == [(a, b, 198) for a, b, _, _ in pairs]
+    assert sum(moved) <= 120 * 2 * 3 * 2
+    twice = similarity._verified(candidates, sets.unionByName(sets), 0.9)  # a set that is there twice is met twice
+    assert twice.count() == 4 * len(pairs)
+    assert similarity._verified(candidates.limit(0), sets, 0.9).count() == 0
