@@ -64,11 +64,11 @@ def crc_mod(column: str, n: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
 
 
-def dealt(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into as many parts as the session asks for; adaptive execution cannot merge them, so
-    costly Python work keeps all slots busy."""
+def dealt(df: DataFrame, *keys: str, at_least: int = 1) -> DataFrame:
+    """Hash-partition by ``keys`` into as many parts as the session asks for, or ``at_least`` so many; adaptive execution
+    cannot merge them, so costly Python work keeps all slots busy."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(parts, *keys)
+    return df.repartition(max(parts, at_least), *keys)
 
 
 def portions(batches: Iterator[pa.RecordBatch], size: int, text: str = "text") -> Iterator[pa.RecordBatch]:

@@ -36,11 +36,14 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
 from litmine.llm.common import dealt, stored, texts
+from litmine.session import discard
 
 SPACE = "▁"
 LONGEST = 62
 # Words that are broadcast with their ids.
 FREQUENT = 200_000
+# Words whose lattices one task groups: their edges, some dozen a word, fit its memory and are not spilled to disk.
+WORDS_PER_TASK = 25_000
 WORD = f"{SPACE}*[^{SPACE}\\n]+|{SPACE}+|\\n"
 UNIGRAM, BPE = 1, 2
 
@@ -66,9 +69,11 @@ def words(text: str) -> Column:
 
 def lattice(distinct: DataFrame, pieces: DataFrame, longest: int, byte_ids: int) -> DataFrame:
     """``(word, edges)``: edges from ``begin`` to ``end`` with cost and id; one of an unknown character has no id but
-    those of its bytes. The words are placed by a hash first, so that the far more edges do not move."""
+    those of its bytes. The words are placed by a hash first, so that the far more edges do not move, in as many parts as
+    keep the edges of one part in memory."""
     n = F.length("word")
-    begun = dealt(distinct, "word").select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("begin"))
+    parts = -(-distinct.count() // WORDS_PER_TASK)
+    begun = dealt(distinct, "word", at_least=parts).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("begin"))
     upto = F.least(n, F.col("begin") + longest)
     spans = begun.select("word", "begin", F.explode(F.sequence(F.col("begin") + 1, upto)).alias("end"))
     spans = spans.withColumn("piece", F.expr("substring(word, begin + 1, end - begin)"))
@@ -200,20 +205,24 @@ def encode(docs: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
     table = stored(encode_words(counts.select("word"), path), "words")
     top = counts.orderBy(F.desc("n"), "word").limit(frequent).select("word")
     known = stored(table.join(F.broadcast(top), "word"), "frequent-words")  # at most ``frequent`` rows
+    discard(counts)
     common = spark.sparkContext.broadcast({r["word"]: array("i", r["ids"]) for r in known.toLocalIterator()})
 
-    rare = rows.select("row", F.explode(F.array_distinct(words("text"))).alias("word"))
+    rare = rows.select("row", F.posexplode(F.array_distinct(words("text"))).alias("at", "word"))
     rare = rare.join(F.broadcast(known.select("word")), "word", "left_anti").join(table, "word")
-    rare = rare.groupBy("row").agg(F.collect_list("word").alias("words"), F.collect_list("ids").alias("word_ids"))
-    met = rows.join(rare, "row", "left").select("doc_id", "text", "words", "word_ids")
+    # A row gets its rare words as their places among its different words: they move to their rows without their text.
+    rare = rare.groupBy("row").agg(F.collect_list("at").alias("places"), F.collect_list("ids").alias("word_ids"))
+    met = rows.join(rare, "row", "left").select("doc_id", "text", "places", "word_ids")
     split = re.compile(WORD)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, ends = array("i"), [0]
-            for text, own, own_ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                others = dict(zip(own or (), own_ids or ()))
-                for word in split.findall(SPACE + text.replace(" ", SPACE)) if text else ():
+            for text, places, place_ids in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                found = split.findall(SPACE + text.replace(" ", SPACE)) if text else []
+                different = list(dict.fromkeys(found)) if places else []
+                others = {different[at]: own for at, own in zip(places or (), place_ids or ())}
+                for word in found:
                     flat.extend(common.value.get(word) or others[word])
                 ends.append(len(flat))
             lists = pa.ListArray.from_arrays(np.array(ends, dtype="int32"), np.array(flat, dtype="int32"))

@@ -422,6 +422,20 @@ def test_pieces_of_runs_and_rare_words(spark):
         assert got == {i: library.encode(text) for i, text in enumerate(found)}
 
 
+def test_pieces_lattice_has_as_many_parts_as_its_words_need(spark, monkeypatch):
+    monkeypatch.setattr(pieces, "WORDS_PER_TASK", 10)
+    table = spark.createDataFrame([("a", 0, -1.0), ("ab", 1, -2.0)], "piece string, id int, score double")
+    words = spark.createDataFrame([("ab" * i,) for i in range(1, 401)], "word string")
+    assert pieces.lattice(words, table, 2, 1000).rdd.getNumPartitions() >= 40
+
+
+def test_pieces_moves_rare_words_to_their_rows_without_text(spark):
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    rows = spark.createDataFrame([(1, "one two three two")], "doc_id long, text string")
+    plan = pieces.encode(rows, path, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(at#" in plan and "collect_list(word#" not in plan
+
+
 def test_viterbi_fold(spark):
     scores = {"▁": -2.0, "a": -3.0, "b": -3.1, "ab": -3.5, "ba": -3.4, "aba": -6.0, "▁a": -2.5, "abab": -6.7}
     table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(scores.items())], "piece string, id int, score double")
