@@ -145,3 +145,69 @@ def test_candidates_move_no_set_each(spark, monkeypatch):
     twice = similarity._verified(candidates, sets.unionByName(sets), 0.9)  # a set that is there twice is met twice
     assert twice.count() == 4 * len(pairs)
     assert similarity._verified(candidates.limit(0), sets, 0.9).count() == 0
+
+
+def test_large_sets_that_share_rare_words_are_no_candidates(spark, monkeypatch):
+    """40 sets of 900 words of 3,000, of which one pair is near: only a few of the 780 pairs are checked on whole sets."""
+    rng = random.Random(7)
+    words = [f"w{i:04d}" for i in range(3000)]
+    sets = [sorted(rng.sample(words, 900)) for _ in range(39)]
+    sets.append(sorted(sets[0][5:]))
+    frame = spark.createDataFrame(list(enumerate(sets)), "rep long, items array<string>")
+    seen = []
+    real = similarity._verified
+    monkeypatch.setattr(similarity, "_verified", lambda c, *a: seen.append(c.count()) or real(c, *a))
+    assert [(r["a"], r["b"], r["common"]) for r in similarity.similar_sets(frame).collect()] == [(0, 39, 895)]
+    assert 1 <= seen[0] <= 5
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_crowded_heads_lose_no_pair(spark, monkeypatch, most):
+    """Items that all sets have, in blocks of a few sets and on a table so small that different items share a place."""
+    monkeypatch.setattr(similarity, "JOIN_BLOCK", 4)
+    monkeypatch.setattr(similarity, "TALLIES", 8 if most == 1 else 1 << 12)
+    rng = random.Random(most)
+    words = [f"w{i:02d}" for i in range(24)]
+    sets = sorted({tuple(sorted(rng.sample(words, rng.randrange(14, 22)))) for _ in range(90)})
+    want = {(a, b) for (a, x), (b, y) in combinations(enumerate(sets), 2) if len({*x} & {*y}) / math.sqrt(len(x) * len(y)) > 0.9}
+    frame = spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "rep long, items array<string>").repartition(3)
+    got = [(r["a"], r["b"]) for r in similarity.similar_sets(frame).collect()]
+    assert len(got) == len(want) > 30 and set(got) == want
+
+
+def test_rows_compared_as_tables(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    size = np.sort(rng.integers(20, 60, 500))
+    at, last = rng.integers(1, 12, 500), np.searchsorted(size, size / 0.81, "right")
+    marks = np.zeros((500, 2), dtype=np.uint64)
+    want = {
+        (i, j) for i in range(500) for j in range(i + 1, last[i])
+        if min(at[i], at[j]) + min(size[i] - at[i], size[j] - at[j]) >= 0.9 * math.sqrt(size[i] * size[j])
+    }
+    for dense in (1, 64, 1000):
+        monkeypatch.setattr(similarity, "DENSE", dense)
+        got = [p for i, j in similarity._near_rows(at, size, last, marks, np.arange(500), 0.9, 300) for p in zip(i.tolist(), j.tolist())]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_stored_rows_leave_no_shuffle_files(spark):
+    import time
+
+    from litmine.session import cut
+
+    jvm = spark._jvm
+
+    def files():
+        found = jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        names = (found.apply(i).getName() for i in range(found.size()))
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    before = files()
+    stored = cut(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("id")).count())
+    tries = 50
+    while files() - before and tries:
+        time.sleep(0.2)
+        tries -= 1
+    assert not files() - before and stored.count() == 7
