@@ -269,6 +269,20 @@ def test_betweenness_with_many_twins_at_both_ends(spark):
     assert {r["id"]: r["betweenness"] for r in got.collect()} == pytest.approx(plain_betweenness(edges, nodes, some))
 
 
+def test_betweenness_takes_start_nodes_in_portions_and_removes_their_rows(spark, monkeypatch):
+    """Without a chunk given the rows on disk stay bounded: 10 start nodes of 10 nodes at 25 rows are several portions."""
+    edges = [(i, (i + k) % 10) for i in range(10) for k in (1, 3)]
+    stored, portions = [], []
+    real_cut, real = centrality.cut, centrality._dependencies
+    monkeypatch.setattr(centrality, "STATE_ROWS", 25)
+    monkeypatch.setattr(centrality, "cut", lambda *a, **k: stored.append(real_cut(*a, **k)) or stored[-1])
+    monkeypatch.setattr(centrality, "_dependencies", lambda *a: portions.append(1) or real(*a))
+    found = centrality.betweenness(make(spark, edges))
+    assert {r["id"]: r["betweenness"] for r in found.collect()} == pytest.approx(plain_betweenness(edges, range(10), range(10)))
+    assert len(portions) == 5
+    assert not [s for s in stored if "source" in s.columns and "_stored_at" in s.__dict__]
+
+
 def test_betweenness_of_some_sources(spark):
     edges = random_edges(12, 30, 10)
     some = spark.createDataFrame([(1,), (5,)], "id long")
