@@ -211,3 +211,10 @@ def test_stored_rows_leave_no_shuffle_files(spark):
         time.sleep(0.2)
         tries -= 1
     assert not files() - before and stored.count() == 7
+
+
+def test_a_set_that_is_there_twice_keeps_its_pairs(spark):
+    words = [f"w{i:02d}" for i in range(40)]
+    rows = [(1, words), (1, words), (2, words[1:]), (3, words[:20])]
+    got = similarity.similar_sets(spark.createDataFrame(rows, "rep long, items array<string>"))
+    assert [(r["a"], r["b"], r["common"]) for r in got.collect()] == [(1, 2, 39)] * 2  # once per row, as similar_sets_lsh
